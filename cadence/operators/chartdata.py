@@ -27,13 +27,12 @@ def ride_length_histogram(rides: DataFrame, binwidth: float = 5.0, center: float
     out = rides.groupBy(histogram_bin(F.col(value_col), binwidth, center).cast("double").alias("bin_center"), "member_casual").agg(
         F.count(F.lit(1)).alias("count")
     )
-    return out.orderBy("bin_center", "member_casual")
+    return out
 
 
 def rides_by_day_counts(rides: DataFrame) -> DataFrame:
     """Bar heights of the dodged day chart: raw rides per weekday x rider."""
-    out = rides.groupBy("day_of_week_num", "day_of_week", "member_casual").agg(F.count(F.lit(1)).alias("count"))
-    return out.orderBy("day_of_week_num", "member_casual").drop("day_of_week_num")
+    return rides.groupBy("day_of_week", "member_casual").agg(F.count(F.lit(1)).alias("count"))
 
 
 def ride_length_boxplot(rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length", unit_seconds: float = 60.0) -> DataFrame:
@@ -73,7 +72,7 @@ def ride_length_boxplot(rides: DataFrame, group: str = "member_casual", seconds_
         (F.col("__q3") / u).alias("q3"),
         (F.col("__hi") / u).alias("upper_whisker"),
         "outliers",
-    ).orderBy(group)
+    )
 
 
 def stack_positions(df: DataFrame, x: list[str], category: str, value: str) -> DataFrame:

@@ -24,13 +24,21 @@ from cadence.operators.joins import semi_join_null_safe
 from cadence.schema import REQUIRED_COLUMNS
 
 ROUTE_KEYS = ["end_station_id", "start_station_id", "end_station_name", "start_station_name"]
-DEFAULT_ORDER = ("started_at", "ride_id")
 
 
-def station_routes(rides: DataFrame, order_by: tuple[str, ...] = DEFAULT_ORDER) -> DataFrame:
-    """One row per distinct route-and-names tuple with the ordering key of its
-    earliest ride (``first_seen``)."""
-    return rides.groupBy(*ROUTE_KEYS).agg(F.min(F.struct(*order_by)).alias("first_seen"))
+def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(right[k])
+        cond = c if cond is None else cond & c
+    return cond
+
+
+def station_routes(rides: DataFrame) -> DataFrame:
+    """One row per distinct route-and-names tuple with the start time of its
+    earliest ride. The buffer is a single timestamp, so Spark runs a hash
+    aggregate with map-side combine (no sort of the ride table)."""
+    return rides.groupBy(*ROUTE_KEYS).agg(F.min("started_at").alias("first_started_at"))
 
 
 def start_station_ids(routes: DataFrame) -> DataFrame:
@@ -39,7 +47,7 @@ def start_station_ids(routes: DataFrame) -> DataFrame:
 
 
 def matched_routes(routes: DataFrame) -> DataFrame:
-    """Routes whose end id occurs as a start id (J1), still with ``first_seen``."""
+    """Routes whose end id occurs as a start id (J1), with ``first_started_at``."""
     return semi_join_null_safe(routes, start_station_ids(routes), "end_station_id", "start_station_id")
 
 
@@ -75,18 +83,64 @@ def start_station_lookup_conflicts(routes: DataFrame) -> DataFrame:
     return lookup_conflicts(start_station_lookup(routes), "start_station_id")
 
 
-def _first_name(routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    # min_by keeps a null name when it belongs to the earliest ride (wanted);
-    # it is a partial/final aggregate, so no per-key sort or collect.
-    return matched_routes(routes).groupBy(id_col).agg(F.min_by(name_col, "first_seen").alias(name_col))
+# ---- first name per id, ordered by (started_at, ride_id)
+#
+# Within one route all rides carry the same names, so a route's earliest
+# start time decides its place. Only when two routes of one id with different
+# names start at the very same instant is the ride id needed; those few tied
+# routes are looked up in the rides by a (broadcast) join on route and
+# instant, and only if there are any.
+
+
+def _distinct_names(name: Column) -> Column:
+    # number of distinct names, a null name counting as one
+    return F.count_distinct(name) + F.max(name.isNull().cast("int"))
+
+
+def tied_routes(routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """Matched routes that start an id's earliest instant together with a
+    route of another name (candidates needing the ride-id tie-break)."""
+    m = matched_routes(routes)
+    earliest = m.groupBy(id_col).agg(F.min("first_started_at").alias("__t0"))
+    cand = m.join(earliest, m[id_col].eqNullSafe(earliest[id_col]) & m["first_started_at"].eqNullSafe(earliest["__t0"]), "left_semi")
+    amb = cand.groupBy(id_col).agg(_distinct_names(F.col(name_col)).alias("__k")).filter(F.col("__k") > 1)
+    return cand.join(amb, cand[id_col].eqNullSafe(amb[id_col]), "left_semi").select(*ROUTE_KEYS, "first_started_at")
+
+
+def all_tied_routes(routes: DataFrame) -> DataFrame:
+    """Tied routes of both lookups (usually empty)."""
+    return (
+        tied_routes(routes, "end_station_id", "end_station_name")
+        .unionByName(tied_routes(routes, "start_station_id", "start_station_name"))
+        .distinct()
+    )
+
+
+def route_tiebreaks(rides: DataFrame, tied: DataFrame) -> DataFrame:
+    """Smallest ride id among the rides of each tied route at its earliest
+    instant. ``tied`` is small: hint it with ``broadcast_if_small``."""
+    cond = _null_safe_on(rides, tied, ROUTE_KEYS) & (rides["started_at"] == tied["first_started_at"])
+    hits = rides.join(tied, cond, "left_semi")
+    return hits.groupBy(*ROUTE_KEYS).agg(F.min("ride_id").alias("first_ride_id"))
+
+
+def _first_name(routes: DataFrame, tiebreaks: DataFrame | None, id_col: str, name_col: str) -> DataFrame:
+    m = matched_routes(routes)
+    if tiebreaks is not None:
+        m = m.join(tiebreaks, _null_safe_on(m, tiebreaks, ROUTE_KEYS), "left").select(m["*"], tiebreaks["first_ride_id"])
+    else:
+        m = m.withColumn("first_ride_id", F.lit(None).cast("string"))
+    # min_by keeps a null name when it belongs to the earliest ride (wanted)
+    order = F.struct(F.col("first_started_at"), F.col("first_ride_id"))
+    return m.groupBy(id_col).agg(F.min_by(name_col, order).alias(name_col))
 
 
-def end_station_lookup_clean(routes: DataFrame) -> DataFrame:
-    return _first_name(routes, "end_station_id", "end_station_name")
+def end_station_lookup_clean(routes: DataFrame, tiebreaks: DataFrame | None = None) -> DataFrame:
+    return _first_name(routes, tiebreaks, "end_station_id", "end_station_name")
 
 
-def start_station_lookup_clean(routes: DataFrame) -> DataFrame:
-    return _first_name(routes, "start_station_id", "start_station_name")
+def start_station_lookup_clean(routes: DataFrame, tiebreaks: DataFrame | None = None) -> DataFrame:
+    return _first_name(routes, tiebreaks, "start_station_id", "start_station_name")
 
 
 def fill_station_name(rides: DataFrame, lookup: DataFrame, id_col: str, name_col: str) -> DataFrame:

@@ -3,9 +3,11 @@
 Every summary is a ``groupBy(...).agg(...)``: Spark runs a partial
 (map-side) aggregate before the shuffle, so only one row per key and task
 crosses the network and a hot key (one rider type holding a third of all
-rides) is absorbed before it can skew a reducer. Small results with calendar
-or category keys are sorted the way the reference prints them; unbounded ones
-(per location, per ride id) are left unsorted.
+rides) is absorbed before it can skew a reducer.
+
+Only summaries the reference sorts explicitly (``arrange``) are sorted here;
+the implicit key order of a grouped result is presentation, available through
+``calendar_order`` for display, and costs no extra range-partitioning job.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators.clean import casual_rides, short_rides
+from cadence.schema import DAY_NAMES, MONTH_ABBREVIATIONS
 
 # ---------------------------------------------------------------- helpers
 
@@ -37,12 +40,22 @@ def having(df: DataFrame, keys: list[str], count_name: str, min_exclusive: int)
     return df.groupBy(*keys).agg(_count(count_name)).filter(F.col(count_name) > min_exclusive)
 
 
-def _by_day(df: DataFrame, extra_keys: list[str], measures: list[Column], day_first: bool = True) -> DataFrame:
-    """Group with the weekday label, sorted in calendar order (Sunday first)."""
-    keys = (["day_of_week_num", "day_of_week"] + extra_keys) if day_first else (extra_keys + ["day_of_week_num", "day_of_week"])
-    order = [F.col(k).asc_nulls_last() for k in keys if k != "day_of_week"]
-    out = df.groupBy(*keys).agg(*measures).orderBy(*order)
-    return out.drop("day_of_week_num")
+def calendar_order(df: DataFrame, *then: str) -> DataFrame:
+    """Sort a summary for display: weekday (Sunday first) and month columns in
+    calendar order, then ``then`` columns. For small results only."""
+    days = F.array_position(F.array(*[F.lit(d) for d in DAY_NAMES]), F.col("day_of_week"))
+    keys: list[Column] = []
+    if "day_of_week" in df.columns:
+        keys.append(days.asc_nulls_last())
+    if "month" in df.columns and dict(df.dtypes)["month"] == "string":
+        months = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBREVIATIONS]), F.col("month"))
+        keys.append(months.asc_nulls_last())
+    keys += [F.col(c).asc_nulls_last() for c in then]
+    return df.orderBy(*keys)
+
+
+def _by_day(df: DataFrame, extra_keys: list[str], measures: list[Column]) -> DataFrame:
+    return df.groupBy("day_of_week", *extra_keys).agg(*measures)
 
 
 # ------------------------------------------------------- rider-type shares
@@ -53,41 +66,39 @@ def ride_share_by_member_type(rides: DataFrame) -> DataFrame:
     window sum over the (two-row) aggregate, never over raw rides."""
     counts = rides.groupBy("member_casual").agg(_count("total_rides"))
     total = F.sum("total_rides").over(Window.partitionBy())
-    return counts.withColumn("proportion", F.col("total_rides") / total).orderBy(F.col("member_casual").asc_nulls_last())
+    return counts.withColumn("proportion", F.col("total_rides") / total)
 
 
 def short_rides_summary(rides: DataFrame, max_seconds: float = 60) -> DataFrame:
-    return summarize(short_rides(rides, max_seconds), ["member_casual"], [_count("count")], ["member_casual"])
+    return summarize(short_rides(rides, max_seconds), ["member_casual"], [_count("count")])
 
 
 # ------------------------------------------------------ rider x bike type
 
 
 def rides_by_rideable_type_and_member_type(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["member_casual", "rideable_type"], [_count("ride_count")], ["member_casual", "rideable_type"])
+    return summarize(rides, ["member_casual", "rideable_type"], [_count("ride_count")])
 
 
 def bike_usage_by_type(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["rideable_type", "member_casual"], [_count("ride_count")], ["rideable_type", "member_casual"])
+    return summarize(rides, ["rideable_type", "member_casual"], [_count("ride_count")])
 
 
 def rideable_type_distribution(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["rideable_type", "member_casual"], [_count("number_of_rides")], ["rideable_type", "member_casual"])
+    return summarize(rides, ["rideable_type", "member_casual"], [_count("number_of_rides")])
 
 
 def member_vs_casual_usage(rides: DataFrame) -> DataFrame:
-    return summarize(
-        rides, ["member_casual", "rideable_type"], [_mean("ride_length", "average_ride_length")], ["member_casual", "rideable_type"]
-    )
+    return summarize(rides, ["member_casual", "rideable_type"], [_mean("ride_length", "average_ride_length")])
 
 
 def avg_ride_duration_by_type(rides: DataFrame) -> DataFrame:
-    return summarize(
-        rides, ["rideable_type", "member_casual"], [_mean("ride_length", "average_ride_length")], ["rideable_type", "member_casual"]
-    )
+    return summarize(rides, ["rideable_type", "member_casual"], [_mean("ride_length", "average_ride_length")])
 
 
 # ------------------------------------------------------------ time of week
+# (the three "by type and ..." tables are sorted by their keys in the
+# reference, weekday in calendar order)
 
 
 def rides_by_type_and_day(rides: DataFrame) -> DataFrame:
@@ -100,19 +111,17 @@ def rides_by_type_and_day(rides: DataFrame) -> DataFrame:
 
 
 def rides_by_type_and_hour(rides: DataFrame) -> DataFrame:
-    return summarize(
-        rides, ["member_casual", "rideable_type", "hour_of_day"], [_count("ride_count")], ["member_casual", "rideable_type", "hour_of_day"]
-    )
+    keys = ["member_casual", "rideable_type", "hour_of_day"]
+    return summarize(rides, keys, [_count("ride_count")], keys)
 
 
 def rides_by_weekend_weekday(rides: DataFrame) -> DataFrame:
-    return summarize(
-        rides, ["member_casual", "rideable_type", "is_weekend"], [_count("ride_count")], ["member_casual", "rideable_type", "is_weekend"]
-    )
+    keys = ["member_casual", "rideable_type", "is_weekend"]
+    return summarize(rides, keys, [_count("ride_count")], keys)
 
 
 def average_ride_length_by_member(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["member_casual"], [_mean("ride_length", "average_ride_length")], ["member_casual"])
+    return summarize(rides, ["member_casual"], [_mean("ride_length", "average_ride_length")])
 
 
 def average_ride_length_by_day(rides: DataFrame) -> DataFrame:
@@ -128,17 +137,12 @@ def ride_frequency_by_day(rides: DataFrame) -> DataFrame:
 
 
 def hourly_rides(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["hour_of_day", "member_casual"], [_count("ride_count")], ["hour_of_day", "member_casual"])
+    return summarize(rides, ["hour_of_day", "member_casual"], [_count("ride_count")])
 
 
 def avg_ride_duration(rides: DataFrame) -> DataFrame:
     """Heat-map data: mean length per weekday x hour."""
-    out = (
-        rides.groupBy("day_of_week_num", "day_of_week", "hour_of_day")
-        .agg(_mean("ride_length", "average_ride_length"))
-        .orderBy("day_of_week_num", "hour_of_day")
-    )
-    return out.drop("day_of_week_num")
+    return _by_day(rides, ["hour_of_day"], [_mean("ride_length", "average_ride_length")])
 
 
 # ------------------------------------------------------------ length stats
@@ -153,12 +157,11 @@ def ride_length_stats(rides: DataFrame, unit_seconds: float = 1.0) -> DataFrame:
     scaled, which is the same number without extra rounding.
     """
     s = F.lit(float(unit_seconds))
-    out = rides.groupBy("member_casual").agg(
+    return rides.groupBy("member_casual").agg(
         (F.avg("ride_length") / s).alias("average_ride_length"),
         (F.median("ride_length") / s).alias("median_ride_length"),
         (F.max("ride_length") / s).alias("max_ride_length"),
     )
-    return out.orderBy("member_casual")
 
 
 def ride_length_stats_minutes(rides: DataFrame) -> DataFrame:
@@ -170,33 +173,21 @@ def ride_length_stats_minutes(rides: DataFrame) -> DataFrame:
 
 def monthly_rides(rides: DataFrame) -> DataFrame:
     """Rides per abbreviated month label (years pooled) x rider type."""
-    out = (
-        rides.groupBy("month_num", F.col("month_label").alias("month"), "member_casual")
-        .agg(_count("ride_count"))
-        .orderBy("month_num", "member_casual")
-    )
-    return out.drop("month_num")
+    return rides.groupBy(F.col("month_label").alias("month"), "member_casual").agg(_count("ride_count"))
 
 
 def rides_by_month(rides: DataFrame) -> DataFrame:
     """Rides per calendar month (years kept apart) x rider type."""
-    return summarize(
-        rides.withColumnRenamed("month_start", "month"), ["month", "member_casual"], [_count("number_of_rides")], ["month", "member_casual"]
-    )
+    return rides.groupBy(F.col("month_start").alias("month"), "member_casual").agg(_count("number_of_rides"))
 
 
 def monthly_ride_count(rides: DataFrame) -> DataFrame:
-    """Rides per full month name, sorted alphabetically like plain text."""
-    return summarize(rides.withColumnRenamed("month_name", "month"), ["month"], [_count("total_rides")], ["month"])
+    """Rides per full month name (plain text, so it sorts alphabetically)."""
+    return rides.groupBy(F.col("month_name").alias("month")).agg(_count("total_rides"))
 
 
 def bike_usage_by_month_type(rides: DataFrame) -> DataFrame:
-    out = (
-        rides.groupBy("rideable_type", "month_num", F.col("month_label").alias("month"), "member_casual")
-        .agg(_count("ride_count"))
-        .orderBy("rideable_type", "month_num", "member_casual")
-    )
-    return out.drop("month_num")
+    return rides.groupBy("rideable_type", F.col("month_label").alias("month"), "member_casual").agg(_count("ride_count"))
 
 
 # ------------------------------------------------- places, ids, distances
@@ -221,7 +212,7 @@ def ride_repetition(rides: DataFrame, min_rides_exclusive: int = 1) -> DataFrame
 def average_trip_distance(rides: DataFrame, digits: int = 6) -> DataFrame:
     """Mean straight-line distance per rider type, rounded to ``digits`` (the
     float sum depends on summation order in the last bits)."""
-    return summarize(rides, ["member_casual"], [F.round(F.avg("trip_distance"), digits).alias("average_trip_distance")], ["member_casual"])
+    return summarize(rides, ["member_casual"], [F.round(F.avg("trip_distance"), digits).alias("average_trip_distance")])
 
 
 def station_utilization(rides: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ Stages (each a Spark job over the whole input):
    (end id, start id, end name, start name) tuples with their earliest ride.
    Written to the shared folder.
 2. lookups: first name per end / start station id, derived from ``routes``
-   (small). Written, counted, broadcast only below the row bound.
+   (small). Cached, counted, broadcast only below the row bound. Ride ids
+   are consulted only for routes tied at an id's earliest instant.
 3. ``complete``: rides with names filled (broadcast hash joins, the ride side
    never shuffles), incomplete rows dropped, all features added. Written
    once as Parquet; later summaries read only the columns they need and push
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from cadence.operators import clean as K
@@ -35,20 +37,20 @@ class PreparedRides:
     complete: DataFrame
     min_seconds: float = 10
     fill_start: bool = True
+    # lookups as they enter the fill joins (broadcast-hinted when counted small)
+    end_join: DataFrame | None = None
+    start_join: DataFrame | None = None
     extras: dict = field(default_factory=dict)
 
-    def _lk(self, lookup: DataFrame, materialized: bool) -> DataFrame:
-        return broadcast_if_small(lookup) if materialized else lookup
-
     def filled_end(self) -> DataFrame:
         """All rides with missing end names filled (no rows dropped)."""
-        return K.fill_end_station_name(self.raw, self._lk(self.end_lookup, self.extras.get("materialized", False)))
+        return K.fill_end_station_name(self.raw, self.end_join if self.end_join is not None else self.end_lookup)
 
     def filled(self) -> DataFrame:
         """All rides after both fills (or only the end fill)."""
         out = self.filled_end()
         if self.fill_start:
-            out = K.fill_start_station_name(out, self._lk(self.start_lookup, self.extras.get("materialized", False)))
+            out = K.fill_start_station_name(out, self.start_join if self.start_join is not None else self.start_lookup)
         return out
 
     @property
@@ -62,21 +64,34 @@ def prepare_rides(
     *,
     min_seconds: float = 10,
     fill_start: bool = True,
-    order_by: tuple[str, ...] = K.DEFAULT_ORDER,
     persist: bool = True,
 ) -> PreparedRides:
     """Run (``persist=True``) or just declare (``persist=False``) the cleaning
-    plan for ``rides``. With ``persist`` the three stages are written to
-    ``spark.checkpoint.dir`` and the returned frames read those tables."""
-    routes = K.station_routes(rides, order_by)
+    plan for ``rides``.
+
+    With ``persist`` the route table and the complete rides are written to
+    ``spark.checkpoint.dir``; the station lookups (a few thousand rows derived
+    from the written routes, so a lost block is recomputed cheaply) are cached
+    and counted before they are broadcast.
+    """
+    routes = K.station_routes(rides)
     if persist:
         routes = materialize(routes, "station_routes")
-    end_lk = K.end_station_lookup_clean(routes)
-    start_lk = K.start_station_lookup_clean(routes)
+        tied = K.all_tied_routes(routes).persist(StorageLevel.MEMORY_AND_DISK)
+        n_tied = tied.count()
+        tiebreaks = (
+            materialize(K.route_tiebreaks(rides, broadcast_if_small(tied)), "route_tiebreaks") if n_tied else None
+        )
+    else:
+        tiebreaks = K.route_tiebreaks(rides, K.all_tied_routes(routes))
+    end_lk = K.end_station_lookup_clean(routes, tiebreaks)
+    start_lk = K.start_station_lookup_clean(routes, tiebreaks)
+    prep = PreparedRides(rides, routes, end_lk, start_lk, rides, min_seconds, fill_start)
     if persist:
-        end_lk = materialize(end_lk, "end_station_lookup_clean")
-        start_lk = materialize(start_lk, "start_station_lookup_clean")
-    prep = PreparedRides(rides, routes, end_lk, start_lk, rides, min_seconds, fill_start, {"materialized": persist})
+        prep.end_lookup = end_lk.persist(StorageLevel.MEMORY_AND_DISK)
+        prep.start_lookup = start_lk.persist(StorageLevel.MEMORY_AND_DISK)
+        prep.end_join = broadcast_if_small(prep.end_lookup)
+        prep.start_join = broadcast_if_small(prep.start_lookup) if fill_start else None
     complete = add_features(K.drop_incomplete_rides(prep.filled()))
     if persist:
         complete = materialize(complete, "complete_rides")
