@@ -74,11 +74,13 @@ def head_per_group(df: DataFrame, n: int, partition: list[str], order: list[Colu
 
 
 def top_start_stations(rides: DataFrame, n: int = 10) -> DataFrame:
-    return sort_by(top_with_ties(popular_start_stations(rides), n, "ride_count"), "-ride_count", "start_station_name")
+    counts = _station_counts(rides, "start_station_name", False, "ride_count")
+    return sort_by(top_with_ties(counts, n, "ride_count"), "-ride_count", "start_station_name")
 
 
 def top_end_stations(rides: DataFrame, n: int = 10) -> DataFrame:
-    return sort_by(top_with_ties(popular_end_stations(rides), n, "ride_count"), "-ride_count", "end_station_name")
+    counts = _station_counts(rides, "end_station_name", False, "ride_count")
+    return sort_by(top_with_ties(counts, n, "ride_count"), "-ride_count", "end_station_name")
 
 
 def top_start_stations_by_member(rides: DataFrame, n: int = 10) -> DataFrame:
@@ -128,4 +130,4 @@ def display_order(df: DataFrame, label: str, value: str) -> DataFrame:
     """
     means = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.avg(value).alias("order_value"))
     w = Window.orderBy(F.col("order_value").asc(), F.col(label).asc())
-    return means.withColumn("position", F.row_number().over(w)).orderBy("position")
+    return means.withColumn("position", F.row_number().over(w))
