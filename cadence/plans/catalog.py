@@ -85,6 +85,15 @@ def q_combine_ride_files(spark, sf_dir):
     return CSV.combine_ride_files(frames)
 
 
+@query("ingest_ride_files")
+def q_ingest_ride_files(spark, sf_dir):
+    """Streaming form of combining monthly files: every monthly CSV folder is
+    ingested once by a file-source stream into an append-only table."""
+    from cadence.streaming import ingest_ride_files
+
+    return ingest_ride_files(spark, f"{_rides_csv(spark, sf_dir, True)}/month=*")
+
+
 _EXPORT_SCHEMAS = {
     "average_ride_length_by_member": "member_casual string, average_ride_length double",
     "average_ride_length_by_day": "day_of_week string, member_casual string, average_ride_length double",

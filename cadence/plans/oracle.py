@@ -134,6 +134,7 @@ def oracle_sql() -> dict[str, str]:
     # ---- sources / sinks
     q["read_rides_csv"] = _q(f"SELECT {_RIDE_COLS} FROM rides")
     q["combine_ride_files"] = _q(f"SELECT {_RIDE_COLS} FROM rides")
+    q["ingest_ride_files"] = _q(f"SELECT {_RIDE_COLS} FROM rides")
     q["write_summary_csv"] = _q(
         """
         SELECT 'average_ride_length_by_member' AS export, NULL::VARCHAR AS day_of_week, member_casual,
@@ -341,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
         _STATION_COUNTS,
     )
     q["display_order"] = _q(
-        "SELECT start_station_name, order_value, row_number() OVER (ORDER BY order_value, start_station_name) AS position "
+        "SELECT start_station_name, order_value, CAST(row_number() OVER (ORDER BY order_value, start_station_name) AS INTEGER) AS position "
         "FROM (SELECT start_station_name, avg(ride_count) AS order_value FROM top_by_member_start "
         "WHERE start_station_name IS NOT NULL GROUP BY start_station_name)",
         _STATION_COUNTS,

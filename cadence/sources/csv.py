@@ -14,7 +14,7 @@ from cadence.schema import RIDES, STRING_COLUMNS, TIMESTAMP_COLUMNS
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def _read_schema() -> T.StructType:
+def ride_read_schema() -> T.StructType:
     # Timestamps are parsed as instants so that both '2024-01-01 08:00:00' and
     # '2024-01-01T08:00:00Z' are understood; they are turned into UTC wall-clock
     # TIMESTAMP_NTZ afterwards.
@@ -23,25 +23,20 @@ def _read_schema() -> T.StructType:
     )
 
 
-def read_rides_csv(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """Read one or many ride CSV files (header row) with the fixed schema.
+CSV_READ_OPTIONS = {
+    "header": "true",
+    "nullValue": "NA",
+    "ignoreLeadingWhiteSpace": "true",
+    "ignoreTrailingWhiteSpace": "true",
+    "timeZone": "UTC",
+    "mode": "PERMISSIVE",
+}
 
-    Empty cells, quoted empty cells and ``NA`` are null; cells are trimmed;
-    timestamps without a zone are read as UTC. One multi-path read: Spark
-    splits the files into tasks, no per-file driver loop.
-    """
-    path_list = [paths] if isinstance(paths, str) else list(paths)
-    raw = (
-        spark.read.schema(_read_schema())
-        .option("header", True)
-        .option("nullValue", "NA")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("timeZone", "UTC")
-        .option("mode", "PERMISSIVE")
-        .csv(path_list)
-    )
-    session_tz = spark.conf.get("spark.sql.session.timeZone")
+
+def normalize_rides(raw: DataFrame) -> DataFrame:
+    """Rides as parsed by the CSV reader -> the fixed ride schema: empty and
+    ``NA`` strings become null, instants become UTC wall-clock NTZ."""
+    session_tz = raw.sparkSession.conf.get("spark.sql.session.timeZone")
     cols = []
     for f in RIDES:
         c = F.col(f.name)
@@ -55,6 +50,18 @@ def read_rides_csv(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame
     return raw.select(*cols)
 
 
+def read_rides_csv(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+    """Read one or many ride CSV files (header row) with the fixed schema.
+
+    Empty cells, quoted empty cells and ``NA`` are null; cells are trimmed;
+    timestamps without a zone are read as UTC. One multi-path read: Spark
+    splits the files into tasks, no per-file driver loop.
+    """
+    path_list = [paths] if isinstance(paths, str) else list(paths)
+    raw = spark.read.schema(ride_read_schema()).options(**CSV_READ_OPTIONS).csv(path_list)
+    return normalize_rides(raw)
+
+
 def combine_ride_files(frames: Iterable[DataFrame]) -> DataFrame:
     """Stack ride frames by column name; columns missing in a frame are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), list(frames))
