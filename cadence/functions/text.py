@@ -23,20 +23,21 @@ def percent_label(proportion: str | Column, digits: int = 0) -> Column:
 def r_format_digits(x: str | Column, digits: int = 2) -> Column:
     """Text of a number shown with at least ``digits`` significant digits and
     never fewer integer digits than it has: 734.6 -> '735', 14701.0 -> '14701',
-    1.234 -> '1.2', 0.01234 -> '0.012'. Ties round to even.
+    1.234 -> '1.2', 0.01234 -> '0.012'. Ties round to even; trailing zeros
+    are dropped.
     """
     v = _c(x)
     mag = F.floor(F.log10(F.abs(v)))
     whole = F.bround(v, 0).cast("bigint").cast("string")
-    out = F.when(v.isNull(), F.lit(None).cast("string")).when(v == 0, F.lit("0"))
-    out = out.when(mag >= digits - 1, whole)
-    # below that, the number of decimals is digits - 1 - mag; one branch per case
-    for decimals in range(1, 16):
-        text = F.regexp_replace(
-            F.regexp_replace(F.format_string(f"%.{decimals}f", F.bround(v, decimals)), "0+$", ""), "\\.$", ""
-        )
-        out = out.when(mag == digits - 1 - decimals, text)
-    return out.otherwise(F.format_string("%e", v))
+    # format_number rounds half-even and takes the number of decimals per row
+    decimals = (F.lit(digits - 1) - mag).cast("int")
+    frac = F.regexp_replace(F.regexp_replace(F.call_function("format_number", v, decimals), ",", ""), "\\.?0+$", "")
+    return (
+        F.when(v.isNull(), F.lit(None).cast("string"))
+        .when(v == 0, F.lit("0"))
+        .when(mag >= digits - 1, whole)
+        .otherwise(frac)
+    )
 
 
 def report_line(label: str, value: str | Column) -> Column:

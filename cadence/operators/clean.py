@@ -86,34 +86,35 @@ def start_station_lookup_conflicts(routes: DataFrame) -> DataFrame:
 # ---- first name per id, ordered by (started_at, ride_id)
 #
 # Within one route all rides carry the same names, so a route's earliest
-# start time decides its place. Only when two routes of one id with different
-# names start at the very same instant is the ride id needed; those few tied
-# routes are looked up in the rides by a (broadcast) join on route and
-# instant, and only if there are any.
+# start time decides its place. One aggregation per id takes both the
+# smallest and the largest name among the routes at the earliest instant;
+# when they differ, routes with different names started together and only
+# the ride ids can order them. Those few tied routes are looked up in the
+# rides by a (broadcast) join on route and instant, and only if any exist.
 
 
-def _distinct_names(name: Column) -> Column:
-    # number of distinct names, a null name counting as one
-    return F.count_distinct(name) + F.max(name.isNull().cast("int"))
+def first_names(routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """Per id: the name of its earliest matched route, the earliest instant
+    ``t0`` and a flag ``tied`` (routes with different names share ``t0``)."""
+    m = matched_routes(routes)
+    micros = F.unix_micros(F.col("first_started_at").cast("timestamp"))
+    lo = F.min(F.struct(F.col("first_started_at").alias("t"), F.col(name_col).alias("n")))
+    hi = F.max(F.struct((-micros).alias("t"), F.col(name_col).alias("n")))
+    agg = m.groupBy(id_col).agg(lo.alias("__lo"), hi.alias("__hi"))
+    return agg.select(
+        id_col,
+        F.col("__lo.n").alias(name_col),
+        F.col("__lo.t").alias("t0"),
+        (~F.col("__lo.n").eqNullSafe(F.col("__hi.n"))).alias("tied"),
+    )
 
 
-def tied_routes(routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Matched routes that start an id's earliest instant together with a
-    route of another name (candidates needing the ride-id tie-break)."""
+def tied_routes(routes: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
+    """Matched routes of tied ids that start at the id's earliest instant."""
     m = matched_routes(routes)
-    earliest = m.groupBy(id_col).agg(F.min("first_started_at").alias("__t0"))
-    cand = m.join(earliest, m[id_col].eqNullSafe(earliest[id_col]) & m["first_started_at"].eqNullSafe(earliest["__t0"]), "left_semi")
-    amb = cand.groupBy(id_col).agg(_distinct_names(F.col(name_col)).alias("__k")).filter(F.col("__k") > 1)
-    return cand.join(amb, cand[id_col].eqNullSafe(amb[id_col]), "left_semi").select(*ROUTE_KEYS, "first_started_at")
-
-
-def all_tied_routes(routes: DataFrame) -> DataFrame:
-    """Tied routes of both lookups (usually empty)."""
-    return (
-        tied_routes(routes, "end_station_id", "end_station_name")
-        .unionByName(tied_routes(routes, "start_station_id", "start_station_name"))
-        .distinct()
-    )
+    t = names.filter("tied").select(F.col(id_col).alias("__id"), "t0")
+    cond = m[id_col].eqNullSafe(t["__id"]) & (m["first_started_at"] == t["t0"])
+    return m.join(t, cond, "left_semi").select(*ROUTE_KEYS, "first_started_at")
 
 
 def route_tiebreaks(rides: DataFrame, tied: DataFrame) -> DataFrame:
@@ -124,23 +125,32 @@ def route_tiebreaks(rides: DataFrame, tied: DataFrame) -> DataFrame:
     return hits.groupBy(*ROUTE_KEYS).agg(F.min("ride_id").alias("first_ride_id"))
 
 
-def _first_name(routes: DataFrame, tiebreaks: DataFrame | None, id_col: str, name_col: str) -> DataFrame:
-    m = matched_routes(routes)
-    if tiebreaks is not None:
-        m = m.join(tiebreaks, _null_safe_on(m, tiebreaks, ROUTE_KEYS), "left").select(m["*"], tiebreaks["first_ride_id"])
-    else:
-        m = m.withColumn("first_ride_id", F.lit(None).cast("string"))
-    # min_by keeps a null name when it belongs to the earliest ride (wanted)
-    order = F.struct(F.col("first_started_at"), F.col("first_ride_id"))
-    return m.groupBy(id_col).agg(F.min_by(name_col, order).alias(name_col))
+def resolve_ties(names: DataFrame, tied: DataFrame, tiebreaks: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """Lookup (id, name): tied ids take the name of the route whose earliest
+    ride has the smallest ride id."""
+    best = (
+        tied.join(tiebreaks, _null_safe_on(tied, tiebreaks, ROUTE_KEYS), "inner")
+        .select(tied[id_col].alias("__id"), tied[name_col].alias("__n"), tiebreaks["first_ride_id"])
+        .groupBy("__id")
+        .agg(F.min_by("__n", "first_ride_id").alias("__n"))
+    )
+    j = names.join(best, names[id_col].eqNullSafe(best["__id"]), "left")
+    return j.select(id_col, F.when(F.col("tied"), F.col("__n")).otherwise(F.col(name_col)).alias(name_col))
+
+
+def lookup_clean(rides: DataFrame, routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """Fully lazy lookup (tie-break pass always planned)."""
+    names = first_names(routes, id_col, name_col)
+    tied = tied_routes(routes, names, id_col)
+    return resolve_ties(names, tied, route_tiebreaks(rides, tied), id_col, name_col)
 
 
-def end_station_lookup_clean(routes: DataFrame, tiebreaks: DataFrame | None = None) -> DataFrame:
-    return _first_name(routes, tiebreaks, "end_station_id", "end_station_name")
+def end_station_lookup_clean(rides: DataFrame, routes: DataFrame) -> DataFrame:
+    return lookup_clean(rides, routes, "end_station_id", "end_station_name")
 
 
-def start_station_lookup_clean(routes: DataFrame, tiebreaks: DataFrame | None = None) -> DataFrame:
-    return _first_name(routes, tiebreaks, "start_station_id", "start_station_name")
+def start_station_lookup_clean(rides: DataFrame, routes: DataFrame) -> DataFrame:
+    return lookup_clean(rides, routes, "start_station_id", "start_station_name")
 
 
 def fill_station_name(rides: DataFrame, lookup: DataFrame, id_col: str, name_col: str) -> DataFrame:

@@ -28,6 +28,8 @@ def broadcast_if_small(small: DataFrame, max_rows: int | None = None) -> DataFra
 
 def semi_join_null_safe(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``'s key column, with a
-    null key matching a null key (membership test ``x %in% y``)."""
-    r = right.select(F.col(right_key).alias("__semi_key")).distinct()
+    null key matching a null key (membership test ``x %in% y``). A semi join
+    needs no distinct right side; pass a distinct (and, when counted small,
+    broadcast-hinted) frame to keep the build side small."""
+    r = right.select(F.col(right_key).alias("__semi_key"))
     return left.join(r, left[left_key].eqNullSafe(r["__semi_key"]), "left_semi")

@@ -167,8 +167,7 @@ def q_analysis_summary(spark, sf_dir):
 
 @query("select_columns")
 def q_select_columns(spark, sf_dir):
-    p = _p(spark, sf_dir)
-    return K.semi_join_null_safe(p.raw, K.start_station_ids(p.routes), "end_station_id", "start_station_id").select(*K.ROUTE_KEYS)
+    return _p(spark, sf_dir).matched_rides().select(*K.ROUTE_KEYS)
 
 
 @query("drop_column")
@@ -208,8 +207,7 @@ on_routes("grouped_filter", lambda r: K.grouped_filter(K.matching_station_ids(r)
 
 @query("is_in_column")
 def q_is_in_column(spark, sf_dir):
-    p = _p(spark, sf_dir)
-    return K.semi_join_null_safe(p.raw, K.start_station_ids(p.routes), "end_station_id", "start_station_id")
+    return _p(spark, sf_dir).matched_rides()
 
 
 on_cleaned(

@@ -53,6 +53,25 @@ class PreparedRides:
             out = K.fill_start_station_name(out, self.start_join if self.start_join is not None else self.start_lookup)
         return out
 
+    def start_ids(self) -> DataFrame:
+        """Distinct start ids, for membership tests against all rides."""
+        if self.extras.get("start_ids") is None:
+            ids = K.start_station_ids(self.routes)
+            if self.extras.get("materialized"):
+                ids = broadcast_if_small(ids.persist(StorageLevel.MEMORY_AND_DISK))
+            self.extras["start_ids"] = ids
+        return self.extras["start_ids"]
+
+    def matched_rides(self) -> DataFrame:
+        """J1 over all rides: rides whose end id occurs as a start id."""
+        return K.semi_join_null_safe(self.raw, self.start_ids(), "end_station_id", "start_station_id")
+
+    def release(self) -> None:
+        """Drop the cached lookups (the written tables stay in the shared folder)."""
+        for df in (self.end_lookup, self.start_lookup, self.extras.get("start_ids")):
+            if df is not None:
+                df.unpersist()
+
     @property
     def cleaned(self) -> DataFrame:
         """Complete rides longer than 0 s and than ``min_seconds``."""
@@ -74,22 +93,27 @@ def prepare_rides(
     from the written routes, so a lost block is recomputed cheaply) are cached
     and counted before they are broadcast.
     """
-    routes = K.station_routes(rides)
     if persist:
-        routes = materialize(routes, "station_routes")
-        tied = K.all_tied_routes(routes).persist(StorageLevel.MEMORY_AND_DISK)
-        n_tied = tied.count()
-        tiebreaks = (
-            materialize(K.route_tiebreaks(rides, broadcast_if_small(tied)), "route_tiebreaks") if n_tied else None
-        )
+        rides = spread_if_few_partitions(rides)
+    routes = K.station_routes(rides)
+    if not persist:
+        end_lk = K.end_station_lookup_clean(rides, routes)
+        start_lk = K.start_station_lookup_clean(rides, routes)
+        prep = PreparedRides(rides, routes, end_lk, start_lk, rides, min_seconds, fill_start)
     else:
-        tiebreaks = K.route_tiebreaks(rides, K.all_tied_routes(routes))
-    end_lk = K.end_station_lookup_clean(routes, tiebreaks)
-    start_lk = K.start_station_lookup_clean(routes, tiebreaks)
-    prep = PreparedRides(rides, routes, end_lk, start_lk, rides, min_seconds, fill_start)
-    if persist:
-        prep.end_lookup = end_lk.persist(StorageLevel.MEMORY_AND_DISK)
-        prep.start_lookup = start_lk.persist(StorageLevel.MEMORY_AND_DISK)
+        routes = materialize(routes, "station_routes")
+        lookups = {}
+        for id_col, name_col in (("end_station_id", "end_station_name"), ("start_station_id", "start_station_name")):
+            names = K.first_names(routes, id_col, name_col).persist(StorageLevel.MEMORY_AND_DISK)
+            if names.filter("tied").count():
+                tied = K.tied_routes(routes, names, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+                breaks = materialize(K.route_tiebreaks(rides, broadcast_if_small(tied)), f"tiebreaks_{id_col}")
+                lk = K.resolve_ties(names, tied, breaks, id_col, name_col).persist(StorageLevel.MEMORY_AND_DISK)
+            else:
+                lk = names.select(id_col, name_col)
+            lookups[id_col] = lk
+        prep = PreparedRides(rides, routes, lookups["end_station_id"], lookups["start_station_id"], rides, min_seconds, fill_start)
+        prep.extras["materialized"] = True
         prep.end_join = broadcast_if_small(prep.end_lookup)
         prep.start_join = broadcast_if_small(prep.start_lookup) if fill_start else None
     complete = add_features(K.drop_incomplete_rides(prep.filled()))
@@ -99,6 +123,16 @@ def prepare_rides(
     return prep
 
 
+def spread_if_few_partitions(rides: DataFrame) -> DataFrame:
+    """Inputs that arrive as very few splits (one large unsplittable file, a
+    single row group) are spread round-robin over the cluster's cores before
+    the heavy stages. Inputs with many splits are left alone (no shuffle)."""
+    cores = rides.sparkSession.sparkContext.defaultParallelism
+    if rides.rdd.getNumPartitions() * 2 <= cores:
+        return rides.repartition(cores)
+    return rides
+
+
 def clean_rides(rides: DataFrame, min_seconds: float = 10, fill_start: bool = True) -> DataFrame:
     """Fully lazy cleaned rides (one plan, nothing written): handy for a single
     query; use ``prepare_rides`` when several summaries share the input."""
