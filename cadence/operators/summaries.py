@@ -148,18 +148,21 @@ def avg_ride_duration(rides: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ length stats
 
 
-def ride_length_stats(rides: DataFrame, unit_seconds: float = 1.0) -> DataFrame:
-    """Mean, exact median and max length per rider type.
+def ride_length_stats(rides: DataFrame, unit_seconds: float = 1.0, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """Mean, median and max length per rider type.
 
     Lengths are whole seconds, so the exact ``median`` (a value->count map per
     group, merged map-side) stays bounded by the number of distinct lengths.
+    ``exact=False`` uses ``percentile_approx`` (fixed-size sketch, relative
+    rank error 1/accuracy) for inputs with unbounded distinct values.
     ``unit_seconds=60`` reports minutes; statistics are taken on seconds and
     scaled, which is the same number without extra rounding.
     """
     s = F.lit(float(unit_seconds))
+    med = F.median("ride_length") if exact else F.percentile_approx("ride_length", 0.5, accuracy)
     return rides.groupBy("member_casual").agg(
         (F.avg("ride_length") / s).alias("average_ride_length"),
-        (F.median("ride_length") / s).alias("median_ride_length"),
+        (med / s).alias("median_ride_length"),
         (F.max("ride_length") / s).alias("max_ride_length"),
     )
 
@@ -215,15 +218,18 @@ def average_trip_distance(rides: DataFrame, digits: int = 6) -> DataFrame:
     return summarize(rides, ["member_casual"], [F.round(F.avg("trip_distance"), digits).alias("average_trip_distance")])
 
 
-def station_utilization(rides: DataFrame) -> DataFrame:
+def station_utilization(rides: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Rides and distinct ride ids per start station, busiest first.
 
     A null ride id counts as one more distinct value. ``count_distinct`` is
     planned as a two-level aggregate keyed by (station, ride_id) first, so a
-    busy station is spread over many reducers.
+    busy station is spread over many reducers. ``exact=False`` uses a
+    HyperLogLog++ sketch (``approx_count_distinct``, one shuffle, fixed-size
+    buffers).
     """
+    distinct = F.count_distinct("ride_id") if exact else F.approx_count_distinct("ride_id", rsd)
     out = rides.groupBy("start_station_name").agg(
         _count("station_rides"),
-        (F.count_distinct("ride_id") + F.max(F.col("ride_id").isNull().cast("int"))).alias("unique_bikes"),
+        (distinct + F.max(F.col("ride_id").isNull().cast("int"))).alias("unique_bikes"),
     )
     return out.orderBy(F.col("station_rides").desc(), F.col("start_station_name").asc_nulls_last())

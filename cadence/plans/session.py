@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 # Runtime options every plan here relies on.
 RUNTIME_CONF = {
+    # Ride times are wall-clock UTC (TIMESTAMP_NTZ); differences and labels
+    # must not pass through a zone with daylight-saving gaps.
+    "spark.sql.session.timeZone": "UTC",
     # AQE: runtime re-planning, coalescing of small shuffle partitions,
     # splitting of skewed join partitions.
     "spark.sql.adaptive.enabled": "true",
