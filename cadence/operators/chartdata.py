@@ -35,6 +35,19 @@ def rides_by_day_counts(rides: DataFrame) -> DataFrame:
     return rides.groupBy("day_of_week", "member_casual").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _quartiles(rides: DataFrame, group: str, seconds_col: str) -> DataFrame:
+    """Quartiles per group (linear interpolation), written to the shared
+    folder and broadcast after a row-count check (one row per group)."""
+    q = rides.groupBy(group).agg(F.percentile(seconds_col, [0.25, 0.5, 0.75]).alias("__q"))
+    q = q.select(group, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__med"), F.col("__q")[2].alias("__q3"))
+    return broadcast_if_small(materialize(q, "boxplot_quartiles"))
+
+
+def _fences() -> tuple[Column, Column]:
+    iqr = F.col("__q3") - F.col("__q1")
+    return F.col("__q1") - F.lit(1.5) * iqr, F.col("__q3") + F.lit(1.5) * iqr
+
+
 def ride_length_boxplot(rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length", unit_seconds: float = 60.0) -> DataFrame:
     """Box-plot figures per group: quartiles (linear interpolation), whiskers
     at the most extreme values within 1.5 x IQR of the box, and the number of
@@ -45,17 +58,8 @@ def ride_length_boxplot(rides: DataFrame, group: str = "member_casual", seconds_
     for whiskers and outlier counts. Quartiles are taken on whole seconds and
     scaled afterwards, so no rounding differs between passes.
     """
-    q = rides.groupBy(group).agg(F.percentile(seconds_col, [0.25, 0.5, 0.75]).alias("__q"))
-    q = q.select(
-        group,
-        F.col("__q")[0].alias("__q1"),
-        F.col("__q")[1].alias("__med"),
-        F.col("__q")[2].alias("__q3"),
-    )
-    stats = broadcast_if_small(materialize(q, "boxplot_quartiles"))
-    iqr = F.col("__q3") - F.col("__q1")
-    lo_fence = F.col("__q1") - F.lit(1.5) * iqr
-    hi_fence = F.col("__q3") + F.lit(1.5) * iqr
+    stats = _quartiles(rides, group, seconds_col)
+    lo_fence, hi_fence = _fences()
     x = F.col(seconds_col)
     joined = rides.select(group, seconds_col).filter(x.isNotNull()).join(stats, group, "inner")
     agg = joined.groupBy(group, "__q1", "__med", "__q3").agg(
@@ -75,6 +79,16 @@ def ride_length_boxplot(rides: DataFrame, group: str = "member_casual", seconds_
     )
 
 
+def ride_length_outliers(rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length") -> DataFrame:
+    """The box plot's outlier points: rides beyond 1.5 x IQR of their group's
+    box (a filter view over the rides, behind a broadcast of the quartiles)."""
+    stats = _quartiles(rides, group, seconds_col)
+    lo_fence, hi_fence = _fences()
+    x = F.col(seconds_col)
+    joined = rides.join(stats, group, "inner")
+    return joined.filter((x < lo_fence) | (x > hi_fence)).select(*rides.columns)
+
+
 def stack_positions(df: DataFrame, x: list[str], category: str, value: str) -> DataFrame:
     """Stacked-bar positions: the first category is drawn on top, so the
     running total accumulates from the last category. Adds ``ymin``, ``ymax``

@@ -96,19 +96,54 @@ def start_station_lookup_conflicts(routes: DataFrame) -> DataFrame:
 def first_names(routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Per id: the name of its earliest matched route, the earliest instant
     ``t0`` and a flag ``tied`` (routes with different names share ``t0``)."""
-    m = matched_routes(routes)
+    return _first_name_agg(matched_routes(routes), [id_col], name_col).withColumnRenamed("__id", id_col)
+
+
+def _first_name_agg(m: DataFrame, keys: list[str], name_col: str, id_col: str | None = None) -> DataFrame:
     micros = F.unix_micros(F.col("first_started_at").cast("timestamp"))
     lo = F.min(F.struct(F.col("first_started_at").alias("t"), F.col(name_col).alias("n")))
     hi = F.max(F.struct((-micros).alias("t"), F.col(name_col).alias("n")))
-    agg = m.groupBy(id_col).agg(lo.alias("__lo"), hi.alias("__hi"))
+    agg = m.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"))
     return agg.select(
-        id_col,
+        *keys,
         F.col("__lo.n").alias(name_col),
         F.col("__lo.t").alias("t0"),
         (~F.col("__lo.n").eqNullSafe(F.col("__hi.n"))).alias("tied"),
     )
 
 
+def station_first_names(routes: DataFrame) -> DataFrame:
+    """Both lookups in one aggregation: end and start sides of the matched
+    routes stacked as (side, station_id, station_name, first_started_at) and
+    grouped by (side, station_id). Columns: side, station_id, station_name,
+    t0, tied."""
+    m = matched_routes(routes)
+    stacked = m.select(
+        F.lit("end").alias("side"),
+        F.col("end_station_id").alias("station_id"),
+        F.col("end_station_name").alias("station_name"),
+        "first_started_at",
+    ).unionByName(
+        m.select(
+            F.lit("start").alias("side"),
+            F.col("start_station_id").alias("station_id"),
+            F.col("start_station_name").alias("station_name"),
+            "first_started_at",
+        )
+    )
+    return _first_name_agg(stacked, ["side", "station_id"], "station_name")
+
+
+def side_names(names: DataFrame, side: str) -> DataFrame:
+    """One side of ``station_first_names`` with the side's column names."""
+    return names.filter(F.col("side") == side).select(
+        F.col("station_id").alias(f"{side}_station_id"),
+        F.col("station_name").alias(f"{side}_station_name"),
+        "t0",
+        "tied",
+    )
+
+
 def tied_routes(routes: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     """Matched routes of tied ids that start at the id's earliest instant."""
     m = matched_routes(routes)

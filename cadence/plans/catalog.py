@@ -20,7 +20,7 @@ from cadence.operators import quality as Q
 from cadence.operators import ranking as R
 from cadence.operators import summaries as S
 from cadence.operators.features import FEATURE_COLUMNS
-from cadence.plans.prepare import PreparedRides, prepared
+from cadence.plans.prepare import PreparedRides, prepared, spread_if_few_partitions
 from cadence.schema import RIDE_COLUMNS
 from cadence.sources import csv as CSV
 from cadence.sources.events import load_rides
@@ -63,7 +63,7 @@ def _rides_csv(spark: SparkSession, sf_dir: str, monthly: bool) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, monthly)
     if key not in _CSV_CACHE:
         path = table_path(spark, "rides_csv_monthly" if monthly else "rides_csv")
-        rides = load_rides(spark, sf_dir)
+        rides = spread_if_few_partitions(load_rides(spark, sf_dir))
         if monthly:
             rides = rides.withColumn("month", F.date_format("started_at", "yyyy-MM"))
         CSV.write_rides_csv(rides, path, ["month"] if monthly else None)
@@ -368,6 +368,7 @@ on_cleaned("display_order", lambda c: R.display_order(R.top_start_stations_by_me
 on_cleaned("ride_length_histogram", CH.ride_length_histogram)
 on_cleaned("rides_by_day_counts", CH.rides_by_day_counts)
 on_cleaned("ride_length_boxplot", CH.ride_length_boxplot)
+on_cleaned("ride_length_outliers", lambda c: CH.ride_length_outliers(c).select("ride_id", "member_casual", "ride_length", "ride_length_min"))
 on_cleaned("stack_positions", lambda c: CH.stack_positions(S.rides_by_month(c), ["month"], "member_casual", "number_of_rides"))
 on_cleaned("percent_label", lambda c: CH.ride_share_positions(S.ride_share_by_member_type(c)))
 on_cleaned("distance_vs_length", CH.distance_vs_length)

@@ -366,6 +366,14 @@ def oracle_sql() -> dict[str, str]:
         """,
         _BOX,
     )
+    q["ride_length_outliers"] = _q(
+        """
+        SELECT ride_id, c.member_casual, ride_length, ride_length_min
+        FROM cleaned c JOIN box_q b ON c.member_casual = b.member_casual
+        WHERE ride_length < q1 - 1.5 * (q3 - q1) OR ride_length > q3 + 1.5 * (q3 - q1)
+        """,
+        _BOX,
+    )
     q["stack_positions"] = _q(
         """
         SELECT month, member_casual, number_of_rides, CAST(ymax AS BIGINT) AS ymax, CAST(ymax - number_of_rides AS BIGINT) AS ymin,

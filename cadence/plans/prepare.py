@@ -20,10 +20,11 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadence.operators import clean as K
 from cadence.operators.features import add_features
-from cadence.operators.joins import broadcast_if_small
+from cadence.operators.joins import broadcast_if_small, max_broadcast_rows
 from cadence.sources.events import load_rides
 from cadence.sources.store import materialize
 
@@ -68,7 +69,7 @@ class PreparedRides:
 
     def release(self) -> None:
         """Drop the cached lookups (the written tables stay in the shared folder)."""
-        for df in (self.end_lookup, self.start_lookup, self.extras.get("start_ids")):
+        for df in (self.end_lookup, self.start_lookup, self.extras.get("start_ids"), self.extras.get("names")):
             if df is not None:
                 df.unpersist()
 
@@ -102,20 +103,32 @@ def prepare_rides(
         prep = PreparedRides(rides, routes, end_lk, start_lk, rides, min_seconds, fill_start)
     else:
         routes = materialize(routes, "station_routes")
+        # both lookups from one aggregation over the matched routes, cached;
+        # one small job counts rows and ties per side
+        names = K.station_first_names(routes).persist(StorageLevel.MEMORY_AND_DISK)
+        stats = {
+            r["side"]: (r["n"], r["n_tied"])
+            for r in names.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_if("tied").alias("n_tied")).collect()
+        }
         lookups = {}
-        for id_col, name_col in (("end_station_id", "end_station_name"), ("start_station_id", "start_station_name")):
-            names = K.first_names(routes, id_col, name_col).persist(StorageLevel.MEMORY_AND_DISK)
-            if names.filter("tied").count():
-                tied = K.tied_routes(routes, names, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-                breaks = materialize(K.route_tiebreaks(rides, broadcast_if_small(tied)), f"tiebreaks_{id_col}")
-                lk = K.resolve_ties(names, tied, breaks, id_col, name_col).persist(StorageLevel.MEMORY_AND_DISK)
+        for side in ("end", "start"):
+            id_col, name_col = f"{side}_station_id", f"{side}_station_name"
+            per_side = K.side_names(names, side)
+            n_rows, n_tied = stats.get(side, (0, 0))
+            if n_tied:
+                tied = K.tied_routes(routes, per_side, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+                breaks = materialize(K.route_tiebreaks(rides, broadcast_if_small(tied)), f"tiebreaks_{side}")
+                lk = K.resolve_ties(per_side, tied, breaks, id_col, name_col).persist(StorageLevel.MEMORY_AND_DISK)
             else:
-                lk = names.select(id_col, name_col)
-            lookups[id_col] = lk
-        prep = PreparedRides(rides, routes, lookups["end_station_id"], lookups["start_station_id"], rides, min_seconds, fill_start)
+                lk = per_side.select(id_col, name_col)
+            lookups[side] = (lk, n_rows)
+        prep = PreparedRides(rides, routes, lookups["end"][0], lookups["start"][0], rides, min_seconds, fill_start)
         prep.extras["materialized"] = True
-        prep.end_join = broadcast_if_small(prep.end_lookup)
-        prep.start_join = broadcast_if_small(prep.start_lookup) if fill_start else None
+        prep.extras["names"] = names
+        bound = max_broadcast_rows(rides)
+        prep.end_join = F.broadcast(prep.end_lookup) if lookups["end"][1] <= bound else prep.end_lookup
+        if fill_start:
+            prep.start_join = F.broadcast(prep.start_lookup) if lookups["start"][1] <= bound else prep.start_lookup
     complete = add_features(K.drop_incomplete_rides(prep.filled()))
     if persist:
         complete = materialize(complete, "complete_rides")
