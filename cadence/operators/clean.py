@@ -173,19 +173,31 @@ def resolve_ties(names: DataFrame, tied: DataFrame, tiebreaks: DataFrame, id_col
     return j.select(id_col, F.when(F.col("tied"), F.col("__n")).otherwise(F.col(name_col)).alias(name_col))
 
 
-def lookup_clean(rides: DataFrame, routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Fully lazy lookup (tie-break pass always planned)."""
-    names = first_names(routes, id_col, name_col)
-    tied = tied_routes(routes, names, id_col)
-    return resolve_ties(names, tied, route_tiebreaks(rides, tied), id_col, name_col)
+def station_routes_exact(rides: DataFrame) -> DataFrame:
+    """Route fold that also keeps the ride id of each route's first ride
+    (``min`` of a (started_at, ride_id) struct). Exact in one pass, but the
+    string in the buffer makes it a sort-based aggregate; used by the lazy,
+    single-plan path. The materialised path uses ``station_routes`` plus a
+    tie pass instead."""
+    fs = F.min(F.struct("started_at", "ride_id")).alias("__fs")
+    return rides.groupBy(*ROUTE_KEYS).agg(fs).select(
+        *ROUTE_KEYS, F.col("__fs.started_at").alias("first_started_at"), F.col("__fs.ride_id").alias("first_ride_id")
+    )
+
+
+def lookup_clean_exact(routes_exact: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """Lookup from ``station_routes_exact``: name of the route whose first
+    ride comes first by (started_at, ride_id); a null name is kept."""
+    order = F.struct("first_started_at", "first_ride_id")
+    return matched_routes(routes_exact).groupBy(id_col).agg(F.min_by(name_col, order).alias(name_col))
 
 
-def end_station_lookup_clean(rides: DataFrame, routes: DataFrame) -> DataFrame:
-    return lookup_clean(rides, routes, "end_station_id", "end_station_name")
+def end_station_lookup_clean(routes_exact: DataFrame) -> DataFrame:
+    return lookup_clean_exact(routes_exact, "end_station_id", "end_station_name")
 
 
-def start_station_lookup_clean(rides: DataFrame, routes: DataFrame) -> DataFrame:
-    return lookup_clean(rides, routes, "start_station_id", "start_station_name")
+def start_station_lookup_clean(routes_exact: DataFrame) -> DataFrame:
+    return lookup_clean_exact(routes_exact, "start_station_id", "start_station_name")
 
 
 def fill_station_name(rides: DataFrame, lookup: DataFrame, id_col: str, name_col: str) -> DataFrame:

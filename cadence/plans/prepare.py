@@ -96,13 +96,13 @@ def prepare_rides(
     """
     if persist:
         rides = spread_if_few_partitions(rides)
-    routes = K.station_routes(rides)
     if not persist:
-        end_lk = K.end_station_lookup_clean(rides, routes)
-        start_lk = K.start_station_lookup_clean(rides, routes)
+        routes = K.station_routes_exact(rides)
+        end_lk = K.end_station_lookup_clean(routes)
+        start_lk = K.start_station_lookup_clean(routes)
         prep = PreparedRides(rides, routes, end_lk, start_lk, rides, min_seconds, fill_start)
     else:
-        routes = materialize(routes, "station_routes")
+        routes = materialize(K.station_routes(rides), "station_routes")
         # both lookups from one aggregation over the matched routes, cached;
         # one small job counts rows and ties per side
         names = K.station_first_names(routes).persist(StorageLevel.MEMORY_AND_DISK)
@@ -147,8 +147,11 @@ def spread_if_few_partitions(rides: DataFrame) -> DataFrame:
 
 
 def clean_rides(rides: DataFrame, min_seconds: float = 10, fill_start: bool = True) -> DataFrame:
-    """Fully lazy cleaned rides (one plan, nothing written): handy for a single
-    query; use ``prepare_rides`` when several summaries share the input."""
+    """Fully lazy cleaned rides (one plan, nothing written) for small inputs
+    and ad-hoc single queries. Nothing bounds the lookups here, so the planner
+    decides the fill joins from estimates; at scale use ``prepare_rides``,
+    which writes the route fold, counts the lookups and broadcasts them only
+    when small."""
     return prepare_rides(rides, min_seconds=min_seconds, fill_start=fill_start, persist=False).cleaned
 
 
