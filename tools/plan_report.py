@@ -28,7 +28,7 @@ def main() -> None:
     q = catalog.queries()
     sections = [
         ("Stage 1: route fold over all rides", K.station_routes(p.raw)),
-        ("Stage 2: end-station lookup (first name per id, tie flag)", K.first_names(p.routes, "end_station_id", "end_station_name")),
+        ("Stage 2: both station lookups in one aggregation (first name per id, tie flag)", K.station_first_names(p.routes)),
         ("Stage 3: fills, completeness filter, features (written as complete_rides)", add_features(K.drop_incomplete_rides(p.filled()))),
     ]
     for name in [
