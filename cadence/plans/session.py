@@ -35,6 +35,34 @@ def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 <
     return max(minimum, -(-int(input_bytes) // int(target_partition_bytes)))
 
 
+def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large run over ``input_bytes`` of ride files.
+
+    * scan splits of ``target_partition_bytes`` (a task holds one split);
+    * initial shuffle width from the input size, AQE coalescing to the same
+      advisory size, so no reducer sees more than a few hundred MB;
+    * skew split for partitions 5x the median and above 512 MB;
+    * a planner broadcast threshold of 64 MB for sides Spark can size itself
+      (our own hints are row-count checked, ``cadence.broadcast.maxRows``).
+    ``spark.checkpoint.dir`` must name the shared folder for written tables.
+    """
+    parts = shuffle_partitions_for(input_bytes, target_partition_bytes)
+    return {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.parquet.compression.codec": "zstd",
+        "spark.executor.cores": str(executor_cores),
+    }
+
+
 def build_session(master: str = "local[8]", app_name: str = "cadence", shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     b = (
         SparkSession.builder.master(master)
