@@ -28,11 +28,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 << 20, minimum: int = 8) -> int:
+def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 << 20, minimum: int = 8, maximum: int = 32768) -> int:
     """Initial shuffle width for an input of ``input_bytes``: about one
-    partition per ``target_partition_bytes`` of input (AQE then coalesces the
-    small ones), so reducers never have to hold more than a few hundred MB."""
-    return max(minimum, -(-int(input_bytes) // int(target_partition_bytes)))
+    partition per ``target_partition_bytes`` of input, capped at ``maximum``
+    (map-output bookkeeping grows with maps x partitions). AQE then coalesces
+    the small ones; the regular stages only shuffle partial aggregates, far
+    below the input size."""
+    return min(maximum, max(minimum, -(-int(input_bytes) // int(target_partition_bytes))))
 
 
 def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
