@@ -79,9 +79,10 @@ def q_read_rides_csv(spark, sf_dir):
 @query("combine_ride_files")
 def q_combine_ride_files(spark, sf_dir):
     base = _rides_csv(spark, sf_dir, True)
-    # month folders are listed from the written data (at most one per month)
-    months = [r[0] for r in spark.read.option("header", True).csv(base).select("month").distinct().collect()]
-    frames = [CSV.read_rides_csv(spark, f"{base}/month={m}") for m in sorted(months)]
+    # month folders come from the file listing (metadata only, no scan)
+    files = spark.read.schema(CSV.ride_read_schema()).option("header", True).csv(base).inputFiles()
+    months = sorted({f.split("month=")[1].split("/")[0] for f in files if "month=" in f})
+    frames = [CSV.read_rides_csv(spark, f"{base}/month={m}") for m in months]
     return CSV.combine_ride_files(frames)
 
 
