@@ -9,15 +9,16 @@ every summary reads the materialised complete-ride table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cadence.operators import chartdata as CH
 from cadence.operators import clean as K
 from cadence.operators import quality as Q
 from cadence.operators import ranking as R
+from cadence.operators import report as RP
 from cadence.operators import summaries as S
 from cadence.operators.features import FEATURE_COLUMNS
 from cadence.plans.prepare import PreparedRides, prepared, spread_if_few_partitions
@@ -114,19 +115,18 @@ def q_write_summary_csv(spark, sf_dir):
     frames = []
     for name, df in parts.items():
         CSV.write_summary_csv(df, f"{base}/{name}.csv")
-        back = CSV.read_summary_csv(spark, f"{base}/{name}.csv", T._parse_datatype_string(_EXPORT_SCHEMAS[name]))
+        back = CSV.read_summary_csv(spark, f"{base}/{name}.csv", _EXPORT_SCHEMAS[name])
         value = back.columns[-1]
         day = F.col("day_of_week") if "day_of_week" in back.columns else F.lit(None).cast("string")
         frames.append(
             back.select(F.lit(name).alias("export"), day.alias("day_of_week"), "member_casual", F.col(value).cast("double").alias("value"))
         )
-    return CSV.combine_ride_files(frames)
+    return reduce(DataFrame.unionByName, frames)
 
 
 @query("preview")
 def q_preview(spark, sf_dir):
-    z = K.zero_or_negative_rides(_p(spark, sf_dir).complete)
-    return z.orderBy("started_at", "ride_id").limit(6).select(*_ALL)
+    return RP.preview(K.zero_or_negative_rides(_p(spark, sf_dir).complete), 6).select(*_ALL)
 
 
 @query("report_line")
@@ -136,31 +136,7 @@ def q_report_line(spark, sf_dir):
 
 @query("analysis_summary")
 def q_analysis_summary(spark, sf_dir):
-    c = _p(spark, sf_dir).cleaned
-    fmt = lambda col: F.format_string("%.6f", col)
-    share = S.ride_share_by_member_type(c)
-    parts = [
-        c.agg(F.lit("Mean ride length").alias("section"), F.lit("").alias("key"), fmt(F.avg("ride_length")).alias("value")),
-        c.agg(F.lit("Max ride length").alias("section"), F.lit("").alias("key"), fmt(F.max("ride_length")).alias("value")),
-        Q.mode_day_of_week(c).select(F.lit("Mode day of the week").alias("section"), F.lit("").alias("key"), F.col("mode_day_of_week").alias("value")),
-        share.select(
-            F.lit("Proportional Share of Rides by Member Type").alias("section"),
-            F.col("member_casual").alias("key"),
-            F.concat(F.col("total_rides").cast("string"), F.lit(" rides, "), fmt(F.col("proportion"))).alias("value"),
-        ),
-        S.short_rides_summary(c).select(
-            F.lit("Number of Short Rides by Member Type").alias("section"), F.col("member_casual").alias("key"), F.col("count").cast("string").alias("value")
-        ),
-        S.rides_by_rideable_type_and_member_type(c).select(
-            F.lit("Number of Rides by Rideable Type and Member Type").alias("section"),
-            F.concat_ws(" / ", "member_casual", "rideable_type").alias("key"),
-            F.col("ride_count").cast("string").alias("value"),
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return RP.analysis_summary(_p(spark, sf_dir).cleaned)
 
 
 # ------------------------------------------------ projections and filters

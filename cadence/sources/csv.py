@@ -97,5 +97,6 @@ def write_summary_csv(summary: DataFrame, path: str, single_file: bool = True) -
     )
 
 
-def read_summary_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_summary_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Read an exported summary back with a fixed schema (StructType or DDL)."""
     return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
