@@ -8,4 +8,5 @@ from cadence.sources.csv import (  # noqa: F401
     write_summary_csv,
 )
 from cadence.sources.events import rides_from_events, load_rides  # noqa: F401
+from cadence.sources.parquet import read_rides_parquet, write_rides_parquet  # noqa: F401
 from cadence.sources.store import materialize, storage_dir  # noqa: F401

@@ -47,3 +47,22 @@ def test_summary_export_round_trip(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, by_day.collect()))
     files = [f for f in os.listdir(os.path.join(d, "rides_by_day.csv")) if f.endswith(".csv")]
     assert len(files) == 1
+
+
+def test_parquet_by_month_round_trip_and_pruning(spark):
+    from cadence.plans.inspect import plan_text
+    from cadence.sources.parquet import read_rides_parquet, write_rides_parquet
+
+    d = os.path.join(tempfile.mkdtemp(prefix="cadence-pq-"), "rides")
+    rides = edge_frame(spark)
+    write_rides_parquet(rides, d)
+    back = read_rides_parquet(spark, d)
+    assert back.schema == rides.schema
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rides.collect()), key=str)
+    march = read_rides_parquet(spark, d, ["2024-03"])
+    assert march.count() == rides.count()
+    assert "PartitionFilters: [isnotnull(ride_month" in plan_text(march, "simple")
+    assert read_rides_parquet(spark, d, ["2023-01"]).count() == 0
+    from cadence.schema import RIDE_COLUMNS, RIDES
+
+    assert RIDES.fieldNames() == RIDE_COLUMNS  # the shared schema is not modified
