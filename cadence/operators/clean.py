@@ -96,10 +96,12 @@ def start_station_lookup_conflicts(routes: DataFrame) -> DataFrame:
 def first_names(routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Per id: the name of its earliest matched route, the earliest instant
     ``t0`` and a flag ``tied`` (routes with different names share ``t0``)."""
-    return _first_name_agg(matched_routes(routes), [id_col], name_col).withColumnRenamed("__id", id_col)
+    return _first_name_agg(matched_routes(routes), [id_col], name_col)
 
 
-def _first_name_agg(m: DataFrame, keys: list[str], name_col: str, id_col: str | None = None) -> DataFrame:
+def _first_name_agg(m: DataFrame, keys: list[str], name_col: str) -> DataFrame:
+    # smallest name at the earliest instant, and largest name at the earliest
+    # instant (ordering by the negated instant); they differ only on a tie
     micros = F.unix_micros(F.col("first_started_at").cast("timestamp"))
     lo = F.min(F.struct(F.col("first_started_at").alias("t"), F.col(name_col).alias("n")))
     hi = F.max(F.struct((-micros).alias("t"), F.col(name_col).alias("n")))
