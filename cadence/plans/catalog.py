@@ -83,8 +83,7 @@ def q_combine_ride_files(spark, sf_dir):
     # month folders come from the file listing (metadata only, no scan)
     files = spark.read.schema(CSV.ride_read_schema()).option("header", True).csv(base).inputFiles()
     months = sorted({f.split("month=")[1].split("/")[0] for f in files if "month=" in f})
-    frames = [CSV.read_rides_csv(spark, f"{base}/month={m}") for m in months]
-    return CSV.combine_ride_files(frames)
+    return CSV.combine_ride_files([f"{base}/month={m}" for m in months], spark)
 
 
 @query("ingest_ride_files")
@@ -156,6 +155,12 @@ def q_drop_column(spark, sf_dir):
 on_cleaned("with_column", lambda c: c.select(*_ALL))
 
 
+@query("cleaned_rides_recorded_session")
+def q_cleaned_rides_recorded_session(spark, sf_dir):
+    """The recorded console session fills end names only (no start fill)."""
+    return prepared(spark, sf_dir, fill_start=False).cleaned.select(*RIDE_COLUMNS, "ride_length")
+
+
 @query("drop_incomplete_rides")
 def q_drop_incomplete(spark, sf_dir):
     return K.drop_incomplete_rides(_p(spark, sf_dir).filled())

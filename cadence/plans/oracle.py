@@ -174,6 +174,15 @@ def oracle_sql() -> dict[str, str]:
     q["drop_column"] = _q(f"SELECT {_RIDE_COLS} FROM filled_end")
     q["with_column"] = _q(f"SELECT {_RIDE_COLS}, {_FEATURE_COLS} FROM cleaned")
     q["drop_incomplete_rides"] = _q(f"SELECT {_RIDE_COLS} FROM complete_raw")
+    q["cleaned_rides_recorded_session"] = _q(
+        f"""
+        SELECT {_RIDE_COLS}, ride_length FROM (
+          SELECT *, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS ride_length FROM filled_end
+          WHERE end_station_name IS NOT NULL AND end_station_id IS NOT NULL AND end_lat IS NOT NULL
+            AND end_lng IS NOT NULL AND start_station_id IS NOT NULL AND start_lat IS NOT NULL AND start_lng IS NOT NULL)
+        WHERE ride_length > 0 AND ride_length > 10
+        """
+    )
     q["zero_or_negative_rides"] = _q(f"SELECT {_RIDE_COLS}, {_FEATURE_COLS} FROM complete WHERE ride_length <= 0")
     q["drop_nonpositive_rides"] = _q(f"SELECT {_RIDE_COLS}, {_FEATURE_COLS} FROM complete WHERE ride_length > 0")
     q["drop_too_short_rides"] = _q(f"SELECT {_RIDE_COLS}, {_FEATURE_COLS} FROM cleaned")

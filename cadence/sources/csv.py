@@ -62,9 +62,19 @@ def read_rides_csv(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame
     return normalize_rides(raw)
 
 
-def combine_ride_files(frames: Iterable[DataFrame]) -> DataFrame:
-    """Stack ride frames by column name; columns missing in a frame are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), list(frames))
+def combine_ride_files(parts: Iterable[DataFrame] | Iterable[str], spark: SparkSession | None = None) -> DataFrame:
+    """Stack monthly ride data into one frame.
+
+    Given file or folder paths, this is one multi-path CSV read (Spark packs
+    the files into scan tasks; no per-file job). Given DataFrames, they are
+    stacked by column name; columns missing in a frame are null.
+    """
+    items = list(parts)
+    if items and isinstance(items[0], str):
+        if spark is None:
+            raise ValueError("pass spark to combine files by path")
+        return read_rides_csv(spark, items)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), items)
 
 
 def write_rides_csv(rides: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

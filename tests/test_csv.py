@@ -36,6 +36,10 @@ def test_round_trip_and_combine(spark):
     halves = [rides.filter("ride_id < 'r10'"), rides.filter("ride_id >= 'r10'").select(*reversed(rides.columns))]
     assert CSV.combine_ride_files(halves).count() == rides.count()
     assert CSV.combine_ride_files(halves).columns == rides.columns
+    CSV.write_rides_csv(rides.filter("ride_id < 'r10'"), os.path.join(d, "m1"))
+    CSV.write_rides_csv(rides.filter("ride_id >= 'r10'"), os.path.join(d, "m2"))
+    by_path = CSV.combine_ride_files([os.path.join(d, "m1"), os.path.join(d, "m2")], spark)
+    assert sorted(map(tuple, by_path.collect()), key=str) == sorted(map(tuple, rides.collect()), key=str)
 
 
 def test_summary_export_round_trip(spark):
