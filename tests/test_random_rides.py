@@ -61,3 +61,26 @@ def test_random_rides_exercise_the_tie_pass(spark):
         p = prepare_rides(edge_frame(spark, random_rides(seed)), persist=True)
         tied += p.extras["names"].filter("tied").count()
     assert tied > 0
+
+
+def test_fallback_without_broadcast_is_exact(spark):
+    """Above the broadcast bound the fills become shuffle joins (AQE splits a
+    hot id); results must not change. One start station holds a third of
+    the rides here."""
+    from cadence.plans.inspect import plan_text
+
+    rows = random_rides(7, n=150)
+    hot = [r[:5] + ("A",) + r[6:] for r in rows[:50]]  # a third of rides start at A
+    rows = hot + rows[50:]
+    spark.conf.set("cadence.broadcast.maxRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no planner broadcast either
+    try:
+        p = prepare_rides(edge_frame(spark, rows), persist=True)
+        text = plan_text(p.filled(), "simple")
+        assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
+        expected = sorted(((r[0], r[4], r[6]) for r in brute_clean(rows)), key=str)
+        got = sorted(((r.ride_id, r.start_station_name, r.end_station_name) for r in p.cleaned.collect()), key=str)
+        assert got == expected
+    finally:
+        spark.conf.unset("cadence.broadcast.maxRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
