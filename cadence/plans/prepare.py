@@ -67,6 +67,20 @@ class PreparedRides:
         """J1 over all rides: rides whose end id occurs as a start id."""
         return K.semi_join_null_safe(self.raw, self.start_ids(), "end_station_id", "start_station_id")
 
+    def variant(self, fill_start: bool) -> "PreparedRides":
+        """The same input, route table and lookups with the start fill switched
+        on or off; only the complete-ride table is rebuilt (and written when
+        this state is materialised)."""
+        other = PreparedRides(
+            self.raw, self.routes, self.end_lookup, self.start_lookup, self.raw, self.min_seconds, fill_start,
+            self.end_join, self.start_join if fill_start else None, dict(self.extras),
+        )
+        if fill_start and other.start_join is None:
+            other.start_join = broadcast_if_small(self.start_lookup) if self.extras.get("materialized") else self.start_lookup
+        complete = add_features(K.drop_incomplete_rides(other.filled()))
+        other.complete = materialize(complete, "complete_rides") if self.extras.get("materialized") else complete
+        return other
+
     def release(self) -> None:
         """Drop the cached lookups (the written tables stay in the shared folder)."""
         for df in (self.end_lookup, self.start_lookup, self.extras.get("start_ids"), self.extras.get("names")):
@@ -162,5 +176,9 @@ def prepared(spark: SparkSession, sf_dir: str, *, min_seconds: float = 10, fill_
     """Prepared rides for a data directory, built once per Spark application."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), float(min_seconds), fill_start)
     if key not in _CACHE:
-        _CACHE[key] = prepare_rides(load_rides(spark, sf_dir), min_seconds=min_seconds, fill_start=fill_start)
+        sibling = _CACHE.get(key[:3] + (not fill_start,))
+        if sibling is not None:
+            _CACHE[key] = sibling.variant(fill_start)
+        else:
+            _CACHE[key] = prepare_rides(load_rides(spark, sf_dir), min_seconds=min_seconds, fill_start=fill_start)
     return _CACHE[key]
