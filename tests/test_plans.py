@@ -50,9 +50,9 @@ def test_distinct_count_is_two_level(prep):
     assert "hashpartitioning(start_station_name" in text and "ride_id" in text.split("hashpartitioning(start_station_name")[-1]
 
 
-def test_no_python_in_any_catalog_plan(spark):
-    skip = {"read_rides_csv", "combine_ride_files", "write_summary_csv"}  # write files when built
+def test_no_python_and_no_pair_joins_in_any_catalog_plan(spark):
     for name, fn in catalog.queries().items():
-        if name in skip:
-            continue
-        assert not has_python(fn(spark, SF001)), name
+        df = fn(spark, SF001)
+        assert not has_python(df), name
+        text = plan_text(df, "simple")
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
