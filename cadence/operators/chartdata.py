@@ -35,10 +35,13 @@ def rides_by_day_counts(rides: DataFrame) -> DataFrame:
     return rides.groupBy("day_of_week", "member_casual").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _quartiles(rides: DataFrame, group: str, seconds_col: str) -> DataFrame:
-    """Quartiles per group (linear interpolation), written to the shared
-    folder and broadcast after a row-count check (one row per group)."""
-    q = rides.groupBy(group).agg(F.percentile(seconds_col, [0.25, 0.5, 0.75]).alias("__q"))
+def _quartiles(rides: DataFrame, group: str, seconds_col: str, exact: bool = True) -> DataFrame:
+    """Quartiles per group (linear interpolation; ``exact=False`` uses the
+    fixed-size ``percentile_approx`` sketch), written to the shared folder and
+    broadcast after a row-count check (one row per group)."""
+    probs = [0.25, 0.5, 0.75]
+    qs = F.percentile(seconds_col, probs) if exact else F.percentile_approx(seconds_col, probs, 10000).cast("array<double>")
+    q = rides.groupBy(group).agg(qs.alias("__q"))
     q = q.select(group, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__med"), F.col("__q")[2].alias("__q3"))
     return broadcast_if_small(materialize(q, "boxplot_quartiles"))
 
@@ -48,7 +51,9 @@ def _fences() -> tuple[Column, Column]:
     return F.col("__q1") - F.lit(1.5) * iqr, F.col("__q3") + F.lit(1.5) * iqr
 
 
-def ride_length_boxplot(rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length", unit_seconds: float = 60.0) -> DataFrame:
+def ride_length_boxplot(
+    rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length", unit_seconds: float = 60.0, exact: bool = True
+) -> DataFrame:
     """Box-plot figures per group: quartiles (linear interpolation), whiskers
     at the most extreme values within 1.5 x IQR of the box, and the number of
     values beyond them. Reported in minutes by default.
@@ -58,7 +63,7 @@ def ride_length_boxplot(rides: DataFrame, group: str = "member_casual", seconds_
     for whiskers and outlier counts. Quartiles are taken on whole seconds and
     scaled afterwards, so no rounding differs between passes.
     """
-    stats = _quartiles(rides, group, seconds_col)
+    stats = _quartiles(rides, group, seconds_col, exact)
     lo_fence, hi_fence = _fences()
     x = F.col(seconds_col)
     joined = rides.select(group, seconds_col).filter(x.isNotNull()).join(stats, group, "inner")
