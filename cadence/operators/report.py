@@ -3,13 +3,10 @@ table, the final recap of findings."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators import quality as Q
-from cadence.operators import summaries as S
 
 
 def preview(df: DataFrame, n: int = 6, order_by: tuple[str, ...] = ("started_at", "ride_id")) -> DataFrame:
@@ -22,31 +19,51 @@ def _fixed(col: Column, decimals: int = 6) -> Column:
     return F.format_string(f"%.{decimals}f", col)
 
 
-def analysis_summary(cleaned: DataFrame) -> DataFrame:
+def _entry(section: str, key: Column, value: Column, keep: Column) -> Column:
+    return F.when(keep, F.struct(F.lit(section).alias("section"), key.alias("key"), value.alias("value")))
+
+
+def analysis_summary(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame:
     """The closing recap as a long (section, key, value) table: mean and max
     length, the mode weekday, the rider-type shares, short rides per rider
-    type and rides per rider x bike type."""
-    share = S.ride_share_by_member_type(cleaned)
-    parts = [
-        cleaned.agg(F.lit("Mean ride length").alias("section"), F.lit("").alias("key"), _fixed(F.avg("ride_length")).alias("value")),
-        cleaned.agg(F.lit("Max ride length").alias("section"), F.lit("").alias("key"), _fixed(F.max("ride_length")).alias("value")),
-        Q.mode_day_of_week(cleaned).select(
-            F.lit("Mode day of the week").alias("section"), F.lit("").alias("key"), F.col("mode_day_of_week").alias("value")
-        ),
-        share.select(
-            F.lit("Proportional Share of Rides by Member Type").alias("section"),
-            F.col("member_casual").alias("key"),
-            F.concat(F.col("total_rides").cast("string"), F.lit(" rides, "), _fixed(F.col("proportion"))).alias("value"),
-        ),
-        S.short_rides_summary(cleaned).select(
-            F.lit("Number of Short Rides by Member Type").alias("section"),
-            F.col("member_casual").alias("key"),
-            F.col("count").cast("string").alias("value"),
+    type and rides per rider x bike type.
+
+    One rollup over (rider type, bike type) carries counts, short-ride
+    counts, length sums and maxima at three levels (pair, rider type, all);
+    each of its rows emits its recap lines. With the weekday counts for the
+    mode that is two scans of the rides for the whole recap.
+    """
+    x = F.col("ride_length")
+    levels = cleaned.rollup("member_casual", "rideable_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(x < short_seconds).alias("n_short"),
+        F.sum(x).alias("len_sum"),
+        F.max(x).alias("len_max"),
+        F.grouping_id().alias("level"),  # 0 pair, 1 rider type, 3 all rides
+    )
+    # all-rides count beside every level row (a window over the few rollup rows)
+    levels = levels.withColumn("__total", F.max(F.when(F.col("level") == 3, F.col("n"))).over(Window.partitionBy()))
+    n, level, total = F.col("n"), F.col("level"), F.col("__total")
+    blank = F.lit("")
+    entries = F.array(
+        _entry("Mean ride length", blank, _fixed(F.col("len_sum") / n), level == 3),
+        _entry("Max ride length", blank, _fixed(F.col("len_max")), level == 3),
+        _entry(
+            "Proportional Share of Rides by Member Type",
+            F.col("member_casual"),
+            F.concat(n.cast("string"), F.lit(" rides, "), _fixed(n / total)),
+            level == 1,
         ),
-        S.rides_by_rideable_type_and_member_type(cleaned).select(
-            F.lit("Number of Rides by Rideable Type and Member Type").alias("section"),
-            F.concat_ws(" / ", "member_casual", "rideable_type").alias("key"),
-            F.col("ride_count").cast("string").alias("value"),
+        _entry("Number of Short Rides by Member Type", F.col("member_casual"), F.col("n_short").cast("string"), (level == 1) & (F.col("n_short") > 0)),
+        _entry(
+            "Number of Rides by Rideable Type and Member Type",
+            F.concat_ws(" / ", "member_casual", "rideable_type"),
+            n.cast("string"),
+            level == 0,
         ),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    )
+    lines = levels.select(F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    mode = Q.mode_day_of_week(cleaned).select(
+        F.lit("Mode day of the week").alias("section"), blank.alias("key"), F.col("mode_day_of_week").alias("value")
+    )
+    return lines.unionByName(mode)
