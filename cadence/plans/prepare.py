@@ -150,12 +150,14 @@ def prepare_rides(
     return prep
 
 
-def spread_if_few_partitions(rides: DataFrame) -> DataFrame:
-    """Inputs that arrive as very few splits (one large unsplittable file, a
-    single row group) are spread round-robin over the cluster's cores before
-    the heavy stages. Inputs with many splits are left alone (no shuffle)."""
+def spread_if_few_partitions(rides: DataFrame, max_splits: int = 2) -> DataFrame:
+    """Inputs that arrive as one or two splits (a single unsplittable file, a
+    single row group) would run every stage in one or two tasks; they are
+    spread round-robin over the cluster's cores first. Any input with more
+    splits is left alone: no shuffle is added to a normally split input."""
     cores = rides.sparkSession.sparkContext.defaultParallelism
-    if rides.rdd.getNumPartitions() * 2 <= cores:
+    n = rides.rdd.getNumPartitions()
+    if n <= max_splits and cores > 2 * n:
         return rides.repartition(cores)
     return rides
 

@@ -56,3 +56,15 @@ def test_no_python_and_no_pair_joins_in_any_catalog_plan(spark):
         assert not has_python(df), name
         text = plan_text(df, "simple")
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_spread_only_for_single_split_inputs(spark):
+    from cadence.plans.prepare import spread_if_few_partitions
+    from cadence.plans.session import cluster_conf, shuffle_partitions_for
+
+    one = spark.range(1000).coalesce(1)
+    assert spread_if_few_partitions(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(3)
+    assert "RoundRobinPartitioning(" + str(spark.sparkContext.defaultParallelism) not in plan_text(spread_if_few_partitions(many), "simple")
+    assert shuffle_partitions_for(100 << 40) == 32768 and shuffle_partitions_for(1 << 20) == 8
+    assert cluster_conf(100 << 40)["spark.sql.shuffle.partitions"] == "32768"
