@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Upper bound on rows of a side we are willing to ship to every executor.
 # Station lookups have one row per station id (thousands), far below it.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def max_broadcast_rows(df: DataFrame) -> int:
