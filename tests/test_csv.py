@@ -70,3 +70,15 @@ def test_parquet_by_month_round_trip_and_pruning(spark):
     from cadence.schema import RIDE_COLUMNS, RIDES
 
     assert RIDES.fieldNames() == RIDE_COLUMNS  # the shared schema is not modified
+
+
+def test_end_to_end_run_writes_the_exports(spark):
+    from cadence.__main__ import run
+
+    out = os.path.join(tempfile.mkdtemp(prefix="cadence-run-"), "out")
+    recap = run(spark, out, events="/root/testdata/sf0.001")
+    assert {r["section"] for r in recap} >= {"Mean ride length", "Mode day of the week"}
+    by_day = CSV.read_summary_csv(spark, os.path.join(out, "rides_by_day.csv"), "day_of_week string, member_casual string, number_of_rides bigint")
+    assert by_day.count() == 14 and sum(r.number_of_rides for r in by_day.collect()) == 921
+    first = by_day.first()
+    assert first.day_of_week == "Sunday"  # calendar order in the export
