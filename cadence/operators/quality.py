@@ -98,3 +98,41 @@ def cleaned_row_report(complete: DataFrame) -> DataFrame:
     return cleaned_row_count(complete).select(
         report_line("Number of rows remaining after cleaning:", "cleaned_row_count").alias("line")
     )
+
+
+def report_lines(complete: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The six printed progress lines of a run, numbered in print order:
+    rows after cleaning, null start names, rows after filtering, mean, max
+    and mode. Two scans (complete rides, cleaned rides); lengths shown with
+    six decimals."""
+    a = complete.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("start_station_name").isNull()).alias("na"))
+    b = cleaned.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("ride_length").alias("mean"),
+        F.max("ride_length").alias("max"),
+        day_label(F.mode("day_of_week_num", True)).alias("mode"),
+    )
+
+    def line(i: int, label: str, value) -> F.Column:
+        return F.struct(F.lit(i).alias("line_no"), report_line(label, value).alias("line"))
+
+    fixed = lambda c: F.format_string("%.6f", F.col(c))
+    first = a.select(
+        F.inline(
+            F.array(
+                line(1, "Number of rows remaining after cleaning:", "n"),
+                line(2, "Number of NA values in start_station_name:", "na"),
+            )
+        )
+    )
+    second = b.select(
+        F.inline(
+            F.array(
+                line(3, "Number of rows remaining after filtering:", "n"),
+                line(4, "Mean ride length:", fixed("mean")),
+                line(5, "Max ride length:", fixed("max")),
+                line(6, "Mode day of the week:", "mode"),
+            )
+        )
+    )
+    return first.unionByName(second)

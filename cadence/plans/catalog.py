@@ -133,6 +133,12 @@ def q_report_line(spark, sf_dir):
     return Q.cleaned_row_report(_p(spark, sf_dir).complete)
 
 
+@query("report_lines")
+def q_report_lines(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return Q.report_lines(p.complete, p.cleaned)
+
+
 @query("analysis_summary")
 def q_analysis_summary(spark, sf_dir):
     return RP.analysis_summary(_p(spark, sf_dir).cleaned)

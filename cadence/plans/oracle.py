@@ -153,6 +153,19 @@ def oracle_sql() -> dict[str, str]:
     q["report_line"] = _q(
         "SELECT 'Number of rows remaining after cleaning: ' || CAST(count(*) AS VARCHAR) AS line FROM complete"
     )
+    q["report_lines"] = _q(
+        """
+        SELECT 1 AS line_no, 'Number of rows remaining after cleaning: ' || CAST(count(*) AS VARCHAR) AS line FROM complete
+        UNION ALL SELECT 2, 'Number of NA values in start_station_name: '
+            || CAST(count(*) FILTER (WHERE start_station_name IS NULL) AS VARCHAR) FROM complete
+        UNION ALL SELECT 3, 'Number of rows remaining after filtering: ' || CAST(count(*) AS VARCHAR) FROM cleaned
+        UNION ALL SELECT 4, 'Mean ride length: ' || printf('%.6f', avg(ride_length)) FROM cleaned
+        UNION ALL SELECT 5, 'Max ride length: ' || printf('%.6f', max(ride_length)) FROM cleaned
+        UNION ALL SELECT 6, 'Mode day of the week: ' || (SELECT day_of_week FROM (
+            SELECT day_of_week_num, day_of_week, count(*) AS n FROM cleaned GROUP BY day_of_week_num, day_of_week)
+            ORDER BY n DESC, day_of_week_num LIMIT 1)
+        """
+    )
     q["analysis_summary"] = _q(
         """
         SELECT 'Mean ride length' AS section, '' AS key, printf('%.6f', avg(ride_length)) AS value FROM cleaned
