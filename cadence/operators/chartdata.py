@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.text import percent_label
+from cadence.operators.cube import count_of
 from cadence.operators.joins import broadcast_if_small
 from cadence.sources.store import materialize
 
@@ -32,7 +33,7 @@ def ride_length_histogram(rides: DataFrame, binwidth: float = 5.0, center: float
 
 def rides_by_day_counts(rides: DataFrame) -> DataFrame:
     """Bar heights of the dodged day chart: raw rides per weekday x rider."""
-    return rides.groupBy("day_of_week", "member_casual").agg(F.count(F.lit(1)).alias("count"))
+    return rides.groupBy("day_of_week", "member_casual").agg(count_of(rides).alias("count"))
 
 
 def _quartiles(rides: DataFrame, group: str, seconds_col: str, exact: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.columns import day_label
 from cadence.functions.text import r_format_digits, report_line
+from cadence.operators.cube import count_of, is_cube, max_length, mean_length
 from cadence.schema import RIDE_COLUMNS
 
 
@@ -44,17 +45,18 @@ def na_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def mean_ride_length(cleaned: DataFrame) -> DataFrame:
-    return cleaned.agg(F.avg("ride_length").alias("mean_ride_length"))
+    """Mean length (rides or ``ride_cube``)."""
+    return cleaned.agg(mean_length(cleaned).alias("mean_ride_length"))
 
 
 def max_ride_length(cleaned: DataFrame) -> DataFrame:
-    return cleaned.agg(F.max("ride_length").alias("max_ride_length"))
+    return cleaned.agg(max_length(cleaned).alias("max_ride_length"))
 
 
 def mode_day_of_week_index(cleaned: DataFrame) -> DataFrame:
     """Most frequent weekday as its 1-based Sunday-first index; ties go to the
     earlier day. Seven groups: the ordered limit is trivial."""
-    counts = cleaned.groupBy("day_of_week_num").agg(F.count(F.lit(1)).alias("__n"))
+    counts = cleaned.groupBy("day_of_week_num").agg(count_of(cleaned).alias("__n"))
     return (
         counts.orderBy(F.col("__n").desc(), F.col("day_of_week_num").asc_nulls_last())
         .limit(1)
@@ -75,13 +77,25 @@ def day_label_from_index(cleaned: DataFrame) -> DataFrame:
 def summary_statistics(cleaned: DataFrame, digits: int = 2) -> DataFrame:
     """Three-row (metric, value) table: mean and max length as text with at
     least ``digits`` significant digits, and the mode weekday."""
-    # one pass: mean, max and the weekday mode (deterministic mode = lowest
-    # index among ties = earliest day, Sunday first)
-    row = cleaned.agg(
-        F.avg("ride_length").alias("m"),
-        F.max("ride_length").alias("x"),
-        day_label(F.mode("day_of_week_num", True)).alias("mode_day_of_week"),
-    )
+    if is_cube(cleaned):
+        # per weekday first (7 rows), then one aggregate: mean, max and the day
+        # with the most rides (ties to the earlier day)
+        days = cleaned.groupBy("day_of_week_num").agg(
+            F.sum("n").alias("n"), F.sum("len_sum").alias("s"), F.max("len_max").alias("mx")
+        )
+        row = days.agg(
+            (F.sum("s") / F.sum("n")).alias("m"),
+            F.max("mx").alias("x"),
+            day_label(F.max_by("day_of_week_num", F.struct(F.col("n"), -F.col("day_of_week_num")))).alias("mode_day_of_week"),
+        )
+    else:
+        # one pass: mean, max and the weekday mode (deterministic mode = lowest
+        # index among ties = earliest day, Sunday first)
+        row = cleaned.agg(
+            F.avg("ride_length").alias("m"),
+            F.max("ride_length").alias("x"),
+            day_label(F.mode("day_of_week_num", True)).alias("mode_day_of_week"),
+        )
     return row.select(
         F.inline(
             F.array(

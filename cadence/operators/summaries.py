@@ -3,7 +3,9 @@
 Every summary is a ``groupBy(...).agg(...)``: Spark runs a partial
 (map-side) aggregate before the shuffle, so only one row per key and task
 crosses the network and a hot key (one rider type holding a third of all
-rides) is absorbed before it can skew a reducer.
+rides) is absorbed before it can skew a reducer. Summaries over calendar and
+category keys also accept the pre-aggregated ``ride_cube`` in place of the
+rides (see ``cube``): same result, one scan of the rides for all of them.
 
 Only summaries the reference sorts explicitly (``arrange``) are sorted here;
 the implicit key order of a grouped result is presentation, available through
@@ -16,17 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators.clean import casual_rides, short_rides
+from cadence.operators.cube import count_of, is_cube, mean_length, short_count
 from cadence.schema import DAY_NAMES, MONTH_ABBREVIATIONS
 
 # ---------------------------------------------------------------- helpers
 
 
-def _count(name: str) -> Column:
-    return F.count(F.lit(1)).alias(name)
+def _count(df: DataFrame, name: str) -> Column:
+    return count_of(df).alias(name)
 
 
-def _mean(col: str, name: str) -> Column:
-    return F.avg(col).alias(name)
+def _mean(df: DataFrame, name: str) -> Column:
+    return mean_length(df).alias(name)
 
 
 def summarize(df: DataFrame, keys: list[str], measures: list[Column], order: list[Column | str] | None = None) -> DataFrame:
@@ -37,7 +40,7 @@ def summarize(df: DataFrame, keys: list[str], measures: list[Column], order: lis
 
 def having(df: DataFrame, keys: list[str], count_name: str, min_exclusive: int) -> DataFrame:
     """Groups whose row count exceeds ``min_exclusive`` (aggregate then filter)."""
-    return df.groupBy(*keys).agg(_count(count_name)).filter(F.col(count_name) > min_exclusive)
+    return df.groupBy(*keys).agg(_count(df, count_name)).filter(F.col(count_name) > min_exclusive)
 
 
 def calendar_order(df: DataFrame, *then: str) -> DataFrame:
@@ -64,36 +67,40 @@ def _by_day(df: DataFrame, extra_keys: list[str], measures: list[Column]) -> Dat
 def ride_share_by_member_type(rides: DataFrame) -> DataFrame:
     """Rides per rider type and its share of all rides. The share divides by a
     window sum over the (two-row) aggregate, never over raw rides."""
-    counts = rides.groupBy("member_casual").agg(_count("total_rides"))
+    counts = rides.groupBy("member_casual").agg(_count(rides, "total_rides"))
     total = F.sum("total_rides").over(Window.partitionBy())
     return counts.withColumn("proportion", F.col("total_rides") / total)
 
 
 def short_rides_summary(rides: DataFrame, max_seconds: float = 60) -> DataFrame:
-    return summarize(short_rides(rides, max_seconds), ["member_casual"], [_count("count")])
+    """Short rides per rider type (rider types without any are absent). On the
+    cube the threshold is the one it was built with."""
+    if is_cube(rides):
+        return rides.groupBy("member_casual").agg(short_count(rides).alias("count")).filter(F.col("count") > 0)
+    return summarize(short_rides(rides, max_seconds), ["member_casual"], [_count(rides, "count")])
 
 
 # ------------------------------------------------------ rider x bike type
 
 
 def rides_by_rideable_type_and_member_type(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["member_casual", "rideable_type"], [_count("ride_count")])
+    return summarize(rides, ["member_casual", "rideable_type"], [_count(rides, "ride_count")])
 
 
 def bike_usage_by_type(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["rideable_type", "member_casual"], [_count("ride_count")])
+    return summarize(rides, ["rideable_type", "member_casual"], [_count(rides, "ride_count")])
 
 
 def rideable_type_distribution(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["rideable_type", "member_casual"], [_count("number_of_rides")])
+    return summarize(rides, ["rideable_type", "member_casual"], [_count(rides, "number_of_rides")])
 
 
 def member_vs_casual_usage(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["member_casual", "rideable_type"], [_mean("ride_length", "average_ride_length")])
+    return summarize(rides, ["member_casual", "rideable_type"], [_mean(rides, "average_ride_length")])
 
 
 def avg_ride_duration_by_type(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["rideable_type", "member_casual"], [_mean("ride_length", "average_ride_length")])
+    return summarize(rides, ["rideable_type", "member_casual"], [_mean(rides, "average_ride_length")])
 
 
 # ------------------------------------------------------------ time of week
@@ -104,7 +111,7 @@ def avg_ride_duration_by_type(rides: DataFrame) -> DataFrame:
 def rides_by_type_and_day(rides: DataFrame) -> DataFrame:
     out = (
         rides.groupBy("member_casual", "rideable_type", "day_of_week_num", "day_of_week")
-        .agg(_count("ride_count"))
+        .agg(_count(rides, "ride_count"))
         .orderBy("member_casual", "rideable_type", "day_of_week_num")
     )
     return out.drop("day_of_week_num")
@@ -112,37 +119,37 @@ def rides_by_type_and_day(rides: DataFrame) -> DataFrame:
 
 def rides_by_type_and_hour(rides: DataFrame) -> DataFrame:
     keys = ["member_casual", "rideable_type", "hour_of_day"]
-    return summarize(rides, keys, [_count("ride_count")], keys)
+    return summarize(rides, keys, [_count(rides, "ride_count")], keys)
 
 
 def rides_by_weekend_weekday(rides: DataFrame) -> DataFrame:
     keys = ["member_casual", "rideable_type", "is_weekend"]
-    return summarize(rides, keys, [_count("ride_count")], keys)
+    return summarize(rides, keys, [_count(rides, "ride_count")], keys)
 
 
 def average_ride_length_by_member(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["member_casual"], [_mean("ride_length", "average_ride_length")])
+    return summarize(rides, ["member_casual"], [_mean(rides, "average_ride_length")])
 
 
 def average_ride_length_by_day(rides: DataFrame) -> DataFrame:
-    return _by_day(rides, ["member_casual"], [_mean("ride_length", "average_ride_length")])
+    return _by_day(rides, ["member_casual"], [_mean(rides, "average_ride_length")])
 
 
 def rides_by_day(rides: DataFrame) -> DataFrame:
-    return _by_day(rides, ["member_casual"], [_count("number_of_rides")])
+    return _by_day(rides, ["member_casual"], [_count(rides, "number_of_rides")])
 
 
 def ride_frequency_by_day(rides: DataFrame) -> DataFrame:
-    return _by_day(rides, [], [_count("ride_count")])
+    return _by_day(rides, [], [_count(rides, "ride_count")])
 
 
 def hourly_rides(rides: DataFrame) -> DataFrame:
-    return summarize(rides, ["hour_of_day", "member_casual"], [_count("ride_count")])
+    return summarize(rides, ["hour_of_day", "member_casual"], [_count(rides, "ride_count")])
 
 
 def avg_ride_duration(rides: DataFrame) -> DataFrame:
     """Heat-map data: mean length per weekday x hour."""
-    return _by_day(rides, ["hour_of_day"], [_mean("ride_length", "average_ride_length")])
+    return _by_day(rides, ["hour_of_day"], [_mean(rides, "average_ride_length")])
 
 
 # ------------------------------------------------------------ length stats
@@ -176,21 +183,21 @@ def ride_length_stats_minutes(rides: DataFrame) -> DataFrame:
 
 def monthly_rides(rides: DataFrame) -> DataFrame:
     """Rides per abbreviated month label (years pooled) x rider type."""
-    return rides.groupBy(F.col("month_label").alias("month"), "member_casual").agg(_count("ride_count"))
+    return rides.groupBy(F.col("month_label").alias("month"), "member_casual").agg(_count(rides, "ride_count"))
 
 
 def rides_by_month(rides: DataFrame) -> DataFrame:
     """Rides per calendar month (years kept apart) x rider type."""
-    return rides.groupBy(F.col("month_start").alias("month"), "member_casual").agg(_count("number_of_rides"))
+    return rides.groupBy(F.col("month_start").alias("month"), "member_casual").agg(_count(rides, "number_of_rides"))
 
 
 def monthly_ride_count(rides: DataFrame) -> DataFrame:
     """Rides per full month name (plain text, so it sorts alphabetically)."""
-    return rides.groupBy(F.col("month_name").alias("month")).agg(_count("total_rides"))
+    return rides.groupBy(F.col("month_name").alias("month")).agg(_count(rides, "total_rides"))
 
 
 def bike_usage_by_month_type(rides: DataFrame) -> DataFrame:
-    return rides.groupBy("rideable_type", F.col("month_label").alias("month"), "member_casual").agg(_count("ride_count"))
+    return rides.groupBy("rideable_type", F.col("month_label").alias("month"), "member_casual").agg(_count(rides, "ride_count"))
 
 
 # ------------------------------------------------- places, ids, distances
@@ -199,7 +206,7 @@ def bike_usage_by_month_type(rides: DataFrame) -> DataFrame:
 def ride_count_by_location(rides: DataFrame) -> DataFrame:
     """Rides per exact start/end coordinate pair x rider type (high
     cardinality: hash-partitioned, not sorted)."""
-    return rides.groupBy("start_lat", "start_lng", "end_lat", "end_lng", "member_casual").agg(_count("number_of_rides"))
+    return rides.groupBy("start_lat", "start_lng", "end_lat", "end_lng", "member_casual").agg(_count(rides, "number_of_rides"))
 
 
 def frequent_casual_riders(rides: DataFrame, min_rides_exclusive: int = 5) -> DataFrame:
@@ -229,7 +236,7 @@ def station_utilization(rides: DataFrame, exact: bool = True, rsd: float = 0.01)
     """
     distinct = F.count_distinct("ride_id") if exact else F.approx_count_distinct("ride_id", rsd)
     out = rides.groupBy("start_station_name").agg(
-        _count("station_rides"),
+        _count(rides, "station_rides"),
         (distinct + F.max(F.col("ride_id").isNull().cast("int"))).alias("unique_bikes"),
     )
     return out.orderBy(F.col("station_rides").desc(), F.col("start_station_name").asc_nulls_last())

@@ -43,6 +43,12 @@ def on_cleaned(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).cleaned)
 
 
+def on_cube(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """Summaries over calendar / category keys, computed from the prepared
+    ride cube (one scan of the rides for all of them)."""
+    _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).cube)
+
+
 def on_routes(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).routes)
 
@@ -278,11 +284,11 @@ def q_na_summary(spark, sf_dir):
     return Q.na_summary(_p(spark, sf_dir).complete, RIDE_COLUMNS)
 
 
-on_cleaned("mean_ride_length", Q.mean_ride_length)
-on_cleaned("max_ride_length", Q.max_ride_length)
-on_cleaned("mode_day_of_week", Q.mode_day_of_week)
-on_cleaned("day_label_from_index", Q.day_label_from_index)
-on_cleaned("summary_statistics", Q.summary_statistics)
+on_cube("mean_ride_length", Q.mean_ride_length)
+on_cube("max_ride_length", Q.max_ride_length)
+on_cube("mode_day_of_week", Q.mode_day_of_week)
+on_cube("day_label_from_index", Q.day_label_from_index)
+on_cube("summary_statistics", Q.summary_statistics)
 
 # -------------------------------------------------------- grouped summaries
 
@@ -298,8 +304,6 @@ for _name in [
     "average_ride_length_by_member",
     "average_ride_length_by_day",
     "rides_by_day",
-    "ride_length_stats",
-    "ride_length_stats_minutes",
     "hourly_rides",
     "ride_frequency_by_day",
     "member_vs_casual_usage",
@@ -309,6 +313,12 @@ for _name in [
     "rides_by_month",
     "monthly_ride_count",
     "bike_usage_by_month_type",
+]:
+    on_cube(_name, getattr(S, _name))
+
+for _name in [
+    "ride_length_stats",
+    "ride_length_stats_minutes",
     "ride_count_by_location",
     "frequent_casual_riders",
     "average_trip_distance",
@@ -354,11 +364,11 @@ on_cleaned("display_order", lambda c: R.display_order(R.top_start_stations_by_me
 # ---------------------------------------------------------- chart statistics
 
 on_cleaned("ride_length_histogram", CH.ride_length_histogram)
-on_cleaned("rides_by_day_counts", CH.rides_by_day_counts)
+on_cube("rides_by_day_counts", CH.rides_by_day_counts)
 on_cleaned("ride_length_boxplot", CH.ride_length_boxplot)
 on_cleaned("ride_length_outliers", lambda c: CH.ride_length_outliers(c).select("ride_id", "member_casual", "ride_length", "ride_length_min"))
-on_cleaned("stack_positions", lambda c: CH.stack_positions(S.rides_by_month(c), ["month"], "member_casual", "number_of_rides"))
-on_cleaned("percent_label", lambda c: CH.ride_share_positions(S.ride_share_by_member_type(c)))
+on_cube("stack_positions", lambda c: CH.stack_positions(S.rides_by_month(c), ["month"], "member_casual", "number_of_rides"))
+on_cube("percent_label", lambda c: CH.ride_share_positions(S.ride_share_by_member_type(c)))
 on_cleaned("distance_vs_length", CH.distance_vs_length)
 on_cleaned("distance_length_bins", CH.distance_length_bins)
 on_cleaned("rides_by_start_location", CH.rides_by_start_location)

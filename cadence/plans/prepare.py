@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators import clean as K
+from cadence.operators.cube import ride_cube
 from cadence.operators.features import add_features
 from cadence.operators.joins import broadcast_if_small, max_broadcast_rows
 from cadence.sources.events import load_rides
@@ -73,7 +74,7 @@ class PreparedRides:
         this state is materialised)."""
         other = PreparedRides(
             self.raw, self.routes, self.end_lookup, self.start_lookup, self.raw, self.min_seconds, fill_start,
-            self.end_join, self.start_join if fill_start else None, dict(self.extras),
+            self.end_join, self.start_join if fill_start else None, {k: v for k, v in self.extras.items() if k != "cube"},
         )
         if fill_start and other.start_join is None:
             other.start_join = broadcast_if_small(self.start_lookup) if self.extras.get("materialized") else self.start_lookup
@@ -87,6 +88,15 @@ class PreparedRides:
             if df is not None:
                 df.unpersist()
 
+    @property
+    def cube(self) -> DataFrame:
+        """``ride_cube`` of the cleaned rides: one scan, then a small table
+        (written to the shared folder when this state is materialised)."""
+        if self.extras.get("cube") is None:
+            cube = ride_cube(self.cleaned)
+            self.extras["cube"] = materialize(cube, "ride_cube") if self.extras.get("materialized") else cube
+        return self.extras["cube"]
+
     @property
     def cleaned(self) -> DataFrame:
         """Complete rides longer than 0 s and than ``min_seconds``."""
