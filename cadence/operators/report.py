@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators import quality as Q
+from cadence.operators.cube import count_of, is_cube, max_length, short_count
 
 
 def preview(df: DataFrame, n: int = 6, order_by: tuple[str, ...] = ("started_at", "ride_id")) -> DataFrame:
@@ -31,14 +32,13 @@ def analysis_summary(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame
     One rollup over (rider type, bike type) carries counts, short-ride
     counts, length sums and maxima at three levels (pair, rider type, all);
     each of its rows emits its recap lines. With the weekday counts for the
-    mode that is two scans of the rides for the whole recap.
+    mode that is two scans of the rides, or of the small ``ride_cube``.
     """
-    x = F.col("ride_length")
     levels = cleaned.rollup("member_casual", "rideable_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(x < short_seconds).alias("n_short"),
-        F.sum(x).alias("len_sum"),
-        F.max(x).alias("len_max"),
+        count_of(cleaned).alias("n"),
+        short_count(cleaned, short_seconds).alias("n_short"),
+        (F.sum("len_sum") if is_cube(cleaned) else F.sum("ride_length")).alias("len_sum"),
+        max_length(cleaned).alias("len_max"),
         F.grouping_id().alias("level"),  # 0 pair, 1 rider type, 3 all rides
     )
     # all-rides count beside every level row (a window over the few rollup rows)

@@ -147,7 +147,7 @@ def q_report_lines(spark, sf_dir):
 
 @query("analysis_summary")
 def q_analysis_summary(spark, sf_dir):
-    return RP.analysis_summary(_p(spark, sf_dir).cleaned)
+    return RP.analysis_summary(_p(spark, sf_dir).cube)
 
 
 # ------------------------------------------------ projections and filters

@@ -4,6 +4,7 @@ import pytest
 
 from cadence.operators import chartdata as CH
 from cadence.operators import quality as Q
+from cadence.operators import report as RP
 from cadence.operators import summaries as S
 from cadence.operators.cube import ride_cube
 from cadence.plans.prepare import prepared
@@ -15,7 +16,7 @@ CUBE_ABLE = [
     S.average_ride_length_by_member, S.average_ride_length_by_day, S.rides_by_day, S.hourly_rides, S.ride_frequency_by_day,
     S.member_vs_casual_usage, S.avg_ride_duration_by_type, S.avg_ride_duration, S.monthly_rides, S.rides_by_month,
     S.monthly_ride_count, S.bike_usage_by_month_type, Q.mean_ride_length, Q.max_ride_length, Q.mode_day_of_week,
-    Q.day_label_from_index, Q.summary_statistics, CH.rides_by_day_counts,
+    Q.day_label_from_index, Q.summary_statistics, CH.rides_by_day_counts, RP.analysis_summary,
 ]
 
 
