@@ -62,3 +62,34 @@ def max_length(df: DataFrame, length_col: str = "ride_length") -> Column:
 def short_count(df: DataFrame, short_seconds: float = 60, length_col: str = "ride_length") -> Column:
     """Rides shorter than ``short_seconds`` (the cube fixes it when built)."""
     return F.sum("n_short") if is_cube(df) else F.count_if(F.col(length_col) < short_seconds)
+
+
+# ---------------------------------------------------------------- stations
+#
+# The station rankings all count rides per (start or end station, rider
+# type). ``station_table`` computes both sides in one scan with grouping
+# sets (each ride feeds both sets inside the task; only the per-task partial
+# counts are shuffled): columns side ('start'/'end'), station, member_casual,
+# n. The ranking functions accept it in place of the rides.
+
+STATION_TABLE_COLUMNS = ["side", "station", "member_casual", "n"]
+
+
+def station_table(cleaned: DataFrame) -> DataFrame:
+    g = cleaned.groupingSets(
+        [["start_station_name", "member_casual"], ["end_station_name", "member_casual"]],
+        "start_station_name",
+        "end_station_name",
+        "member_casual",
+    ).agg(F.count(F.lit(1)).alias("n"), F.grouping("end_station_name").alias("__start_set"))
+    start = F.col("__start_set") == 1
+    return g.select(
+        F.when(start, F.lit("start")).otherwise(F.lit("end")).alias("side"),
+        F.when(start, F.col("start_station_name")).otherwise(F.col("end_station_name")).alias("station"),
+        "member_casual",
+        "n",
+    )
+
+
+def is_station_table(df: DataFrame) -> bool:
+    return df.columns == STATION_TABLE_COLUMNS

@@ -1,7 +1,8 @@
 """Station rankings, top-k with and without ties, display order.
 
 Ranks are always taken on aggregated counts (one row per station), never on
-raw rides. Spark plans ``rank() <= k`` / ``row_number() <= k`` filters with a
+raw rides. Every function taking ``rides`` also accepts the pre-aggregated
+``cube.station_table`` (both station sides counted in one scan). Spark plans ``rank() <= k`` / ``row_number() <= k`` filters with a
 partial ``WindowGroupLimit`` before the shuffle, so each task forwards at most
 k rows (plus ties) per group.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.operators.cube import is_station_table
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -31,7 +34,13 @@ def sort_by(df: DataFrame, *specs: str | Column) -> DataFrame:
 
 
 def _station_counts(rides: DataFrame, station_col: str, by_member: bool, count_name: str) -> DataFrame:
-    keys = (["member_casual", station_col] if by_member else [station_col])
+    """Rides per station (and rider type), from the rides or from the
+    pre-aggregated ``station_table``."""
+    keys = ["member_casual", station_col] if by_member else [station_col]
+    if is_station_table(rides):
+        side = "start" if station_col.startswith("start") else "end"
+        t = rides.filter(F.col("side") == side).withColumnRenamed("station", station_col)
+        return t.groupBy(*keys).agg(F.sum("n").alias(count_name))
     return rides.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
 
 
@@ -97,7 +106,7 @@ def station_by_member_head(rides: DataFrame, station_col: str, count_name: str,
     """Per (station, rider type) counts, then the first ``n`` rows *per
     station* (the grouping left over after summarising by two keys). Each
     station has one row per rider type, so nothing is cut for n >= 2."""
-    counts = rides.groupBy(station_col, "member_casual").agg(F.count(F.lit(1)).alias(count_name))
+    counts = _station_counts(rides, station_col, True, count_name).select(station_col, "member_casual", count_name)
     kept = head_per_group(counts, n, [station_col], [F.col(count_name).desc(), F.col("member_casual").asc_nulls_last()])
     return sort_by(kept, f"-{count_name}", station_col, "member_casual")
 

@@ -49,6 +49,12 @@ def on_cube(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).cube)
 
 
+def on_stations(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """Station rankings, computed from the prepared station table (one scan
+    of the rides for all of them)."""
+    _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).stations)
+
+
 def on_routes(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).routes)
 
@@ -341,25 +347,20 @@ for _name in [
     "station_starts_by_member",
     "station_ends_by_member",
 ]:
-    on_cleaned(_name, getattr(R, _name))
+    on_stations(_name, getattr(R, _name))
 
 on_cleaned("top_utilized_stations", lambda c: R.top_utilized_stations(S.station_utilization(c)))
-on_cleaned(
+on_stations(
     "sort_by",
-    lambda c: R.sort_by(
-        c.groupBy("member_casual", "start_station_name").agg(F.count(F.lit(1)).alias("ride_count")),
-        "member_casual",
-        "-ride_count",
-        "start_station_name",
-    ),
+    lambda c: R.sort_by(R.popular_start_stations_by_member(c), "member_casual", "-ride_count", "start_station_name"),
 )
-on_cleaned(
+on_stations(
     "first_row",
     lambda c: R.first_row(
         R.popular_start_stations(c), [F.col("ride_count").desc(), F.col("start_station_name").asc_nulls_last()], "start_station_name"
     ),
 )
-on_cleaned("display_order", lambda c: R.display_order(R.top_start_stations_by_member(c), "start_station_name", "ride_count"))
+on_stations("display_order", lambda c: R.display_order(R.top_start_stations_by_member(c), "start_station_name", "ride_count"))
 
 # ---------------------------------------------------------- chart statistics
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators import clean as K
-from cadence.operators.cube import ride_cube
+from cadence.operators.cube import ride_cube, station_table
 from cadence.operators.features import add_features
 from cadence.operators.joins import broadcast_if_small, max_broadcast_rows
 from cadence.sources.events import load_rides
@@ -74,7 +74,7 @@ class PreparedRides:
         this state is materialised)."""
         other = PreparedRides(
             self.raw, self.routes, self.end_lookup, self.start_lookup, self.raw, self.min_seconds, fill_start,
-            self.end_join, self.start_join if fill_start else None, {k: v for k, v in self.extras.items() if k != "cube"},
+            self.end_join, self.start_join if fill_start else None, {k: v for k, v in self.extras.items() if k not in ("cube", "stations")},
         )
         if fill_start and other.start_join is None:
             other.start_join = broadcast_if_small(self.start_lookup) if self.extras.get("materialized") else self.start_lookup
@@ -97,6 +97,15 @@ class PreparedRides:
             self.extras["cube"] = materialize(cube, "ride_cube") if self.extras.get("materialized") else cube
         return self.extras["cube"]
 
+    @property
+    def stations(self) -> DataFrame:
+        """``station_table`` of the cleaned rides (rides per start / end station
+        and rider type), one scan, written when this state is materialised."""
+        if self.extras.get("stations") is None:
+            t = station_table(self.cleaned)
+            self.extras["stations"] = materialize(t, "station_table") if self.extras.get("materialized") else t
+        return self.extras["stations"]
+
     @property
     def cleaned(self) -> DataFrame:
         """Complete rides longer than 0 s and than ``min_seconds``."""

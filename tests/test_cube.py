@@ -38,3 +38,24 @@ def test_cube_equals_direct(both, fn):
 def test_cube_is_small(both):
     rides, cube = both
     assert cube.count() <= 2 * 3 * 7 * 24 * 13
+
+
+from cadence.operators import ranking as R  # noqa: E402
+from cadence.operators.cube import station_table  # noqa: E402
+from cadence.operators.features import add_features  # noqa: E402
+from tests.fixtures import edge_frame  # noqa: E402
+
+STATION_ABLE = [
+    R.popular_start_stations, R.popular_end_stations, R.top_start_stations, R.top_end_stations,
+    R.popular_start_stations_by_member, R.popular_end_stations_by_member, R.top_start_stations_by_member,
+    R.top_end_stations_by_member, R.station_starts_by_member, R.station_ends_by_member,
+]
+
+
+@pytest.mark.parametrize("fn", STATION_ABLE, ids=lambda f: f.__name__)
+@pytest.mark.parametrize("source", ["generated", "edge"])
+def test_station_table_equals_direct(spark, both, fn, source):
+    rides = both[0] if source == "generated" else add_features(edge_frame(spark))  # edge rows have null names
+    direct, from_table = fn(rides), fn(station_table(rides))
+    assert direct.columns == from_table.columns and dict(direct.dtypes) == dict(from_table.dtypes)
+    assert sorted(map(tuple, direct.collect()), key=str) == sorted(map(tuple, from_table.collect()), key=str)
