@@ -43,15 +43,21 @@ def on_cleaned(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).cleaned)
 
 
+CUBE_QUERIES: set[str] = set()
+STATION_QUERIES: set[str] = set()
+
+
 def on_cube(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     """Summaries over calendar / category keys, computed from the prepared
     ride cube (one scan of the rides for all of them)."""
+    CUBE_QUERIES.add(name)
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).cube)
 
 
 def on_stations(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     """Station rankings, computed from the prepared station table (one scan
     of the rides for all of them)."""
+    STATION_QUERIES.add(name)
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).stations)
 
 
