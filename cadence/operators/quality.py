@@ -77,25 +77,11 @@ def day_label_from_index(cleaned: DataFrame) -> DataFrame:
 def summary_statistics(cleaned: DataFrame, digits: int = 2) -> DataFrame:
     """Three-row (metric, value) table: mean and max length as text with at
     least ``digits`` significant digits, and the mode weekday."""
-    if is_cube(cleaned):
-        # per weekday first (7 rows), then one aggregate: mean, max and the day
-        # with the most rides (ties to the earlier day)
-        days = cleaned.groupBy("day_of_week_num").agg(
-            F.sum("n").alias("n"), F.sum("len_sum").alias("s"), F.max("len_max").alias("mx")
-        )
-        row = days.agg(
-            (F.sum("s") / F.sum("n")).alias("m"),
-            F.max("mx").alias("x"),
-            day_label(F.max_by("day_of_week_num", F.struct(F.col("n"), -F.col("day_of_week_num")))).alias("mode_day_of_week"),
-        )
-    else:
-        # one pass: mean, max and the weekday mode (deterministic mode = lowest
-        # index among ties = earliest day, Sunday first)
-        row = cleaned.agg(
-            F.avg("ride_length").alias("m"),
-            F.max("ride_length").alias("x"),
-            day_label(F.mode("day_of_week_num", True)).alias("mode_day_of_week"),
-        )
+    # one pass: mean, max and the weekday mode (on rides the deterministic
+    # mode takes the lowest index among ties = earliest day, Sunday first)
+    row = _length_stats(cleaned).select(
+        F.col("mean").alias("m"), F.col("max").alias("x"), F.col("mode").alias("mode_day_of_week")
+    )
     return row.select(
         F.inline(
             F.array(
@@ -114,19 +100,35 @@ def cleaned_row_report(complete: DataFrame) -> DataFrame:
     )
 
 
-def report_lines(complete: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """The six printed progress lines of a run, numbered in print order:
-    rows after cleaning, null start names, rows after filtering, mean, max
-    and mode. Two scans (complete rides, cleaned rides); lengths shown with
-    six decimals."""
-    a = complete.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("start_station_name").isNull()).alias("na"))
-    b = cleaned.agg(
+def _length_stats(cleaned: DataFrame) -> DataFrame:
+    """One row: ride count, mean and max length, and the weekday mode (ties
+    to the earlier day), from the rides or from the ``ride_cube``."""
+    if is_cube(cleaned):
+        days = cleaned.groupBy("day_of_week_num").agg(
+            F.sum("n").alias("n"), F.sum("len_sum").alias("s"), F.max("len_max").alias("mx")
+        )
+        return days.agg(
+            F.sum("n").alias("n"),
+            (F.sum("s") / F.sum("n")).alias("mean"),
+            F.max("mx").alias("max"),
+            day_label(F.max_by("day_of_week_num", F.struct(F.col("n"), -F.col("day_of_week_num")))).alias("mode"),
+        )
+    return cleaned.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("ride_length").alias("mean"),
         F.max("ride_length").alias("max"),
         day_label(F.mode("day_of_week_num", True)).alias("mode"),
     )
 
+
+def report_lines(complete: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The six printed progress lines of a run, numbered in print order:
+    rows after cleaning, null start names, rows after filtering, mean, max
+    and mode. One scan of the complete rides for the first two; the rest
+    from the cleaned rides or the ``ride_cube``. Lengths with six decimals."""
+    a = complete.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("start_station_name").isNull()).alias("na"))
+    b = _length_stats(cleaned)
+
     def line(i: int, label: str, value) -> F.Column:
         return F.struct(F.lit(i).alias("line_no"), report_line(label, value).alias("line"))
 

@@ -154,7 +154,7 @@ def q_report_line(spark, sf_dir):
 @query("report_lines")
 def q_report_lines(spark, sf_dir):
     p = _p(spark, sf_dir)
-    return Q.report_lines(p.complete, p.cleaned)
+    return Q.report_lines(p.complete, p.cube)
 
 
 @query("analysis_summary")

@@ -59,3 +59,11 @@ def test_station_table_equals_direct(spark, both, fn, source):
     direct, from_table = fn(rides), fn(station_table(rides))
     assert direct.columns == from_table.columns and dict(direct.dtypes) == dict(from_table.dtypes)
     assert sorted(map(tuple, direct.collect()), key=str) == sorted(map(tuple, from_table.collect()), key=str)
+
+
+def test_report_lines_from_cube(spark, both):
+    from cadence.plans.prepare import prepared
+
+    complete = prepared(spark, SF001).complete
+    rides, cube = both
+    assert sorted(map(tuple, Q.report_lines(complete, rides).collect())) == sorted(map(tuple, Q.report_lines(complete, cube).collect()))
