@@ -32,14 +32,7 @@ def ride_cube(cleaned: DataFrame, short_seconds: float = 60, length_col: str = "
     )
     # calendar labels of the cell, derived from its keys (same expressions as
     # the ride features)
-    return cube.withColumns(
-        {
-            "is_weekend": C.is_weekend("day_of_week"),
-            "month_num": C.month_num("month_start"),
-            "month_label": C.month_label("month_start"),
-            "month_name": C.month_name("month_start"),
-        }
-    )
+    return _with_calendar(cube)
 
 
 def is_cube(df: DataFrame) -> bool:
@@ -93,3 +86,51 @@ def station_table(cleaned: DataFrame) -> DataFrame:
 
 def is_station_table(df: DataFrame) -> bool:
     return df.columns == STATION_TABLE_COLUMNS
+
+
+def _with_calendar(cube: DataFrame) -> DataFrame:
+    return cube.withColumns(
+        {
+            "is_weekend": C.is_weekend("day_of_week"),
+            "month_num": C.month_num("month_start"),
+            "month_label": C.month_label("month_start"),
+            "month_name": C.month_name("month_start"),
+        }
+    )
+
+
+def summary_tables(cleaned: DataFrame, short_seconds: float = 60, length_col: str = "ride_length") -> DataFrame:
+    """``ride_cube`` and ``station_table`` from one scan: a grouping-sets
+    aggregate over the cube keys, (start station, rider type) and (end station,
+    rider type). Split it with ``cube_of`` and ``stations_of``; cache or write
+    it first so the rides are read once."""
+    x = F.col(length_col)
+    return cleaned.groupingSets(
+        [CUBE_KEYS, ["start_station_name", "member_casual"], ["end_station_name", "member_casual"]],
+        *CUBE_KEYS,
+        "start_station_name",
+        "end_station_name",
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(x < short_seconds).alias("n_short"),
+        F.sum(x).alias("len_sum"),
+        F.max(x).alias("len_max"),
+        F.grouping("rideable_type").alias("__not_cube"),
+        F.grouping("start_station_name").alias("__not_start"),
+    )
+
+
+def cube_of(tables: DataFrame) -> DataFrame:
+    """The ``ride_cube`` part of ``summary_tables`` (same columns)."""
+    return _with_calendar(tables.filter(F.col("__not_cube") == 0).select(*CUBE_KEYS, *CUBE_MEASURES))
+
+
+def stations_of(tables: DataFrame) -> DataFrame:
+    """The ``station_table`` part of ``summary_tables`` (same columns)."""
+    start = F.col("__not_start") == 0
+    return tables.filter(F.col("__not_cube") == 1).select(
+        F.when(start, F.lit("start")).otherwise(F.lit("end")).alias("side"),
+        F.when(start, F.col("start_station_name")).otherwise(F.col("end_station_name")).alias("station"),
+        "member_casual",
+        "n",
+    )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators import clean as K
-from cadence.operators.cube import ride_cube, station_table
+from cadence.operators.cube import cube_of, ride_cube, station_table, stations_of, summary_tables
 from cadence.operators.features import add_features
 from cadence.operators.joins import broadcast_if_small, max_broadcast_rows
 from cadence.sources.events import load_rides
@@ -88,22 +88,30 @@ class PreparedRides:
             if df is not None:
                 df.unpersist()
 
+    def _summary_tables(self) -> None:
+        # one grouping-sets scan of the cleaned rides gives both small tables;
+        # written (materialised state) or left lazy
+        if self.extras.get("materialized"):
+            tables = materialize(summary_tables(self.cleaned), "summary_tables")
+            self.extras["cube"] = materialize(cube_of(tables), "ride_cube")
+            self.extras["stations"] = materialize(stations_of(tables), "station_table")
+        else:
+            self.extras["cube"] = ride_cube(self.cleaned)
+            self.extras["stations"] = station_table(self.cleaned)
+
     @property
     def cube(self) -> DataFrame:
-        """``ride_cube`` of the cleaned rides: one scan, then a small table
-        (written to the shared folder when this state is materialised)."""
+        """``ride_cube`` of the cleaned rides (see ``cube``)."""
         if self.extras.get("cube") is None:
-            cube = ride_cube(self.cleaned)
-            self.extras["cube"] = materialize(cube, "ride_cube") if self.extras.get("materialized") else cube
+            self._summary_tables()
         return self.extras["cube"]
 
     @property
     def stations(self) -> DataFrame:
         """``station_table`` of the cleaned rides (rides per start / end station
-        and rider type), one scan, written when this state is materialised."""
+        and rider type)."""
         if self.extras.get("stations") is None:
-            t = station_table(self.cleaned)
-            self.extras["stations"] = materialize(t, "station_table") if self.extras.get("materialized") else t
+            self._summary_tables()
         return self.extras["stations"]
 
     @property

@@ -67,3 +67,16 @@ def test_report_lines_from_cube(spark, both):
     complete = prepared(spark, SF001).complete
     rides, cube = both
     assert sorted(map(tuple, Q.report_lines(complete, rides).collect())) == sorted(map(tuple, Q.report_lines(complete, cube).collect()))
+
+
+def test_summary_tables_split_equals_separate_tables(spark, both):
+    from cadence.operators.cube import cube_of, stations_of, summary_tables
+
+    rides, cube = both
+    tables = summary_tables(rides)
+    for a, b in [(cube_of(tables), cube), (stations_of(tables), station_table(rides))]:
+        assert a.columns == b.columns and dict(a.dtypes) == dict(b.dtypes)
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    edge = add_features(edge_frame(spark))
+    t = summary_tables(edge)
+    assert sorted(map(tuple, stations_of(t).collect()), key=str) == sorted(map(tuple, station_table(edge).collect()), key=str)
