@@ -31,10 +31,11 @@ def main() -> None:
         ("Stage 2: both station lookups in one aggregation (first name per id, tie flag)", K.station_first_names(p.routes)),
         ("Stage 3: fills, completeness filter, features (written as complete_rides)", add_features(K.drop_incomplete_rides(p.filled()))),
     ]
-    from cadence.operators.cube import ride_cube, station_table
+    from cadence.operators.cube import summary_tables
 
-    sections.append(("Stage 4: ride cube (one scan for the calendar / category summaries)", ride_cube(p.cleaned)))
-    sections.append(("Stage 5: station table (both station sides in one grouping-sets scan)", station_table(p.cleaned)))
+    sections.append(
+        ("Stage 4: ride cube and station table from one grouping-sets scan (split and written)", summary_tables(p.cleaned))
+    )
     for name in [
         "average_ride_length_by_day",
         "ride_length_stats",
