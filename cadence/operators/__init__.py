@@ -1,2 +1,3 @@
-"""DataFrame -> DataFrame operators (cleaning, features, summaries, ranks,
-chart statistics, quality reports)."""
+"""DataFrame -> DataFrame operators: cleaning (lookups, fills, filters),
+features, the pre-aggregated ride cube and station table, grouped summaries,
+rankings, chart statistics, quality reports and the printed recap."""
