@@ -82,6 +82,15 @@ class PreparedRides:
         other.complete = materialize(complete, "complete_rides") if self.extras.get("materialized") else complete
         return other
 
+    def with_min_seconds(self, min_seconds: float) -> "PreparedRides":
+        """Same tables with another lower length bound: the complete-ride table
+        does not depend on it, only the cleaned view and its summary tables."""
+        extras = {k: v for k, v in self.extras.items() if k not in ("cube", "stations")}
+        return PreparedRides(
+            self.raw, self.routes, self.end_lookup, self.start_lookup, self.complete, min_seconds, self.fill_start,
+            self.end_join, self.start_join, extras,
+        )
+
     def release(self) -> None:
         """Drop the cached lookups (the written tables stay in the shared folder)."""
         for df in (self.end_lookup, self.start_lookup, self.extras.get("start_ids"), self.extras.get("names")):
@@ -206,7 +215,10 @@ def prepared(spark: SparkSession, sf_dir: str, *, min_seconds: float = 10, fill_
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), float(min_seconds), fill_start)
     if key not in _CACHE:
         sibling = _CACHE.get(key[:3] + (not fill_start,))
-        if sibling is not None:
+        same_fill = next((v for k, v in _CACHE.items() if k[:2] == key[:2] and k[3] == fill_start), None)
+        if same_fill is not None:
+            _CACHE[key] = same_fill.with_min_seconds(min_seconds)
+        elif sibling is not None:
             _CACHE[key] = sibling.variant(fill_start)
         else:
             _CACHE[key] = prepare_rides(load_rides(spark, sf_dir), min_seconds=min_seconds, fill_start=fill_start)

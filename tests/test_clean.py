@@ -90,3 +90,12 @@ def test_fill_variant_reuses_lookups(rides):
     assert sorted(r.ride_id for r in v.cleaned.select("ride_id").collect()) == expected
     back = v.variant(fill_start=True)
     assert sorted(r.ride_id for r in back.cleaned.select("ride_id").collect()) == sorted(r[0] for r in brute_clean(edge_rides()))
+
+
+def test_other_min_seconds_reuses_complete_table(rides):
+    p = prepare_rides(rides)
+    q = p.with_min_seconds(0)
+    assert q.complete is p.complete
+    expected = sorted(r[0] for r in brute_clean(edge_rides(), min_seconds=0))
+    assert sorted(r.ride_id for r in q.cleaned.select("ride_id").collect()) == expected
+    assert "r17" in expected  # the 10 s ride is kept with a 0 s bound
