@@ -82,3 +82,13 @@ def test_end_to_end_run_writes_the_exports(spark):
     assert by_day.count() == 14 and sum(r.number_of_rides for r in by_day.collect()) == 921
     first = by_day.first()
     assert first.day_of_week == "Sunday"  # calendar order in the export
+
+
+def test_cli_main_prints_the_recap_in_order(spark, capsys):
+    from cadence.__main__ import main
+
+    out = os.path.join(tempfile.mkdtemp(prefix="cadence-cli-"), "out")
+    main(["--events", "/root/testdata/sf0.001", "--out", out])
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines[0].startswith("Mean ride length: ") and lines[2].startswith("Mode day of the week: ")
+    assert sorted(os.listdir(out)) == ["average_ride_length_by_day.csv", "average_ride_length_by_member.csv", "rides_by_day.csv"]
