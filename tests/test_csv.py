@@ -92,3 +92,24 @@ def test_cli_main_prints_the_recap_in_order(spark, capsys):
     lines = capsys.readouterr().out.strip().splitlines()
     assert lines[0].startswith("Mean ride length: ") and lines[2].startswith("Mode day of the week: ")
     assert sorted(os.listdir(out)) == ["average_ride_length_by_day.csv", "average_ride_length_by_member.csv", "rides_by_day.csv"]
+
+
+def test_export_shapes_match_the_reference_files(spark):
+    """Headers and row counts of the three exports (the reference's export
+    sizes fit these headers with 2, 14 and 14 rows)."""
+    import glob
+
+    from cadence.__main__ import run
+
+    out = os.path.join(tempfile.mkdtemp(prefix="cadence-exp-"), "out")
+    run(spark, out, events="/root/testdata/sf0.01")
+    expected = {
+        "average_ride_length_by_member.csv": ("member_casual,average_ride_length", 2),
+        "average_ride_length_by_day.csv": ("day_of_week,member_casual,average_ride_length", 14),
+        "rides_by_day.csv": ("day_of_week,member_casual,number_of_rides", 14),
+    }
+    for name, (header, rows) in expected.items():
+        parts = glob.glob(os.path.join(out, name, "part-*.csv"))
+        assert len(parts) == 1
+        lines = open(parts[0]).read().splitlines()
+        assert lines[0] == header and len(lines) - 1 == rows
