@@ -51,6 +51,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def single_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """``(key, text)`` with one long key per document, ordered like ``(id, text
+    hash)``, and the table ``(key, did)`` if the key is not the id itself.
+
+    The id is the key unless some id has several texts; then documents get the
+    ranks of a range sort of their ids and hashes.
+    """
+    d = keyed(docs, id_col, text_col)
+    several = d.groupBy("did").agg(F.min("dh").alias("a"), F.max("dh").alias("b")).filter("a <> b")
+    if several.isEmpty():
+        return d.select(F.col("did").alias("key"), "text"), None
+    ranked = hold(d.select("did", "dh").distinct().orderBy("did", "dh").withColumn("at", F.monotonically_increasing_id()), "keys")
+    ids = ranked.select("did", "dh", F.col("at").alias("key"))
+    return d.join(ids, ["did", "dh"]).select("key", "text"), ids.select("key", "did")
+
+
 def out_id(col: str = "did") -> Column:
     """The id as it was given."""
     return F.when(F.col(col) != NULL_ID, F.col(col)).alias("doc_id")

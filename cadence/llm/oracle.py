@@ -29,6 +29,26 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+OP4 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(words[p:p + 19], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS p FROM w WHERE len(words) >= 20)
+), late AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS rn FROM win) WHERE rn > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS pos FROM late
+), each AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w
+), kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) AS kept, count(*) AS n
+  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP5 = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
@@ -95,4 +115,4 @@ FROM c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op5_line_dedup": OP5, "op10_quality_rules": OP10}
+    return {"op1_source_mixing": OP1, "op4_substring_dedup": OP4, "op5_line_dedup": OP5, "op10_quality_rules": OP10}

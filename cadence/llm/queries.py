@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cadence.llm import lines, mixing, pieces, rules, simhash
+from cadence.llm import lines, mixing, pieces, rules, simhash, windows
 from cadence.llm.common import pick, read
 
 #: Name of the public SentencePiece model among the installed tokenizers.
@@ -43,6 +43,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = windows.dedup_windows(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", sha("kept").alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
     d = lines.dedup_lines(docs)
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
         "op3_simhash": op3_simhash,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op7_sentencepiece": op7_sentencepiece,
         "op10_quality_rules": op10_quality_rules,

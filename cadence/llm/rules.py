@@ -55,42 +55,38 @@ def with_base(docs: DataFrame, text: Column, window: int = 8) -> DataFrame:
     d = d.withColumn("qr_n_words", F.size("qr_words").cast("long"))
     d = d.withColumn("qr_word_chars", b["word_chars"]).withColumn("qr_n_symbols", b["n_symbols"])
     d = d.withColumn("qr_n_dup_lines", (F.size("qr_lines") - F.size(F.array_distinct("qr_lines"))).cast("long"))
-    d = d.withColumn("qr_word_hash", F.transform("qr_words", lambda w: F.xxhash64(w)))
-
-    def fold(i: Column) -> Column:
-        return F.xxhash64(*[F.get("qr_word_hash", i + k) for k in range(window)])
-
-    d = d.withColumn(
-        "qr_win",
-        F.when(F.size("qr_words") < window, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.size("qr_words") - window), fold)
-        ),
-    )
-    # sorted (hash, place): neighbours with the same hash are repeated windows
-    ranked = F.array_sort(F.transform("qr_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn(
-        "qr_sorted",
-        F.when(F.size(F.array_distinct("qr_win")) == F.size("qr_win"), F.lit(None)).otherwise(ranked),
-    )
-    places = F.array_sort(
-        F.transform(
-            F.filter(
-                "qr_sorted",
-                lambda x, j: (F.get("qr_sorted", j - 1)["h"] == x["h"]) | F.coalesce(F.get("qr_sorted", j + 1)["h"] == x["h"], F.lit(False)),
-            ),
-            lambda x: x["i"],
-        )
-    )
-    d = d.withColumn("qr_places", places)
-    covered = F.aggregate(
-        F.transform(
-            "qr_places",
-            lambda p, j: F.least(F.lit(window), F.coalesce(F.get("qr_places", j + 1) - p, F.lit(window))),
-        ),
-        F.lit(0).cast("long"),
-        lambda a, x: a + x,
-    )
-    return d.withColumn("qr_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    return d.withColumn("qr_n_repeat_words", repeated_words(F.col("qr_words"), window))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, also where the optimizer
+    moves the expression into a filter."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def repeated_words(words: Column, window: int = 8) -> Column:
+    """Words covered by windows that occur more than once in the text."""
+
+    def hashes(w: Column) -> Column:
+        fold = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(window)])
+        return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: fold(h, i)))
+
+    def places(s: Column) -> Column:
+        # sorted (hash, place): neighbours with the same hash are repeated windows
+        near = lambda j, x: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda x, j: near(j - 1, x) | near(j + 1, x)), lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        each = F.transform(p, lambda x, j: F.least(F.lit(window), F.coalesce(F.get(p, j + 1) - x, F.lit(window))))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def count(x: Column) -> Column:
+        ranked = F.array_sort(F.transform(x, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        once = F.size(F.array_distinct(x)) == F.size(x)
+        return F.when(once, F.lit(0).cast("long")).otherwise(let(ranked, lambda s: let(places(s), covered)))
+
+    zero = F.lit(0).cast("long")
+    return let(words, lambda w: F.when(F.size(w) < window, zero).otherwise(let(hashes(w), count)))
 
 
 def bad_line(line: Column) -> Column:

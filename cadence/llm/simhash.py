@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cadence.llm.common import connected_components, hold, keyed, out_id, ship
-from cadence.llm.textnp import chunks
+from cadence.llm.textnp import text_bytes
 
 SEED = 42
 FINGERPRINTS = "did long, dh long, fp long"
@@ -60,12 +60,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     ship(docs.sparkSession)
 
     def run(batches):
-        for did, dh, off, data in chunks(batches):
-            raw = data.tobytes()
-            fps = [fingerprint(raw[a:b], shingle) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(did), pa.array(dh), pa.array(np.array(fps, np.uint64).view(np.int64))], ["did", "dh", "fp"]
-            )
+        for b in batches:
+            off, data = text_bytes(b.column("text"))
+            fps = [fingerprint(data[i:j].tobytes(), shingle) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("dh"), fp], ["did", "dh", "fp"])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, FINGERPRINTS)
 

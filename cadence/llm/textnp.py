@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -34,28 +35,34 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches, max_bytes: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(did, dh, offsets, bytes)`` of runs of documents of about ``max_bytes``
-    (one longer document stays whole), ordered by ``(did, dh)`` inside each."""
+    """``(key, extra, offsets, bytes)`` of runs of documents of about ``max_bytes``
+    (one longer document stays whole), ordered by key inside each. The first
+    column is the key, the column ``text`` the text, ``extra`` the rows' numbers
+    in the batch."""
     for b in batches:
         off, data = text_bytes(b.column("text"))
-        did = b.column("did").to_numpy(zero_copy_only=False).astype(np.int64)
-        dh = b.column("dh").to_numpy(zero_copy_only=False).astype(np.int64)
-        n, i = len(did), 0
+        key = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n, i = len(key), 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, side="right")) - 1)
             j = min(j, n)
-            o, d, h = off[i : j + 1], did[i:j], dh[i:j]
+            o, d, rows = off[i : j + 1], key[i:j], np.arange(i, j)
             part = data[o[0] : o[-1]]
             o = o - o[0]
-            order = np.lexsort((h, d))
+            order = np.argsort(d, kind="stable")
             if len(order) > 1 and (order[1:] < order[:-1]).any():
                 part = np.concatenate([part[o[k] : o[k + 1]] for k in order]) if len(part) else part
                 o = np.concatenate([[0], np.cumsum((o[1:] - o[:-1])[order])])
-                d, h = d[order], h[order]
-            yield d, h, o, part
+                d, rows = d[order], rows[order]
+            yield d, rows, o, part
             i = j
 
 
+def packed(text: str | bytes) -> bytes:
+    """A text as it travels in a shuffle."""
+    return zlib.compress(text.encode() if isinstance(text, str) else text, 1)
+
+
 def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each document and
     the index of the first word of each (one more entry than documents)."""
