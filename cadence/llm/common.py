@@ -59,6 +59,7 @@ def single_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranks of a range sort of their ids and hashes.
     """
     d = keyed(docs, id_col, text_col)
+    # one row per id and a few longs each
     several = d.groupBy("did").agg(F.min("dh").alias("a"), F.max("dh").alias("b")).filter("a <> b")
     if several.isEmpty():
         return d.select(F.col("did").alias("key"), "text"), None

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cadence.llm import lines, mixing, pieces, rules, simhash, windows
+from cadence.llm import lines, mixing, pieces, rules, simhash, suffixes, windows
 from cadence.llm.common import pick, read
 
 #: Name of the public SentencePiece model among the installed tokenizers.
@@ -65,6 +65,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", n.cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixes.dedup_suffixes(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
     d = rules.judge(docs, F.col("text"))
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_suffix_array": op8_suffix_array,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": pipeline,
     }
