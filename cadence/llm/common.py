@@ -26,6 +26,7 @@ from cadence.sources.store import materialize, storage_dir
 #: Ids that are null sort behind every id.
 NULL_ID = (1 << 63) - 1
 
+BATCH_ROWS = 2_000
 _SHIPPED: set[str] = set()
 
 
@@ -82,6 +83,9 @@ def hold(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers once per application, as ``--py-files`` would."""
     storage_dir(spark)
+    # Arrow batches of whole texts: fewer rows each than Spark's 10,000
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

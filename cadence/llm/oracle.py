@@ -69,6 +69,27 @@ FROM m GROUP BY doc_id
 """
 
 
+OP6 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND list_dot_product(x, x) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98
+), r AS (
+  SELECT vec_id AS node, vec_id AS seen FROM v
+  UNION
+  SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+), n AS (
+  SELECT a, count(*) AS n FROM e GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON vec_id = node LEFT JOIN n ON n.a = vec_id
+"""
+
 OP10 = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -115,4 +136,4 @@ FROM c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op4_substring_dedup": OP4, "op5_line_dedup": OP5, "op10_quality_rules": OP10}
+    return {"op1_source_mixing": OP1, "op4_substring_dedup": OP4, "op5_line_dedup": OP5, "op6_embedding_dedup": OP6, "op10_quality_rules": OP10}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cadence.llm import lines, mixing, pieces, rules, simhash, suffixes, windows
+from cadence.llm import embeddings, lines, mixing, pieces, quality, rules, simhash, suffixes, toxicity, windows
 from cadence.llm.common import pick, read
 
 #: Name of the public SentencePiece model among the installed tokenizers.
@@ -39,6 +39,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
@@ -59,6 +64,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pieces.encode_documents(read(spark, sf_dir, "documents"), piece_model_path())
     n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
@@ -70,6 +79,10 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents")).select("doc_id", "votes", "weak_label", "score", "kept")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
     d = rules.judge(docs, F.col("text"))
@@ -86,11 +99,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
+        "op2_toxicity": op2_toxicity,
         "op3_simhash": op3_simhash,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_line_dedup": op5_line_dedup,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_suffix_array": op8_suffix_array,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": pipeline,
     }

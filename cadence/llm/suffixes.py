@@ -245,15 +245,14 @@ def exploded(size: int):
     return run
 
 
-def fine_runs(reps: DataFrame, size: int) -> DataFrame:
+def fine_runs(reps: DataFrame, size: int, any_hot: bool) -> DataFrame:
     """``(rkey, runs)`` of representatives that repeat in part."""
     spark = reps.sparkSession
     cold = reps.filter("not hot").repartitionByRange(width(spark), F.substring("suffix", 1, K))
     found = cold.mapInPandas(sort_bucket(size), "rkey long, runs binary")
-    hot = reps.filter("hot")
-    if hot.isEmpty():
+    if not any_hot:
         return found
-    each = hot.mapInPandas(exploded(size), "h1 long, h2 long, key long, start long")
+    each = reps.filter("hot").mapInPandas(exploded(size), "h1 long, h2 long, key long, start long")
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1")
     hits = each.join(twice, ["h1", "h2"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
 
@@ -325,7 +324,7 @@ def dedup_suffixes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
     reps = table.filter("fine").select("key", "body", "marks")
     if unique is not flat:
         reps = reps.dropDuplicates(["key"])
-    fine = fine_runs(reps.mapInArrow(contexts(size), CONTEXTS), size)
+    fine = fine_runs(reps.mapInArrow(contexts(size), CONTEXTS), size, not hot.isEmpty())
     fine = fine.groupBy("rkey").agg(F.collect_list("runs").alias("runs"))
     later = table.filter("fine").join(fine, F.col("key") == F.col("rkey"), "left").select("key", "body", "marks", "runs")
     rest = table.filter("not fine").select("key", "body", "marks", F.lit(None).cast("array<binary>").alias("runs"))
