@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from cadence.llm.common import hold, pick, ship
 
 SAMPLE, DIMS, KEEP = 6_000, 1 << 12, 0.5
+#: Assumed of every labeller: it votes against at most this share of good texts.
+FALSE_ALARM = 0.01
 #: Byte classes of word shapes: A, a (with all of UTF-8's other bytes), 0, the rest as they are.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 SQUEEZE = [(re.compile(rb"aa+"), b"a"), (re.compile(rb"AA+"), b"A"), (re.compile(rb"00+"), b"0")]
@@ -50,9 +52,13 @@ def look(text: bytes) -> tuple[str, dict[int, float]]:
     repeats = 1 - len(set(lines)) / max(len(lines), 1)
     ended = sum(x[-1:] in b".!?\"'" for x in lines) / max(len(lines), 1)
     length = (len(text) - text.count(b" ")) / max(n, 1)
+    for pattern, one in SQUEEZE:
+        shape = pattern.sub(one, shape)
+    words = Counter(shape.split())
+    marked = sum(c for s, c in words.items() if not set(MARKS).isdisjoint(s)) / max(n, 1)
     votes = "".join(
         [
-            vote(n < 20, n >= 60),
+            vote(n < 3, n >= 20),
             vote(upper * 2 > letters, upper * 5 < letters),
             vote(marks * 5 > n, marks * 50 < n),
             vote(repeats > 0.3, len(lines) > 3 and repeats < 0.1),
@@ -60,11 +66,9 @@ def look(text: bytes) -> tuple[str, dict[int, float]]:
             vote(n >= 30 and distinct < 0.35, n >= 30 and distinct > 0.5),
             vote(bool(lines) and ended < 0.05 and n > 60, ended > 0.3),
             vote(length > 15 or length < 2, 3 <= length <= 12),
+            vote(marked > 0.25, marked < 0.05),
         ]
     )
-    for pattern, one in SQUEEZE:
-        shape = pattern.sub(one, shape)
-    words = Counter(shape.split())
     feats: Counter = Counter()
     for s, c in words.items():
         feats[zlib.crc32(s[:16]) % DIMS] += c
@@ -90,6 +94,7 @@ def em(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[np.n
         for k, p in enumerate((post, 1 - post)):
             weight = (counts * p)[:, None] * has
             rates[k] = ((weight * v).sum(axis=0) + (2.0, 1.0)[k]) / (weight.sum(axis=0) + 3.0)
+        rates[0] = np.maximum(rates[0], 1 - FALSE_ALARM)
         prior = float(np.clip((counts * post).sum() / counts.sum(), 1e-3, 1 - 1e-3))
         r = np.clip(rates, 1e-3, 1 - 1e-3)
         ll = [(has * (v * np.log(r[k]) + (1 - v) * np.log(1 - r[k]))).sum(axis=1) for k in (0, 1)]
