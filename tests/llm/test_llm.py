@@ -342,7 +342,7 @@ def test_quality_rules_edges(spark, edge, none):
     out = rules.quality_filter(edge)
     assert out.columns == edge.columns and rules.quality_filter(none).count() == 0
     nav = "Home | Shop | News | Login"
-    body = "\n".join(f"This is sentence number {i} of a fine plain text." for i in range(8))
+    body = "\n".join(f"Line w{i}a tells w{i}b of w{i}c and w{i}d in w{i}e." for i in range(8))
     page = spark.createDataFrame([(1, nav + "\n" + body), (2, "\n".join([nav + f" {i}" for i in range(9)]) + "\n" + body[:50])], "doc_id long, text string")
     kept = rows(rules.quality_filter(page))
     assert set(kept) == {1} and kept[1]["text"] == body
