@@ -17,9 +17,9 @@ def _c(c: str | Column) -> Column:
 
 
 def ride_length_seconds(started: str | Column = "started_at", ended: str | Column = "ended_at") -> Column:
-    """Elapsed seconds as a double. The difference is taken in whole
-    microseconds first (exact, no overflow) and only then scaled."""
-    return F.timestamp_diff("MICROSECOND", _c(started), _c(ended)) / F.lit(1e6)
+    """Elapsed seconds as a double. The difference is a day-time interval
+    (whole microseconds, no session zone involved) and only then scaled."""
+    return (_c(ended) - _c(started)).cast("interval second").cast("decimal(20, 6)").cast("double")
 
 
 def ride_length_minutes(seconds: str | Column = "ride_length") -> Column:

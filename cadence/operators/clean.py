@@ -5,7 +5,8 @@ The station lookups are built from the rides themselves:
 * J1: rides whose ``end_station_id`` also occurs as some ride's
   ``start_station_id`` (null matches null);
 * per station id, the name on the *first* such ride, ordered by
-  ``(started_at, ride_id)``, even when that name is null;
+  ``(started_at, ride_id)`` with undated rides last, even when that name is
+  null;
 * missing names are filled from the lookup by a left join on the id.
 
 Instead of semi-joining the full ride table, every ride is first folded into
@@ -93,18 +94,14 @@ def start_station_lookup_conflicts(routes: DataFrame) -> DataFrame:
 # rides by a (broadcast) join on route and instant, and only if any exist.
 
 
-def first_names(routes: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Per id: the name of its earliest matched route, the earliest instant
-    ``t0`` and a flag ``tied`` (routes with different names share ``t0``)."""
-    return _first_name_agg(matched_routes(routes), [id_col], name_col)
-
-
 def _first_name_agg(m: DataFrame, keys: list[str], name_col: str) -> DataFrame:
     # smallest name at the earliest instant, and largest name at the earliest
-    # instant (ordering by the negated instant); they differ only on a tie
-    micros = F.unix_micros(F.col("first_started_at").cast("timestamp"))
-    lo = F.min(F.struct(F.col("first_started_at").alias("t"), F.col(name_col).alias("n")))
-    hi = F.max(F.struct((-micros).alias("t"), F.col(name_col).alias("n")))
+    # instant (ordering by the time left until a fixed origin); they differ
+    # only on a tie. Routes without a dated ride come last.
+    t = F.col("first_started_at")
+    before_origin = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' - first_started_at")
+    lo = F.min(F.struct(t.isNull().alias("undated"), t.alias("t"), F.col(name_col).alias("n")))
+    hi = F.max(F.struct(t.isNotNull().alias("dated"), before_origin.alias("t"), F.col(name_col).alias("n")))
     agg = m.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"))
     return agg.select(
         *keys,
@@ -150,14 +147,14 @@ def tied_routes(routes: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     """Matched routes of tied ids that start at the id's earliest instant."""
     m = matched_routes(routes)
     t = names.filter("tied").select(F.col(id_col).alias("__id"), "t0")
-    cond = m[id_col].eqNullSafe(t["__id"]) & (m["first_started_at"] == t["t0"])
+    cond = m[id_col].eqNullSafe(t["__id"]) & m["first_started_at"].eqNullSafe(t["t0"])
     return m.join(t, cond, "left_semi").select(*ROUTE_KEYS, "first_started_at")
 
 
 def route_tiebreaks(rides: DataFrame, tied: DataFrame) -> DataFrame:
     """Smallest ride id among the rides of each tied route at its earliest
     instant. ``tied`` is small: hint it with ``broadcast_if_small``."""
-    cond = _null_safe_on(rides, tied, ROUTE_KEYS) & (rides["started_at"] == tied["first_started_at"])
+    cond = _null_safe_on(rides, tied, ROUTE_KEYS) & rides["started_at"].eqNullSafe(tied["first_started_at"])
     hits = rides.join(tied, cond, "left_semi")
     return hits.groupBy(*ROUTE_KEYS).agg(F.min("ride_id").alias("first_ride_id"))
 
@@ -181,7 +178,7 @@ def station_routes_exact(rides: DataFrame) -> DataFrame:
     string in the buffer makes it a sort-based aggregate; used by the lazy,
     single-plan path. The materialised path uses ``station_routes`` plus a
     tie pass instead."""
-    fs = F.min(F.struct("started_at", "ride_id")).alias("__fs")
+    fs = F.min(F.struct(F.col("started_at").isNull().alias("undated"), "started_at", "ride_id")).alias("__fs")
     return rides.groupBy(*ROUTE_KEYS).agg(fs).select(
         *ROUTE_KEYS, F.col("__fs.started_at").alias("first_started_at"), F.col("__fs.ride_id").alias("first_ride_id")
     )
@@ -189,8 +186,9 @@ def station_routes_exact(rides: DataFrame) -> DataFrame:
 
 def lookup_clean_exact(routes_exact: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Lookup from ``station_routes_exact``: name of the route whose first
-    ride comes first by (started_at, ride_id); a null name is kept."""
-    order = F.struct("first_started_at", "first_ride_id")
+    ride comes first by (started_at, ride_id), undated rides last; a null
+    name is kept."""
+    order = F.struct(F.col("first_started_at").isNull().alias("undated"), "first_started_at", "first_ride_id")
     return matched_routes(routes_exact).groupBy(id_col).agg(F.min_by(name_col, order).alias(name_col))
 
 
@@ -227,24 +225,20 @@ def drop_incomplete_rides(rides: DataFrame) -> DataFrame:
     return rides.dropna(how="any", subset=REQUIRED_COLUMNS)
 
 
-def _len(col: str) -> Column:
-    return F.col(col)
-
-
 def zero_or_negative_rides(rides: DataFrame, length_col: str = "ride_length") -> DataFrame:
-    return rides.filter(_len(length_col) <= 0)
+    return rides.filter(F.col(length_col) <= 0)
 
 
 def drop_nonpositive_rides(rides: DataFrame, length_col: str = "ride_length") -> DataFrame:
-    return rides.filter(_len(length_col) > 0)
+    return rides.filter(F.col(length_col) > 0)
 
 
 def drop_too_short_rides(rides: DataFrame, min_seconds: float = 10, length_col: str = "ride_length") -> DataFrame:
-    return rides.filter(_len(length_col) > min_seconds)
+    return rides.filter(F.col(length_col) > min_seconds)
 
 
 def short_rides(rides: DataFrame, max_seconds: float = 60, length_col: str = "ride_length") -> DataFrame:
-    return rides.filter(_len(length_col) < max_seconds)
+    return rides.filter(F.col(length_col) < max_seconds)
 
 
 def casual_rides(rides: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ of: rider type, bike type, weekday, hour, month. Instead of one scan of the
 rides per summary, ``ride_cube`` aggregates the cleaned rides once to one row
 per (rider type, bike type, weekday, hour, calendar month) cell — at most
 2 x 3 x 7 x 24 x months rows, independent of the number of rides — with the
-ride count, the short-ride count, the length sum and the length maximum.
+ride count, the short-ride count (and its threshold), the length sum and the
+length maximum.
 The summary functions accept this cube in place of the rides and re-aggregate
 it (``sum`` of counts, ``sum``/``sum`` for means, ``max`` of maxima). Lengths
 are whole seconds, so sums are exact and means equal the direct ones.
@@ -19,14 +20,16 @@ from pyspark.sql import functions as F
 from cadence.functions import columns as C
 
 CUBE_KEYS = ["member_casual", "rideable_type", "day_of_week_num", "day_of_week", "hour_of_day", "month_start"]
-CUBE_MEASURES = ["n", "n_short", "len_sum", "len_max"]
+CUBE_MEASURES = ["n", "n_short", "short_seconds", "len_sum", "len_max"]
+LENGTH = "ride_length"
 
 
-def ride_cube(cleaned: DataFrame, short_seconds: float = 60, length_col: str = "ride_length") -> DataFrame:
-    x = F.col(length_col)
+def ride_cube(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame:
+    x = F.col(LENGTH)
     cube = cleaned.groupBy(*CUBE_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(x < short_seconds).alias("n_short"),
+        F.max(F.lit(float(short_seconds))).alias("short_seconds"),
         F.sum(x).alias("len_sum"),
         F.max(x).alias("len_max"),
     )
@@ -44,17 +47,33 @@ def count_of(df: DataFrame) -> Column:
     return F.sum("n") if is_cube(df) else F.count(F.lit(1))
 
 
-def mean_length(df: DataFrame, length_col: str = "ride_length") -> Column:
-    return F.sum("len_sum") / F.sum("n") if is_cube(df) else F.avg(length_col)
+def _only_length(length_col: str) -> None:
+    if length_col != LENGTH:
+        raise ValueError(f"the ride cube summarises {LENGTH}, not {length_col}; pass the rides")
 
 
-def max_length(df: DataFrame, length_col: str = "ride_length") -> Column:
-    return F.max("len_max") if is_cube(df) else F.max(length_col)
+def mean_length(df: DataFrame, length_col: str = LENGTH) -> Column:
+    if is_cube(df):
+        _only_length(length_col)
+        return F.sum("len_sum") / F.sum("n")
+    return F.avg(length_col)
 
 
-def short_count(df: DataFrame, short_seconds: float = 60, length_col: str = "ride_length") -> Column:
-    """Rides shorter than ``short_seconds`` (the cube fixes it when built)."""
-    return F.sum("n_short") if is_cube(df) else F.count_if(F.col(length_col) < short_seconds)
+def max_length(df: DataFrame, length_col: str = LENGTH) -> Column:
+    if is_cube(df):
+        _only_length(length_col)
+        return F.max("len_max")
+    return F.max(length_col)
+
+
+def short_count(df: DataFrame, short_seconds: float = 60, length_col: str = LENGTH) -> Column:
+    """Rides shorter than ``short_seconds``. A cube answers only for the
+    threshold it was built with; another one fails the query."""
+    if not is_cube(df):
+        return F.count_if(F.col(length_col) < short_seconds)
+    _only_length(length_col)
+    wrong = F.raise_error(F.format_string("the ride cube counts rides under %s s, not " + str(float(short_seconds)), F.col("short_seconds")))
+    return F.sum(F.when(F.col("short_seconds") == float(short_seconds), F.col("n_short")).otherwise(wrong.cast("bigint")))
 
 
 # ---------------------------------------------------------------- stations
@@ -99,12 +118,12 @@ def _with_calendar(cube: DataFrame) -> DataFrame:
     )
 
 
-def summary_tables(cleaned: DataFrame, short_seconds: float = 60, length_col: str = "ride_length") -> DataFrame:
+def summary_tables(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame:
     """``ride_cube`` and ``station_table`` from one scan: a grouping-sets
     aggregate over the cube keys, (start station, rider type) and (end station,
     rider type). Split it with ``cube_of`` and ``stations_of``; cache or write
     it first so the rides are read once."""
-    x = F.col(length_col)
+    x = F.col(LENGTH)
     return cleaned.groupingSets(
         [CUBE_KEYS, ["start_station_name", "member_casual"], ["end_station_name", "member_casual"]],
         *CUBE_KEYS,
@@ -113,6 +132,7 @@ def summary_tables(cleaned: DataFrame, short_seconds: float = 60, length_col: st
     ).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(x < short_seconds).alias("n_short"),
+        F.max(F.lit(float(short_seconds))).alias("short_seconds"),
         F.sum(x).alias("len_sum"),
         F.max(x).alias("len_max"),
         F.grouping("rideable_type").alias("__not_cube"),

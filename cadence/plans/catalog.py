@@ -20,6 +20,7 @@ from cadence.operators import quality as Q
 from cadence.operators import ranking as R
 from cadence.operators import report as RP
 from cadence.operators import summaries as S
+from cadence.operators import features as FT
 from cadence.operators.features import FEATURE_COLUMNS
 from cadence.plans.prepare import PreparedRides, prepared, spread_if_few_partitions
 from cadence.schema import RIDE_COLUMNS
@@ -176,7 +177,7 @@ def q_drop_column(spark, sf_dir):
     return _p(spark, sf_dir).filled_end()
 
 
-on_cleaned("with_column", lambda c: c.select(*_ALL))
+on_cleaned("with_column", lambda c: FT.with_column(c.drop("ride_length_min"), "ride_length_min", "ride_length / 60D").select(*_ALL))
 
 
 @query("cleaned_rides_recorded_session")
@@ -225,7 +226,8 @@ on_cleaned(
 
 
 def _on_complete(name: str, cols: list[str]) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: _p(spark, sf_dir).complete.select(*cols)
+    add = getattr(FT, name)
+    _QUERIES[name] = lambda spark, sf_dir: add(_p(spark, sf_dir).complete.select(*RIDE_COLUMNS)).select(*cols)
 
 
 _BASE = ["ride_id", "started_at", "ended_at"]

@@ -44,11 +44,11 @@ matching_station_ids AS (
 end_lookup AS (SELECT DISTINCT end_station_id, end_station_name FROM matching_station_ids),
 start_lookup AS (SELECT DISTINCT start_station_id, start_station_name FROM matching_station_ids),
 end_lookup_clean AS (
-  SELECT end_station_id, arg_min_null(end_station_name, (started_at, ride_id)) AS end_station_name
+  SELECT end_station_id, arg_min_null(end_station_name, (started_at IS NULL, started_at, ride_id)) AS end_station_name
   FROM matched GROUP BY end_station_id
 ),
 start_lookup_clean AS (
-  SELECT start_station_id, arg_min_null(start_station_name, (started_at, ride_id)) AS start_station_name
+  SELECT start_station_id, arg_min_null(start_station_name, (started_at IS NULL, started_at, ride_id)) AS start_station_name
   FROM matched GROUP BY start_station_id
 ),
 filled_end AS (

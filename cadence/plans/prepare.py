@@ -210,9 +210,21 @@ def clean_rides(rides: DataFrame, min_seconds: float = 10, fill_start: bool = Tr
 _CACHE: dict[tuple, PreparedRides] = {}
 
 
+def input_version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, file count and modification time of ``path``: three metadata
+    calls whatever the number of files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    content = fs.getContentSummary(p)
+    return content.getLength(), content.getFileCount(), fs.getFileStatus(p).getModificationTime()
+
+
 def prepared(spark: SparkSession, sf_dir: str, *, min_seconds: float = 10, fill_start: bool = True) -> PreparedRides:
-    """Prepared rides for a data directory, built once per Spark application."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), float(min_seconds), fill_start)
+    """Prepared rides for a data directory, built once per Spark
+    application and version of the input."""
+    base = sf_dir.rstrip("/")
+    source = (base, input_version(spark, f"{base}/events.parquet"))
+    key = (spark.sparkContext.applicationId, source, float(min_seconds), fill_start)
     if key not in _CACHE:
         sibling = _CACHE.get(key[:3] + (not fill_start,))
         same_fill = next((v for k, v in _CACHE.items() if k[:2] == key[:2] and k[3] == fill_start), None)

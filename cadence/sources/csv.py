@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.schema import RIDES, STRING_COLUMNS, TIMESTAMP_COLUMNS
+from cadence.schema import REQUIRED_COLUMNS, RIDE_COLUMNS, RIDES, STRING_COLUMNS, TIMESTAMP_COLUMNS
 
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+# Columns every ride file must have; the others are null where a file lacks them.
+MANDATORY_COLUMNS = ["ride_id", "started_at", "ended_at", "member_casual", *REQUIRED_COLUMNS]
 
 
 def ride_read_schema() -> T.StructType:
@@ -36,38 +40,64 @@ CSV_READ_OPTIONS = {
 def normalize_rides(raw: DataFrame) -> DataFrame:
     """Rides as parsed by the CSV reader -> the fixed ride schema: empty and
     ``NA`` strings become null, instants become UTC wall-clock NTZ."""
-    session_tz = raw.sparkSession.conf.get("spark.sql.session.timeZone")
     cols = []
     for f in RIDES:
         c = F.col(f.name)
         if f.name in STRING_COLUMNS:
             c = F.when((c == "") | (c == "NA"), F.lit(None).cast("string")).otherwise(c)
         elif f.name in TIMESTAMP_COLUMNS:
-            c = c.cast("timestamp_ntz")
-            if session_tz not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-                c = F.convert_timezone(F.lit(session_tz), F.lit("UTC"), c)
+            # epoch + elapsed microseconds: never passes through the session's
+            # local time, where an hour repeats or is missing at clock changes
+            c = F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, CAST(unix_micros({f.name}) * 0.000001BD AS DECIMAL(18, 6)))")
         cols.append(c.alias(f.name))
     return raw.select(*cols)
 
 
+def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names in the header line of ``path`` (of one of its files when it
+    is a folder); reads a single line. Empty for empty files."""
+    return tuple(spark.read.options(**CSV_READ_OPTIONS).csv(path).columns)
+
+
+def _read_with_header(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+    missing = [c for c in MANDATORY_COLUMNS if c not in header]
+    if missing:
+        raise ValueError(f"ride files without column(s) {missing}: {paths[:3]}")
+    types = {f.name: f.dataType for f in ride_read_schema()}
+    schema = T.StructType([T.StructField(c, types.get(c, T.StringType()), True) for c in header])
+    # enforceSchema off: a file whose header differs from its path's header fails
+    raw = spark.read.schema(schema).options(**CSV_READ_OPTIONS, enforceSchema="false").csv(paths)
+    absent = {c: F.lit(None).cast(types[c]) for c in RIDE_COLUMNS if c not in header}
+    return normalize_rides(raw.withColumns(absent) if absent else raw)
+
+
 def read_rides_csv(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """Read one or many ride CSV files (header row) with the fixed schema.
+    """Read one or many ride CSV files (header row) by column name.
 
     Empty cells, quoted empty cells and ``NA`` are null; cells are trimmed;
-    timestamps without a zone are read as UTC. One multi-path read: Spark
-    splits the files into tasks, no per-file driver loop.
+    timestamps without a zone are read as UTC. Columns may come in any order
+    and extra ones are ignored; a missing mandatory column raises
+    ``ValueError``, a missing other one is null. Paths are grouped by their
+    header line (one line is read per given path) and each group is one
+    multi-path read; the files of one folder must share a header, a file that
+    differs fails the read.
     """
     path_list = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.schema(ride_read_schema()).options(**CSV_READ_OPTIONS).csv(path_list)
-    return normalize_rides(raw)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in path_list:
+        groups.setdefault(csv_header(spark, p), []).append(p)
+    groups.pop((), None)
+    if not groups:
+        return spark.createDataFrame([], RIDES)
+    return reduce(DataFrame.unionByName, [_read_with_header(spark, h, ps) for h, ps in groups.items()])
 
 
 def combine_ride_files(parts: Iterable[DataFrame] | Iterable[str], spark: SparkSession | None = None) -> DataFrame:
     """Stack monthly ride data into one frame.
 
-    Given file or folder paths, this is one multi-path CSV read (Spark packs
-    the files into scan tasks; no per-file job). Given DataFrames, they are
-    stacked by column name; columns missing in a frame are null.
+    Given file or folder paths, this is one multi-path CSV read per distinct
+    header (see ``read_rides_csv``). Given DataFrames, they are stacked by
+    column name; columns missing in a frame are null.
     """
     items = list(parts)
     if items and isinstance(items[0], str):

@@ -4,8 +4,10 @@ The reference stacks one CSV per month into a single table. Here that step
 is a Structured Streaming query: a file source over the landing folder (each
 new monthly file is picked up once), the same normalisation as the batch
 reader, and an append-only Parquet table. Progress is tracked in a
-checkpoint under the shared ``spark.checkpoint.dir``, so a restarted or
-failed job resumes without re-reading or duplicating files.
+checkpoint that belongs to the table (a sibling folder unless given), so a
+restarted or failed job resumes without re-reading, duplicating or losing
+files. The stream's files must have the ride columns in schema order: a file
+with another header fails the query.
 """
 
 from __future__ import annotations
@@ -17,8 +19,20 @@ from cadence.sources.csv import CSV_READ_OPTIONS, normalize_rides, ride_read_sch
 from cadence.sources.store import table_path
 
 
+def ingest_checkpoint(table: str) -> str:
+    """Default checkpoint of an ingest table: ``_ingest_checkpoint/<table>``
+    beside it, the same on every run."""
+    base, _, name = table.rstrip("/").rpartition("/")
+    return f"{base}/_ingest_checkpoint/{name}" if base else f"_ingest_checkpoint/{name}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def ride_file_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(ride_read_schema()).options(**CSV_READ_OPTIONS)
+    reader = spark.readStream.schema(ride_read_schema()).options(**CSV_READ_OPTIONS, enforceSchema="false")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return normalize_rides(reader.csv(landing))
@@ -33,8 +47,16 @@ def start_ride_ingest(
     processing_time: str = "1 minute",
 ) -> StreamingQuery:
     """Start the ingest query. ``available_now`` processes every file present
-    and stops (a scheduled batch job); otherwise it keeps polling."""
-    ckpt = checkpoint or table_path(spark, "ride_ingest_checkpoint")
+    and stops (a scheduled batch job); otherwise it keeps polling.
+
+    A table that was already written by a stream can only be continued with
+    that stream's checkpoint: with an unused one Spark would number its batches
+    from 0 again and the table would ignore them as already committed, so this
+    raises ``ValueError``.
+    """
+    ckpt = checkpoint or ingest_checkpoint(table)
+    if _exists(spark, f"{table}/_spark_metadata") and not _exists(spark, f"{ckpt}/offsets"):
+        raise ValueError(f"{table} was written under another checkpoint than {ckpt}; its new batches would be ignored")
     writer = (
         ride_file_stream(spark, landing)
         .writeStream.format("parquet")

@@ -77,7 +77,7 @@ I_RID, I_START, I_SNAME, I_SID, I_ENAME, I_EID = 0, 2, 4, 5, 6, 7
 def brute_lookups(rows):
     starts = {r[I_SID] for r in rows}
     matched = [r for r in rows if r[I_EID] in starts]  # None in set matches None
-    order = sorted(matched, key=lambda r: (r[I_START], r[I_RID]))
+    order = sorted(matched, key=lambda r: (r[I_START] is None, r[I_START] or T0, r[I_RID]))
     end_lk, start_lk = {}, {}
     for r in order:
         end_lk.setdefault(r[I_EID], r[I_ENAME])
@@ -96,6 +96,8 @@ def brute_clean(rows, fill_start=True, min_seconds=10):
             r[I_SNAME] = start_lk.get(r[I_SID])
         if any(r[i] is None for i in (6, 7, 10, 11, 5, 8, 9)):
             continue
+        if r[2] is None or r[3] is None:
+            continue
         length = (r[3] - r[2]).total_seconds()
         if length > 0 and length > min_seconds:
             out.append(tuple(r))
