@@ -125,10 +125,11 @@ def links(distinct_fps: DataFrame, radius: int = 3, bound: int = 256) -> DataFra
     while True:
         # at most 15, 225, 3375 ... rows by the radius and the level, whatever the input
         table = [(_signed(m), _signed(m | s)) for m in masks for s in set(covering_masks(everything & ~m, radius))]
-        steps = spark.createDataFrame(table, "mask long, next long")
-        rows = level.join(F.broadcast(steps), "mask").select("fp", F.col("next").alias("mask")).distinct() if masks != {0} else (
-            level.crossJoin(F.broadcast(steps.select("next"))).select("fp", F.col("next").alias("mask"))
-        )
+        if masks == {0}:
+            rows = level.select("fp", F.explode(F.array(*[F.lit(to) for _, to in table])).alias("mask"))
+        else:
+            steps = spark.createDataFrame(table, "mask long, next long")
+            rows = level.join(F.broadcast(steps), "mask").select("fp", F.col("next").alias("mask")).distinct()
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
         shared = hold(rows.join(sizes, ["mask", "key"]), "simhash-buckets")
