@@ -33,8 +33,8 @@ def run(spark: SparkSession, out: str, csv: list[str] | None = None, events: str
     rides = read_rides_csv(spark, csv) if csv else load_rides(spark, events)
     prep = prepare_rides(rides, min_seconds=min_seconds)
     for name, fn in EXPORTS.items():
-        write_summary_csv(S.calendar_order(fn(prep.cleaned), "member_casual"), f"{out.rstrip('/')}/{name}")
-    return analysis_summary(prep.cleaned).collect()
+        write_summary_csv(S.calendar_order(fn(prep.cube), "member_casual"), f"{out.rstrip('/')}/{name}")
+    return analysis_summary(prep.cube).collect()
 
 
 def main(argv: list[str] | None = None) -> None:

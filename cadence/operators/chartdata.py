@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadence.functions.text import percent_label
 from cadence.operators.cube import count_of
 from cadence.operators.joins import broadcast_if_small
+from cadence.operators.lengths import exact_quantiles, lengths_of
 from cadence.sources.store import materialize
 
 
@@ -23,12 +24,14 @@ def histogram_bin(x: Column, binwidth: float = 5.0, center: float = 0.0) -> Colu
     return F.ceil((x - lower) / w) * w + F.lit(float(center))
 
 
-def ride_length_histogram(rides: DataFrame, binwidth: float = 5.0, center: float = 0.0, value_col: str = "ride_length_min") -> DataFrame:
-    """Counts per length bin (minutes) and rider type."""
-    out = rides.groupBy(histogram_bin(F.col(value_col), binwidth, center).cast("double").alias("bin_center"), "member_casual").agg(
-        F.count(F.lit(1)).alias("count")
+def ride_length_histogram(rides: DataFrame, binwidth: float = 5.0, center: float = 0.0, unit_seconds: float = 60.0) -> DataFrame:
+    """Counts per length bin (minutes) and rider type, from the rides or
+    their ``length_table``. Rides without a length fall in the null bin."""
+    table = rides.columns == ["member_casual", "ride_length", "n"]
+    x = F.col("ride_length") / F.lit(float(unit_seconds))
+    return rides.groupBy(histogram_bin(x, binwidth, center).cast("double").alias("bin_center"), "member_casual").agg(
+        (F.sum("n") if table else F.count(F.lit(1))).alias("count")
     )
-    return out
 
 
 def rides_by_day_counts(rides: DataFrame) -> DataFrame:
@@ -36,15 +39,19 @@ def rides_by_day_counts(rides: DataFrame) -> DataFrame:
     return rides.groupBy("day_of_week", "member_casual").agg(count_of(rides).alias("count"))
 
 
-def _quartiles(rides: DataFrame, group: str, seconds_col: str, exact: bool = True) -> DataFrame:
-    """Quartiles per group (linear interpolation; ``exact=False`` uses the
-    fixed-size ``percentile_approx`` sketch), written to the shared folder and
-    broadcast after a row-count check (one row per group)."""
-    probs = [0.25, 0.5, 0.75]
-    qs = F.percentile(seconds_col, probs) if exact else F.percentile_approx(seconds_col, probs, 10000).cast("array<double>")
-    q = rides.groupBy(group).agg(qs.alias("__q"))
-    q = q.select(group, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__med"), F.col("__q")[2].alias("__q3"))
-    return broadcast_if_small(materialize(q, "boxplot_quartiles"))
+def quartiles(rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length") -> DataFrame:
+    """Exact quartiles per group (linear interpolation) from the rides or
+    their ``length_table``: one row per group."""
+    q = exact_quantiles(lengths_of(rides, group, seconds_col), [0.25, 0.5, 0.75], group, seconds_col)
+    return q.select(group, F.col("q0").alias("__q1"), F.col("q1").alias("__med"), F.col("q2").alias("__q3"))
+
+
+def _with_quartiles(df: DataFrame, stats: DataFrame | None, group: str, seconds_col: str) -> DataFrame:
+    # ``stats`` as kept by the caller, or computed and written now
+    if stats is None:
+        stats = materialize(quartiles(df, group, seconds_col), "boxplot_quartiles")
+    q = broadcast_if_small(stats).withColumnRenamed(group, "__g")
+    return df.join(q, F.col(group).eqNullSafe(F.col("__g")), "inner").drop("__g")
 
 
 def _fences() -> tuple[Column, Column]:
@@ -53,25 +60,23 @@ def _fences() -> tuple[Column, Column]:
 
 
 def ride_length_boxplot(
-    rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length", unit_seconds: float = 60.0, exact: bool = True
+    rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length", unit_seconds: float = 60.0, stats: DataFrame | None = None
 ) -> DataFrame:
     """Box-plot figures per group: quartiles (linear interpolation), whiskers
     at the most extreme values within 1.5 x IQR of the box, and the number of
     values beyond them. Reported in minutes by default.
 
-    Two passes: quartiles per group (a tiny table, written to the shared
-    folder and broadcast after a row-count check), then one pass over the rides
-    for whiskers and outlier counts. Quartiles are taken on whole seconds and
-    scaled afterwards, so no rounding differs between passes.
+    Works on the ``length_table`` (built here if rides are given); ``stats``
+    are its ``quartiles`` if the caller keeps them. Quartiles are taken on
+    seconds and scaled afterwards, so no rounding differs between passes.
     """
-    stats = _quartiles(rides, group, seconds_col, exact)
     lo_fence, hi_fence = _fences()
     x = F.col(seconds_col)
-    joined = rides.select(group, seconds_col).filter(x.isNotNull()).join(stats, group, "inner")
+    joined = _with_quartiles(lengths_of(rides, group, seconds_col), stats, group, seconds_col)
     agg = joined.groupBy(group, "__q1", "__med", "__q3").agg(
         F.min(F.when(x >= lo_fence, x)).alias("__lo"),
         F.max(F.when(x <= hi_fence, x)).alias("__hi"),
-        F.count_if((x < lo_fence) | (x > hi_fence)).alias("outliers"),
+        F.sum(F.when((x < lo_fence) | (x > hi_fence), F.col("n")).otherwise(0)).alias("outliers"),
     )
     u = F.lit(float(unit_seconds))
     return agg.select(
@@ -85,13 +90,14 @@ def ride_length_boxplot(
     )
 
 
-def ride_length_outliers(rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length") -> DataFrame:
+def ride_length_outliers(
+    rides: DataFrame, group: str = "member_casual", seconds_col: str = "ride_length", stats: DataFrame | None = None
+) -> DataFrame:
     """The box plot's outlier points: rides beyond 1.5 x IQR of their group's
     box (a filter view over the rides, behind a broadcast of the quartiles)."""
-    stats = _quartiles(rides, group, seconds_col)
     lo_fence, hi_fence = _fences()
     x = F.col(seconds_col)
-    joined = rides.join(stats, group, "inner")
+    joined = _with_quartiles(rides, stats, group, seconds_col)
     return joined.filter((x < lo_fence) | (x > hi_fence)).select(*rides.columns)
 
 

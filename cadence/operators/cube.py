@@ -9,7 +9,8 @@ ride count, the short-ride count (and its threshold), the length sum and the
 length maximum.
 The summary functions accept this cube in place of the rides and re-aggregate
 it (``sum`` of counts, ``sum``/``sum`` for means, ``max`` of maxima). Lengths
-are whole seconds, so sums are exact and means equal the direct ones.
+are summed as decimal seconds with six digits, which is what a length holds:
+sums are exact in any order, so means equal the direct ones to the last bit.
 """
 
 from __future__ import annotations
@@ -24,13 +25,19 @@ CUBE_MEASURES = ["n", "n_short", "short_seconds", "len_sum", "len_max"]
 LENGTH = "ride_length"
 
 
+def exact_seconds(length_col: str = LENGTH) -> Column:
+    """A length as whole microseconds in decimal seconds; sums of it do not
+    depend on their order."""
+    return F.col(length_col).cast("decimal(20, 6)")
+
+
 def ride_cube(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame:
     x = F.col(LENGTH)
     cube = cleaned.groupBy(*CUBE_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(x < short_seconds).alias("n_short"),
         F.max(F.lit(float(short_seconds))).alias("short_seconds"),
-        F.sum(x).alias("len_sum"),
+        F.sum(exact_seconds()).alias("len_sum"),
         F.max(x).alias("len_max"),
     )
     # calendar labels of the cell, derived from its keys (same expressions as
@@ -55,8 +62,8 @@ def _only_length(length_col: str) -> None:
 def mean_length(df: DataFrame, length_col: str = LENGTH) -> Column:
     if is_cube(df):
         _only_length(length_col)
-        return F.sum("len_sum") / F.sum("n")
-    return F.avg(length_col)
+        return F.sum("len_sum").cast("double") / F.sum("n")
+    return F.sum(exact_seconds(length_col)).cast("double") / F.count(length_col)
 
 
 def max_length(df: DataFrame, length_col: str = LENGTH) -> Column:
@@ -133,7 +140,7 @@ def summary_tables(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_if(x < short_seconds).alias("n_short"),
         F.max(F.lit(float(short_seconds))).alias("short_seconds"),
-        F.sum(x).alias("len_sum"),
+        F.sum(exact_seconds()).alias("len_sum"),
         F.max(x).alias("len_max"),
         F.grouping("rideable_type").alias("__not_cube"),
         F.grouping("start_station_name").alias("__not_start"),

@@ -109,13 +109,13 @@ def _length_stats(cleaned: DataFrame) -> DataFrame:
         )
         return days.agg(
             F.sum("n").alias("n"),
-            (F.sum("s") / F.sum("n")).alias("mean"),
+            (F.sum("s").cast("double") / F.sum("n")).alias("mean"),
             F.max("mx").alias("max"),
             day_label(F.max_by("day_of_week_num", F.struct(F.col("n"), -F.col("day_of_week_num")))).alias("mode"),
         )
     return cleaned.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("ride_length").alias("mean"),
+        mean_length(cleaned).alias("mean"),
         F.max("ride_length").alias("max"),
         day_label(F.mode("day_of_week_num", True)).alias("mode"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators import quality as Q
-from cadence.operators.cube import count_of, is_cube, max_length, short_count
+from cadence.operators.cube import count_of, max_length, mean_length, short_count
 
 
 def preview(df: DataFrame, n: int = 6, order_by: tuple[str, ...] = ("started_at", "ride_id")) -> DataFrame:
@@ -37,7 +37,7 @@ def analysis_summary(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame
     levels = cleaned.rollup("member_casual", "rideable_type").agg(
         count_of(cleaned).alias("n"),
         short_count(cleaned, short_seconds).alias("n_short"),
-        (F.sum("len_sum") if is_cube(cleaned) else F.sum("ride_length")).alias("len_sum"),
+        mean_length(cleaned).alias("len_mean"),
         max_length(cleaned).alias("len_max"),
         F.grouping_id().alias("level"),  # 0 pair, 1 rider type, 3 all rides
     )
@@ -46,7 +46,7 @@ def analysis_summary(cleaned: DataFrame, short_seconds: float = 60) -> DataFrame
     n, level, total = F.col("n"), F.col("level"), F.col("__total")
     blank = F.lit("")
     entries = F.array(
-        _entry("Mean ride length", blank, _fixed(F.col("len_sum") / n), level == 3),
+        _entry("Mean ride length", blank, _fixed(F.col("len_mean")), level == 3),
         _entry("Max ride length", blank, _fixed(F.col("len_max")), level == 3),
         _entry(
             "Proportional Share of Rides by Member Type",

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators.clean import casual_rides, short_rides
 from cadence.operators.cube import count_of, is_cube, mean_length, short_count
+from cadence.operators.lengths import exact_quantiles, lengths_of, mean_of_lengths
 from cadence.schema import DAY_NAMES, MONTH_ABBREVIATIONS
 
 # ---------------------------------------------------------------- helpers
@@ -155,22 +156,22 @@ def avg_ride_duration(rides: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ length stats
 
 
-def ride_length_stats(rides: DataFrame, unit_seconds: float = 1.0, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Mean, median and max length per rider type.
+def ride_length_stats(rides: DataFrame, unit_seconds: float = 1.0) -> DataFrame:
+    """Mean, median and max length per rider type, from the rides or their
+    ``length_table``; all three are exact (see ``lengths``).
 
-    Lengths are whole seconds, so the exact ``median`` (a value->count map per
-    group, merged map-side) stays bounded by the number of distinct lengths.
-    ``exact=False`` uses ``percentile_approx`` (fixed-size sketch, relative
-    rank error 1/accuracy) for inputs with unbounded distinct values.
     ``unit_seconds=60`` reports minutes; statistics are taken on seconds and
     scaled, which is the same number without extra rounding.
     """
     s = F.lit(float(unit_seconds))
-    med = F.median("ride_length") if exact else F.percentile_approx("ride_length", 0.5, accuracy)
-    return rides.groupBy("member_casual").agg(
-        (F.avg("ride_length") / s).alias("average_ride_length"),
-        (med / s).alias("median_ride_length"),
-        (F.max("ride_length") / s).alias("max_ride_length"),
+    lengths = lengths_of(rides)
+    stats = lengths.groupBy("member_casual").agg(mean_of_lengths().alias("__mean"), F.max("ride_length").alias("__max"))
+    medians = exact_quantiles(lengths, [0.5]).select(F.col("member_casual").alias("__g"), F.col("q0").alias("__median"))
+    return stats.join(medians, F.col("member_casual").eqNullSafe(F.col("__g"))).select(
+        "member_casual",
+        (F.col("__mean") / s).alias("average_ride_length"),
+        (F.col("__median") / s).alias("median_ride_length"),
+        (F.col("__max") / s).alias("max_ride_length"),
     )
 
 
@@ -239,4 +240,8 @@ def station_utilization(rides: DataFrame, exact: bool = True, rsd: float = 0.01)
         _count(rides, "station_rides"),
         (distinct + F.max(F.col("ride_id").isNull().cast("int"))).alias("unique_bikes"),
     )
-    return out.orderBy(F.col("station_rides").desc(), F.col("start_station_name").asc_nulls_last())
+    return busiest_first(out)
+
+
+def busiest_first(utilization: DataFrame) -> DataFrame:
+    return utilization.orderBy(F.col("station_rides").desc(), F.col("start_station_name").asc_nulls_last())

@@ -62,6 +62,11 @@ def on_stations(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).stations)
 
 
+def on_lengths(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """Length statistics, computed from the prepared table of distinct lengths."""
+    _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).lengths)
+
+
 def on_routes(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).routes)
 
@@ -123,12 +128,12 @@ _EXPORT_SCHEMAS = {
 
 @query("write_summary_csv")
 def q_write_summary_csv(spark, sf_dir):
-    cleaned = _p(spark, sf_dir).cleaned
+    cube = _p(spark, sf_dir).cube
     base = table_path(spark, "exports")
     parts = {
-        "average_ride_length_by_member": S.average_ride_length_by_member(cleaned),
-        "average_ride_length_by_day": S.average_ride_length_by_day(cleaned),
-        "rides_by_day": S.rides_by_day(cleaned),
+        "average_ride_length_by_member": S.average_ride_length_by_member(cube),
+        "average_ride_length_by_day": S.average_ride_length_by_day(cube),
+        "rides_by_day": S.rides_by_day(cube),
     }
     frames = []
     for name, df in parts.items():
@@ -331,16 +336,22 @@ for _name in [
     on_cube(_name, getattr(S, _name))
 
 for _name in [
-    "ride_length_stats",
-    "ride_length_stats_minutes",
     "ride_count_by_location",
     "frequent_casual_riders",
     "average_trip_distance",
     "ride_repetition",
-    "station_utilization",
 ]:
     on_cleaned(_name, getattr(S, _name))
 
+for _name in ["ride_length_stats", "ride_length_stats_minutes"]:
+    on_lengths(_name, getattr(S, _name))
+
+
+@query("station_utilization")
+def q_station_utilization(spark, sf_dir):
+    return S.busiest_first(_p(spark, sf_dir).utilization)
+
+
 # ----------------------------------------------------------------- ranking
 
 for _name in [
@@ -357,7 +368,12 @@ for _name in [
 ]:
     on_stations(_name, getattr(R, _name))
 
-on_cleaned("top_utilized_stations", lambda c: R.top_utilized_stations(S.station_utilization(c)))
+@query("top_utilized_stations")
+def q_top_utilized_stations(spark, sf_dir):
+    return R.top_utilized_stations(_p(spark, sf_dir).utilization)
+
+
+
 on_stations(
     "sort_by",
     lambda c: R.sort_by(R.popular_start_stations_by_member(c), "member_casual", "-ride_count", "start_station_name"),
@@ -372,10 +388,23 @@ on_stations("display_order", lambda c: R.display_order(R.top_start_stations_by_m
 
 # ---------------------------------------------------------- chart statistics
 
-on_cleaned("ride_length_histogram", CH.ride_length_histogram)
+on_lengths("ride_length_histogram", CH.ride_length_histogram)
 on_cube("rides_by_day_counts", CH.rides_by_day_counts)
-on_cleaned("ride_length_boxplot", CH.ride_length_boxplot)
-on_cleaned("ride_length_outliers", lambda c: CH.ride_length_outliers(c).select("ride_id", "member_casual", "ride_length", "ride_length_min"))
+
+
+@query("ride_length_boxplot")
+def q_ride_length_boxplot(spark, sf_dir):
+    prep = _p(spark, sf_dir)
+    return CH.ride_length_boxplot(prep.lengths, stats=prep.quartiles)
+
+
+@query("ride_length_outliers")
+def q_ride_length_outliers(spark, sf_dir):
+    prep = _p(spark, sf_dir)
+    out = CH.ride_length_outliers(prep.cleaned, stats=prep.quartiles)
+    return out.select("ride_id", "member_casual", "ride_length", "ride_length_min")
+
+
 on_cube("stack_positions", lambda c: CH.stack_positions(S.rides_by_month(c), ["month"], "member_casual", "number_of_rides"))
 on_cube("percent_label", lambda c: CH.ride_share_positions(S.ride_share_by_member_type(c)))
 on_cleaned("distance_vs_length", CH.distance_vs_length)

@@ -23,13 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators import clean as K
+from cadence.operators.chartdata import quartiles
 from cadence.operators.cube import cube_of, ride_cube, station_table, stations_of, summary_tables
 from cadence.operators.features import add_features
 from cadence.operators.joins import broadcast_if_small, max_broadcast_rows
+from cadence.operators.lengths import length_table
+from cadence.operators.summaries import station_utilization
 from cadence.sources.events import load_rides
 from cadence.sources.store import materialize
 
 
+# tables derived from the cleaned rides, dropped when those change
+_DERIVED = ("cube", "stations", "length_table", "length_quartiles", "station_utilization")
+
+
 @dataclass
 class PreparedRides:
     raw: DataFrame
@@ -70,22 +77,23 @@ class PreparedRides:
 
     def variant(self, fill_start: bool) -> "PreparedRides":
         """The same input, route table and lookups with the start fill switched
-        on or off; only the complete-ride table is rebuilt (and written when
-        this state is materialised)."""
+        on or off."""
         other = PreparedRides(
             self.raw, self.routes, self.end_lookup, self.start_lookup, self.raw, self.min_seconds, fill_start,
-            self.end_join, self.start_join if fill_start else None, {k: v for k, v in self.extras.items() if k not in ("cube", "stations")},
+            self.end_join, self.start_join if fill_start else None, {k: v for k, v in self.extras.items() if k not in _DERIVED},
         )
         if fill_start and other.start_join is None:
             other.start_join = broadcast_if_small(self.start_lookup) if self.extras.get("materialized") else self.start_lookup
         complete = add_features(K.drop_incomplete_rides(other.filled()))
-        other.complete = materialize(complete, "complete_rides") if self.extras.get("materialized") else complete
+        # the rides differ in one name only: kept as a view behind the (broadcast)
+        # lookups, not written a second time
+        other.complete = complete
         return other
 
     def with_min_seconds(self, min_seconds: float) -> "PreparedRides":
         """Same tables with another lower length bound: the complete-ride table
         does not depend on it, only the cleaned view and its summary tables."""
-        extras = {k: v for k, v in self.extras.items() if k not in ("cube", "stations")}
+        extras = {k: v for k, v in self.extras.items() if k not in _DERIVED}
         return PreparedRides(
             self.raw, self.routes, self.end_lookup, self.start_lookup, self.complete, min_seconds, self.fill_start,
             self.end_join, self.start_join, extras,
@@ -123,6 +131,27 @@ class PreparedRides:
             self._summary_tables()
         return self.extras["stations"]
 
+    def _kept(self, name: str, build) -> DataFrame:
+        if self.extras.get(name) is None:
+            df = build()
+            self.extras[name] = materialize(df, name) if self.extras.get("materialized") else df
+        return self.extras[name]
+
+    @property
+    def lengths(self) -> DataFrame:
+        """``length_table`` of the cleaned rides."""
+        return self._kept("length_table", lambda: length_table(self.cleaned))
+
+    @property
+    def quartiles(self) -> DataFrame:
+        """Length quartiles per rider type."""
+        return self._kept("length_quartiles", lambda: quartiles(self.lengths))
+
+    @property
+    def utilization(self) -> DataFrame:
+        """``station_utilization`` of the cleaned rides, one row per station."""
+        return self._kept("station_utilization", lambda: station_utilization(self.cleaned))
+
     @property
     def cleaned(self) -> DataFrame:
         """Complete rides longer than 0 s and than ``min_seconds``."""

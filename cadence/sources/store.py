@@ -28,7 +28,7 @@ def storage_dir(spark: SparkSession) -> str:
     if base:
         return base.rstrip("/")
     master = conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
