@@ -107,6 +107,15 @@ def bad_line(line: Column) -> Column:
     return punctuation | navigation | (boiler & (words <= 40))
 
 
+def chars(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+
+
+def base_failed() -> Column:
+    """The base rule on the counts of ``with_base``."""
+    return (F.col("qr_n_words") < 20) | (F.col("qr_n_repeat_words") * 100 > F.col("qr_n_words") * 30)
+
+
 def judge(docs: DataFrame, text: Column, max_lost_percent: int = 40) -> DataFrame:
     """``with_base`` plus the verdict: ``qr_base_failed``, ``qr_lost_chars`` and
     ``qr_kept``. A document goes if the base rule fails, if nearly all its lines
@@ -114,20 +123,30 @@ def judge(docs: DataFrame, text: Column, max_lost_percent: int = 40) -> DataFram
     characters."""
     d = with_base(docs, text)
     d = d.withColumn("qr_lost_lines", F.filter("qr_lines", bad_line))
-    d = d.withColumn("qr_lost_chars", F.aggregate(F.transform("qr_lost_lines", F.length), F.lit(0).cast("long"), lambda a, x: a + x))
-    d = d.withColumn("qr_all_chars", F.aggregate(F.transform("qr_lines", F.length), F.lit(0).cast("long"), lambda a, x: a + x))
-    failed = (F.col("qr_n_words") < 20) | (F.col("qr_n_repeat_words") * 100 > F.col("qr_n_words") * 30)
+    d = d.withColumn("qr_lost_chars", chars(F.col("qr_lost_lines"))).withColumn("qr_all_chars", chars(F.col("qr_lines")))
+    failed = base_failed()
     loses = F.col("qr_lost_chars") * 100 > F.col("qr_all_chars") * max_lost_percent
     return d.withColumn("qr_base_failed", failed).withColumn("qr_kept", ~failed & ~loses)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", clean: bool = True, max_lost_percent: int = 40) -> DataFrame:
     """The documents that pass, with the columns of ``docs``; ``clean`` removes
-    the failing lines from their texts."""
+    the failing lines from their texts.
+
+    The same verdict as ``judge``. Verdict and cleaned text come out of one
+    generator, so that each line is judged once and only after the base rule.
+    """
     names = [f"c{i}_" for i in range(len(docs.columns))]
-    at = docs.columns.index(text_col)
-    judged = judge(docs.toDF(*names), F.col(names[at]), max_lost_percent).filter("qr_kept")
-    if clean:
-        stay = F.array_join(F.filter(F.split(F.col(names[at]), "\n"), lambda x: ~x.rlike(INK) | ~bad_line(x)), "\n")
-        judged = judged.withColumn(names[at], F.when(F.size("qr_lost_lines") > 0, stay).otherwise(F.col(names[at])))
-    return judged.select(*names).toDF(*docs.columns)
+    at = names[docs.columns.index(text_col)]
+    d = with_base(docs.toDF(*names), F.col(at)).withColumn("qr_all_chars", chars(F.col("qr_lines")))
+
+    def verdict(lines: Column) -> Column:
+        def passed(stay: Column) -> Column:
+            lost = chars(lines) - chars(stay)
+            return F.when(lost * 100 <= F.col("qr_all_chars") * max_lost_percent, F.array_join(stay, "\n") if clean else F.col(at))
+
+        return let(F.filter(lines, lambda x: ~x.rlike(INK) | ~bad_line(x)), passed)
+
+    text = F.when(~base_failed(), let(F.split(F.col(at), "\n"), verdict))
+    kept = d.select(*names, F.explode_outer(F.array(text)).alias("qr_text")).filter(F.col("qr_text").isNotNull())
+    return kept.select(*[F.col("qr_text").alias(n) if n == at else F.col(n) for n in names]).toDF(*docs.columns)
