@@ -1,41 +1,46 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine over all terms.
 
 1. *Lexicon*: over the distinct labelled training texts, terms whose document
    frequency among toxic texts is ``LIFT`` times that among clean ones, with a
-   chi-square of ``CHI2`` at least; the ``MAX_TERMS`` strongest are kept.
-2. Every document becomes its lexicon terms and counts; document frequencies of
-   the lexicon are taken over all documents.
-3. The index holds at most ``MAX_EXAMPLES`` training examples per class, chosen
-   by the hash of their id, in blocks with the largest weight of each term per
-   block. A query visits blocks by falling upper bound until none can reach the
-   ``k``-th best cosine: the exact neighbours, ties by example id.
-4. Votes are weighted by closeness and by the sampling rate of the class; a
+   chi-square of ``CHI2`` at least; the ``MAX_TERMS`` strongest are kept. The
+   lexicon cuts nothing away: its terms weigh ``BOOST`` times their TF-IDF.
+2. *Examples*: at most ``MAX_EXAMPLES`` training texts per class, chosen by the
+   hash of their id, each with all its terms; these terms are the vocabulary.
+   Their document frequencies are taken over all documents.
+3. A document's norm is over all its terms. Terms outside the vocabulary meet no
+   example; in the norm they count as terms of a single document.
+4. The index keeps the examples in blocks with the largest weight of each term
+   per block. A query visits blocks by falling upper bound until none can reach
+   the ``k``-th best cosine: the exact neighbours, ties by example id.
+5. Votes are weighted by closeness and by the sampling rate of the class; a
    second fold of the training rows turns votes into calibrated probabilities
    by isotonic regression over at most 1,001 vote levels.
 
 Neighbours are returned as evidence. Defined cases: null and empty texts and
-texts without lexicon terms have no neighbours and get the calibrated base
-rate; without usable labels all scores are the base rate; a null id is never a
-training row; repeated rows score alike; the last of repeated labels is the
-largest.
+texts that share no term with an example have no neighbours and get the
+calibrated base rate; without usable labels all scores are the base rate; a null
+id is never a training row; repeated rows score alike; the last of repeated
+labels is the largest; of several texts under one id the one with the smallest
+hash is the example.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cadence.llm.common import hold, pick, ship
 from cadence.llm.textnp import packed
 
-LIFT, CHI2, LEAST = 4.0, 20.0, 3
-MAX_TERMS, MAX_EXAMPLES, NEIGHBOURS, BLOCK = 2_000, 2_000, 15, 64
+LIFT, CHI2, LEAST, BOOST = 4.0, 20.0, 3, 6.0
+MAX_TERMS, MAX_EXAMPLES, NEIGHBOURS, BLOCK, DENSE = 2_000, 2_000, 15, 64, 512
 TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -43,55 +48,93 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + size - 1`` of every span, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class BlockMaxIndex:
-    """Unit TF-IDF vectors in blocks, with the largest weight per term and block."""
+    """Unit TF-IDF vectors in blocks, with the largest weight per term and block.
+
+    Postings lie by term and place; the postings of a term in a block are one
+    entry ``(block, largest weight, first posting, postings)``. The commonest terms
+    have full rows, zeros included, which many queries multiply at once.
+    """
 
     def __init__(self, ids: list[int], vectors: list[dict[int, float]], block: int = BLOCK):
         order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=vectors[i].get), ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.n_blocks = -(-len(order) // block)
-        self.best: dict[int, tuple[list, list]] = {}
-        self.posts: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(self.n_blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for at in range(b * block, min(len(order), (b + 1) * block)):
-                for t, w in vectors[order[at]].items():
-                    p = lists.setdefault(t, ([], []))
-                    p[0].append(at)
-                    p[1].append(w)
-            for t, (_, ws) in lists.items():
-                p = self.best.setdefault(t, ([], []))
-                p[0].append(b)
-                p[1].append(max(ws))
-            self.posts.append({t: (np.array(a), np.array(w)) for t, (a, w) in lists.items()})
-        self.best = {t: (np.array(b), np.array(w)) for t, (b, w) in self.best.items()}
+        sizes = np.array([len(vectors[i]) for i in order], np.int64)
+        term = np.array([t for i in order for t in vectors[i]], np.int64)
+        weight = np.array([w for i in order for w in vectors[i].values()], np.float64)
+        place = np.repeat(np.arange(len(order)), sizes)
+        by = np.lexsort((place, term))
+        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
+        at = self.place // block
+        self.start = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(at) != 0)][: len(term)])
+        self.size = np.diff(np.r_[self.start, len(term)])
+        self.block = at[self.start]
+        self.best = np.maximum.reduceat(self.weight, self.start) if len(term) else self.weight
+        # entries of term t: first[t] .. first[t + 1] - 1
+        self.first = np.searchsorted(term[self.start], np.arange((int(term[-1]) if len(term) else -1) + 2))
+        held = np.bincount(term)
+        common = np.argsort(-held, kind="stable")[:DENSE]
+        common = common[held[common] * 16 >= len(order)]
+        self.row = np.full(len(held), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n_blocks * block))
+        full = self.row[term] >= 0
+        self.rows[self.row[term[full]], self.place[full]] = self.weight[full]
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """``(cosine, place)`` of the ``k`` nearest with a positive cosine, ties by id."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            if t in self.best:
-                b, w = self.best[t]
-                bound[b] += q * w
-        top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # a bound is a sum in another order than the cosine: leave it some slack
-            if bound[b] <= 0 or (len(top) == k and bound[b] < top[-1][0] - 1e-9):
-                break
-            score: dict[int, float] = {}
-            for t in sorted(query):
-                if t in self.posts[b]:
-                    a, w = self.posts[b][t]
-                    for i, x in zip(a.tolist(), (query[t] * w).tolist()):
-                        score[i] = score.get(i, 0.0) + x
-            top = sorted([*top, *((x, i) for i, x in score.items())], key=lambda e: (-round(e[0], 12), self.ids[e[1]]))[:k]
-        return top
-
-
-def unit(tf: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    w = {t: (1 + np.log(c)) * idf[t] for t, c in tf.items()}
-    n = float(np.sqrt(sum(x * x for x in w.values())))
-    return {t: float(x / n) for t, x in w.items()} if n else {}
+        return self.nearest_many([query], k)[0]
+
+    def nearest_many(self, queries: list[dict[int, float]], k: int) -> list[list[tuple[float, int]]]:
+        if not self.n_blocks:
+            return [[] for _ in queries]
+        q_rows, sparse = np.zeros((len(queries), len(self.rows))), []
+        for a, query in enumerate(queries):
+            t = np.fromiter(query.keys(), np.int64, len(query))
+            q = np.fromiter(query.values(), np.float64, len(query))
+            by = np.argsort(t)
+            by = by[t[by] < len(self.row)]
+            t, q = t[by], q[by]
+            row = self.row[t]
+            q_rows[a, row[row >= 0]] = q[row >= 0]
+            sparse.append((t[row < 0], q[row < 0]))
+        return [self._top(score, t, q, k) for score, (t, q) in zip(q_rows @ self.rows, sparse)]
+
+    def _top(self, score: np.ndarray, t: np.ndarray, q: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """Completes the cosines over the common terms by the terms ``t``, in the
+        blocks that can still hold one of the ``k`` best."""
+        n = self.first[t + 1] - self.first[t]
+        entry, q = spans(self.first[t], n), np.repeat(q, n)
+        block = self.block[entry]
+        bound = score.reshape(self.n_blocks, -1).max(axis=1) + np.bincount(block, q * self.best[entry], self.n_blocks)
+        # no cosine falls by further terms; a bound is a sum in another order: leave it some slack
+        least = np.partition(score, -k)[-k] - 1e-9 if len(score) > k else 0.0
+        open_ = bound >= least
+        mine = open_[block]
+        size = self.size[entry[mine]]
+        post = spans(self.start[entry[mine]], size)
+        score = score + np.bincount(self.place[post], np.repeat(q[mine], size) * self.weight[post], len(score))
+        found = np.flatnonzero((score > 0) & np.repeat(open_, len(score) // self.n_blocks))
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-11]
+        return sorted(zip(score[found].tolist(), found.tolist()), key=lambda e: (-round(e[0], 12), self.ids[e[1]]))[:k]
+
+
+def unit(tf: dict[int, int], weight: np.ndarray, others: Iterable[int] = (), rare: float = 0.0) -> dict[int, float]:
+    """Unit vector of the vocabulary terms; ``others`` are the counts of all further
+    terms, which have the weight ``rare`` and only lengthen the norm."""
+    if not tf:
+        return {}
+    w = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf)))) * weight[np.fromiter(tf.keys(), np.int64, len(tf))]
+    o = (1 + np.log(np.array([*others], np.float64))) * rare
+    return dict(zip(tf.keys(), (w / np.sqrt((w * w).sum() + (o * o).sum())).tolist()))
 
 
 def isotonic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,12 +162,14 @@ def score_documents(
 
     def pack(batches):
         for b in batches:
-            body = pa.array([packed(t.as_py()) for t in b.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), body], ["doc_id", "h", "body"])
+            texts = b.column("text").to_pylist()
+            body, some = pa.array([packed(t) for t in texts], pa.binary()), pa.array([TERM.search(t.lower()) is not None for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), body, some], ["doc_id", "h", "body", "some"])
 
     # training texts: labelled rows outside the held-out fold, each text once
     mine = d.filter(F.coalesce(fold("doc_id") != held_out_fold, F.lit(False))).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    train = mine.mapInArrow(pack, "doc_id long, h long, body binary").join(lab, F.col("doc_id") == F.col("lid")).select("h", "body", "y")
+    train = mine.mapInArrow(pack, "doc_id long, h long, body binary, some boolean").join(lab, F.col("doc_id") == F.col("lid"))
+    train = hold(train.select("doc_id", "h", "body", "some", "y"), "toxic-train")
 
     def count(batches):
         for b in batches:
@@ -150,61 +195,74 @@ def score_documents(
     chi2 = F.lit(float(nt + nc)) * F.pow(a * e - b * c, 2) / ((a + b) * (c + e) * F.lit(float(max(nt, 1))) * F.lit(float(nc)) + F.lit(1e-9))
     strong = df.filter("term <> ''").withColumn("chi2", chi2).filter((a / max(nt, 1) >= LIFT * (b + 0.5) / nc) & (F.col("chi2") >= CHI2))
     lexicon = {r["term"]: i for i, r in enumerate(strong.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect())}
-    words = spark.sparkContext.broadcast(lexicon)
 
-    def vectors(batches):
-        lex = words.value
-        for b in batches:
-            tfs = [Counter(lex[t] for t in terms(x.as_py()) if t in lex) for x in b.column("text")]
-            tfs = [sorted(x.items()) for x in tfs]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([[t for t, _ in x] for x in tfs], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in tfs], pa.list_(pa.int32()))],
-                ["doc_id", "terms", "tfs"],
-            )
-
-    kind = "doc_id long, terms array<int>, tfs array<int>"
-    table = hold(d.select(F.col("doc_id").cast("long"), "text").mapInArrow(vectors, kind), "toxic-vectors")
-    n_docs = table.count()
-    df_all = {r["t"]: r["n"] for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([np.log((n_docs + 1) / (df_all.get(i, 0) + 1)) + 1 for i in range(len(lexicon))])
-    known = table.join(lab, F.col("doc_id") == F.col("lid"))
     index_fold = next(f for f in range(folds) if f != held_out_fold)
-    shown = known.filter((fold("doc_id") == index_fold) & (F.size("terms") > 0)).dropDuplicates(["doc_id"])
+    shown = train.filter((fold("doc_id") == index_fold) & F.col("some")).groupBy("doc_id", "y").agg(F.min("h").alias("h"))
     sizes = {r["y"]: r["n"] for r in shown.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = []
     for y in sorted(sizes):
-        picked += shown.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).collect()
+        ids = shown.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).select("doc_id", "h")
+        picked += train.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "y", "body").collect()
+    tfs = [Counter(terms(zlib.decompress(r["body"]).decode())) for r in picked]
+    at = {t: i for i, t in enumerate(sorted(lexicon.keys() | {t for tf in tfs for t in tf}))}
+    words = spark.sparkContext.broadcast(at)
+
+    def frequencies(batches):
+        lex, n = words.value, 0
+        df = np.zeros(len(lex) + 1, np.int64)
+        for b in batches:
+            for x in b.column("text"):
+                df[[lex[t] for t in set(terms(x.as_py())) if t in lex]] += 1
+            df[-1] += b.num_rows
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(df[t], pa.int64())], ["t", "n"])
+
+    # the place behind the last term counts the documents
+    df_all = np.zeros(len(at) + 1, np.int64)
+    for r in d.select("text").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        df_all[r.column("t").to_numpy()] = r.column("n").to_numpy()
+    idf = np.log((df_all[-1] + 1) / (df_all[:-1] + 1)) + 1
+    idf[[at[t] for t in lexicon]] *= BOOST
+    rare = float(np.log((df_all[-1] + 1) / 2) + 1)
     taken = Counter(r["y"] for r in picked)
-    index = BlockMaxIndex([r["doc_id"] for r in picked], [unit(dict(zip(r["terms"], r["tfs"])), idf) for r in picked])
+    index = BlockMaxIndex([r["doc_id"] for r in picked], [unit({at[t]: c for t, c in tf.items()}, idf) for tf in tfs])
     label = {r["doc_id"]: r["y"] for r in picked}
     rate = {y: sizes[y] / taken[y] for y in taken}
     base = nt / max(nt + nc, 1)
     model = spark.sparkContext.broadcast((index, label, rate, base, idf))
 
-    def votes(frames):
+    def votes(batches):
         idx, y_of, share, prior, weight = model.value
-        seen: dict[tuple, tuple[float, list[int]]] = {}
-        for g in frames:
-            raws, near = [], []
-            for t, c in zip(g["terms"], g["tfs"]):
-                key = (*t, -1, *c)
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    q = unit(dict(zip(map(int, t), map(int, c))), weight)
-                    top = idx.nearest(q, NEIGHBOURS) if q else []
+        lex = words.value
+        seen: dict[bytes, tuple[float, list[int]]] = {}
+        for b in batches:
+            if len(seen) > 100_000:
+                seen.clear()
+            keys, new = [], {}
+            for x in b.column("text"):
+                text = x.as_py()
+                keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
+                if keys[-1] not in seen and keys[-1] not in new:
+                    tf = Counter(terms(text))
+                    mine = {lex[t]: c for t, c in tf.items() if t in lex}
+                    new[keys[-1]] = unit(mine, weight, [c for t, c in tf.items() if t not in lex], rare)
+            todo = list(new)
+            for at_ in range(0, len(todo), 128):
+                part = todo[at_ : at_ + 128]
+                for key, top in zip(part, idx.nearest_many([new[x] for x in part], NEIGHBOURS)):
                     up, all_ = 0.2 * prior, 0.2
                     for s, i in top:
                         y = y_of[int(idx.ids[i])]
                         v = share[y] * s / (1.05 - min(s, 1.0))
                         up, all_ = up + v * y, all_ + v
                     seen[key] = (up / all_, [int(idx.ids[i]) for _, i in top[:3]])
-                r, e = seen[key]
-                raws.append(r)
-                near.append(e)
-            yield pd.DataFrame({"doc_id": g["doc_id"].astype("Int64"), "raw": raws, "neighbours": near})
+            raws, near = [seen[x][0] for x in keys], [seen[x][1] for x in keys]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(raws, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "raw", "neighbours"]
+            )
 
-    voted = hold(table.mapInPandas(votes, "doc_id long, raw double, neighbours array<long>"), "toxic-votes")
+    table = d.select(F.col("doc_id").cast("long"), "text")
+    voted = hold(table.mapInArrow(votes, "doc_id long, raw double, neighbours array<long>"), "toxic-votes")
     check = voted.join(lab, F.col("doc_id") == F.col("lid")).filter(fold("doc_id") != index_fold)
     hist = check.groupBy(F.round("raw", 3).alias("x")).agg(F.sum("y").alias("g"), F.count("*").alias("n")).orderBy("x").collect()
     # the base rate as a weak witness at both ends keeps the rates off 0 and 1 where rows are few
