@@ -9,7 +9,8 @@ is the key's name. The index keeps two exact tables in the shared folder,
 
 and per shard of the keys a cuckoo filter. A new batch is first counted by key,
 so a line that a third of all documents hold is one row; only keys that the
-filter may know are looked up in ``counts``, all others are new. Deleting
+filter may know are looked up in ``counts``, all others are new; every key of
+``counts`` has a mark of its own, also one whose mark was there before. Deleting
 documents takes their ``refs`` away, recounts the keys they held and removes
 the keys nobody holds any more from the filter, so a deletion undoes an
 insertion exactly. A filter that would overflow is rebuilt twice as large from
@@ -170,6 +171,12 @@ class LineIndex:
             .agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first"))
         )
         counts = hold(merged.union(rest), "line-counts")
+        if not known.isEmpty():
+            # keys that the filter only seemed to know get marks of their own
+            wrong = maybe.join(self.counts, "key", "left_anti").select(_name(F.col("key")).alias("name"))
+            mended = hold(self._marked(filters, wrong), "line-filters")
+            full = full.union(mended.filter("length(cells) = 0").select("shard"))
+            filters = mended.filter("length(cells) > 0")
         if not full.isEmpty():
             # some filters are full: at most one row a shard names them
             filters = hold(filters.union(self._rebuilt(counts, full)), "line-filters")
@@ -220,6 +227,19 @@ class LineIndex:
             grow, "shard int, name long, cells binary"
         )
 
+    def _marked(self, filters: DataFrame, names: DataFrame) -> DataFrame:
+        """The filters with marks of the names added, whatever they answer for them;
+        empty ``cells`` for a filter that is full."""
+
+        def mark(key, cells: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            if not len(cells):  # full already
+                return pd.DataFrame({"shard": [], "cells": []}).astype({"shard": "int32"})
+            f = CuckooFilter(1, bytes(cells["cells"].iloc[0]))
+            done = f.add(new["name"].to_numpy(np.int64).view(np.uint64))
+            return pd.DataFrame({"shard": np.array([key[0]], np.int32), "cells": [f.bytes() if done else b""]})
+
+        return filters.groupBy("shard").cogroup(self._sharded(names).groupBy("shard")).applyInPandas(mark, "shard int, cells binary")
+
     def _sharded(self, names: DataFrame) -> DataFrame:
         return names.withColumn("shard", F.pmod("name", F.lit(self.shards)).cast("int"))
 
