@@ -14,7 +14,9 @@ filter may know are looked up in ``counts``, all others are new; every key of
 documents takes their ``refs`` away, recounts the keys they held and removes
 the keys nobody holds any more from the filter, so a deletion undoes an
 insertion exactly. A filter that would overflow is rebuilt twice as large from
-the exact keys of its shard; it never answers "new" for a known key.
+the exact keys of its shard; it never answers "new" for a known key. Shards follow
+the number of distinct keys: an insertion that would bring more than
+``KEYS_PER_SHARD`` keys to a shard first deals the known keys to more shards.
 
 Defined cases: a null or empty text is one empty line; keys shorter than
 ``min_chars`` code points are never dropped; a line repeated inside its first
@@ -29,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cadence.llm.common import hold, keyed, ship
+from cadence.llm.common import hold, keyed, ship, width
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,6 +158,18 @@ class LineIndex:
         )
         batch = fresh.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(F.struct("did", "dh")).alias("first"))
         batch = hold(batch, "line-batch")
+        # both tables are written: their counts are read from the files' footers
+        shards = -(-(batch.count() + self.counts.count()) // KEYS_PER_SHARD)
+        if shards > self.shards:
+            return self._resharded(max(shards, 2 * self.shards))._insert(fresh, batch)
+        return self._insert(fresh, batch)
+
+    def _resharded(self, shards: int) -> "LineIndex":
+        """The same index with its keys in more shards."""
+        wider = replace(self, shards=shards)
+        return replace(wider, filters=hold(wider._rebuilt(self.counts), "line-filters"))
+
+    def _insert(self, fresh: DataFrame, batch: DataFrame) -> "LineIndex":
         grown = hold(self._probe(batch.select(_name(F.col("key")).alias("name"))), "line-filters")
         filters = grown.filter("length(cells) > 0").select("shard", "cells")
         full = grown.filter("cells is not null and length(cells) = 0").select("shard")
@@ -243,9 +257,11 @@ class LineIndex:
     def _sharded(self, names: DataFrame) -> DataFrame:
         return names.withColumn("shard", F.pmod("name", F.lit(self.shards)).cast("int"))
 
-    def _rebuilt(self, counts: DataFrame, shards: DataFrame) -> DataFrame:
-        """Filters of the given shards anew from the exact keys, with room to double."""
-        names = self._sharded(counts.select(_name(F.col("key")).alias("name"))).join(F.broadcast(shards), "shard", "left_semi")
+    def _rebuilt(self, counts: DataFrame, shards: DataFrame | None = None) -> DataFrame:
+        """Filters of the given shards (all) anew from the exact keys, with room to double."""
+        names = self._sharded(counts.select(_name(F.col("key")).alias("name")))
+        if shards is not None:
+            names = names.join(F.broadcast(shards), "shard", "left_semi")
 
         def build(key, rows: pd.DataFrame) -> pd.DataFrame:
             x = rows["name"].to_numpy(np.int64).view(np.uint64)
@@ -266,15 +282,10 @@ class LineIndex:
         return late.groupBy("did", "dh").agg(F.flatten(F.collect_list("ats")).alias("drop"))
 
 
-def shard_count(docs: DataFrame, lines_per_doc: int = 16) -> int:
-    """Shards for a corpus, by its number of documents."""
-    return max(1, -(-docs.count() * lines_per_doc // KEYS_PER_SHARD))
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (columns by position, ``c0_`` ...) with shortened texts and the
     columns ``ld_lines`` (before) and ``ld_dropped``."""
-    index = LineIndex.empty(docs.sparkSession, shard_count(docs), min_chars).insert(docs, id_col, text_col)
+    index = LineIndex.empty(docs.sparkSession, width(docs.sparkSession), min_chars).insert(docs, id_col, text_col)
     names = [f"c{i}_" for i in range(len(docs.columns))]
     at = names[docs.columns.index(text_col)]
     flat = docs.toDF(*names)
