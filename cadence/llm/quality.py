@@ -71,7 +71,7 @@ def look(text: bytes) -> tuple[str, dict[int, float]]:
     )
     feats: Counter = Counter()
     for s, c in words.items():
-        feats[zlib.crc32(s[:16]) % DIMS] += c
+        feats[zlib.crc32(s) % DIMS] += c
     out = {k: 1.0 + float(np.log(v)) for k, v in feats.items()}
     norm = np.sqrt(sum(x * x for x in out.values())) or 1.0
     out = {k: x / norm for k, x in out.items()}
