@@ -80,6 +80,15 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def small_side(table: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A written table, to be broadcast if its measured size allows it: 8 bytes a
+    fixed-width value, strings and arrays by their characters. Larger ones are left to the planner."""
+    wide = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c, t in table.dtypes if t == "string" or t.startswith("array")]
+    row = sum(wide, F.lit(16 + 8 * len(table.columns)))
+    size = table.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if size <= most_bytes else table
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers once per application, as ``--py-files`` would."""
     storage_dir(spark)

@@ -135,5 +135,51 @@ FROM c
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM (SELECT lang, source, unnest(words) AS term FROM d) SEMI JOIN kept USING (lang, term)
+  GROUP BY lang, source, term
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), gn AS (
+  SELECT g.lang, g.source, coalesce(sum(c), 0)::BIGINT AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source
+), l AS (
+  SELECT lang, term, sum(c)::BIGINT AS lc FROM c GROUP BY lang, term
+), ln AS (
+  SELECT lang, sum(lc)::BIGINT AS ln FROM l GROUP BY lang
+), p AS (
+  SELECT gn.lang, gn.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (n + 2 * v) AS p
+  FROM gn JOIN kept k ON k.lang = gn.lang JOIN v ON v.lang = gn.lang
+  LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term
+), pair_sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM (SELECT p.lang, source, p.term, p, 1 + (1000000000 * (lc + 2)) // (ln + 2 * v) AS q
+        FROM p JOIN l ON l.lang = p.lang AND l.term = p.term JOIN ln ON ln.lang = p.lang JOIN v ON v.lang = p.lang WHERE c > 0)
+  WHERE p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER FROM terms
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op4_substring_dedup": OP4, "op5_line_dedup": OP5, "op6_embedding_dedup": OP6, "op10_quality_rules": OP10}
+    return {"op1_source_mixing": OP1, "op4_substring_dedup": OP4, "op5_line_dedup": OP5, "op6_embedding_dedup": OP6, "op10_quality_rules": OP10, "op12_source_divergence": OP12}

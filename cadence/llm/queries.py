@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cadence.llm import embeddings, lines, mixing, pieces, quality, rules, simhash, suffixes, toxicity, windows
+from cadence.llm import divergence, embeddings, extraction, lines, mixing, pieces, quality, rules, simhash, suffixes, toxicity, whitening, windows
 from cadence.llm.common import pick, read
 
 #: Name of the public SentencePiece model among the installed tokenizers.
@@ -90,6 +90,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[F.col(f"qr_{n}").alias(n) for n in names])
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = extraction.extract_pages(read(spark, sf_dir, "pages"))
+    return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,5 +121,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_html_extraction": op13_html_extraction,
         "pipeline": pipeline,
     }
