@@ -74,8 +74,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 DIGITS = re.compile(r"\d+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LONG_BLOCK = 40
-#: Own votes are in thousandths; named main elements weigh a quarter more.
-FULL, NAMED = 1000, 1.25
+#: Scores are in thousandths. An element weighs more than the whole page, a named main
+#: element still more; leaving out the page's only top heading costs a fifth.
+FULL, ELEMENT, NAMED, HEADLESS = 1000, 1.15, 1.25, 0.8
 
 
 def boilerplate_words(names: str) -> bool:
@@ -308,10 +309,17 @@ class Page:
         if not self.prose[0]:
             return 0, 0
         found, score = 0, FULL * self.prose[0] // max(1, self.total[0])
+        heads = [i for i, t in enumerate(self.tag) if t == "h1" and not self.dropped[i]]
+        above = set()
+        if len(heads) == 1:
+            at = heads[0]
+            while at > 0:
+                above.add(at)
+                at = self.parent[at]
         for i in range(1, len(self.tag)):
             if self.prose[i] and not self.dropped[i] and self.tag[i] in CONTAINERS:
-                now = FULL * self.prose[i] * self.prose[i] // (self.prose[0] * self.total[i])
-                now = int(now * NAMED) if self.core[i] else now
+                share = FULL * self.prose[i] * self.prose[i] // (self.prose[0] * self.total[i])
+                now = int(share * (NAMED if self.core[i] else ELEMENT) * (HEADLESS if above and i not in above else 1.0))
                 if now >= score:
                     found, score = i, now
         return found, score

@@ -63,14 +63,15 @@ def packed(text: str | bytes) -> bytes:
     return zlib.compress(text.encode() if isinstance(text, str) else text, 1)
 
 
-def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each document and
-    the index of the first word of each (one more entry than documents)."""
+def words(off: np.ndarray, data: np.ndarray, ink: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or of the runs of ``ink``) of
+    each document and the index of the first word of each (one more entry than documents)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    ink = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if ink is None:
+        ink = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begin, end = ink.copy(), ink.copy()
     begin[1:] &= ~ink[:-1]
     end[:-1] &= ~ink[1:]
