@@ -9,11 +9,13 @@ The station lookups are built from the rides themselves:
   null;
 * missing names are filled from the lookup by a left join on the id.
 
-Instead of semi-joining the full ride table, every ride is first folded into
-one row per distinct ``(start id, end id, start name, end name)`` route that
-remembers its earliest ride. That is a single map-side-combined aggregation
-(a hot station or key costs nothing extra), and everything else (J1, both
-lookups, their conflict reports) is computed on that small table.
+The rides are reduced twice, by keys that only grow with the stations: first to
+the distinct start ids, whose (broadcast) semi join finds J1's rides in place;
+then J1's rides, each counted for its end and for its start station, to one row
+per (side, id, name) with its earliest start. Both aggregations combine inside
+the tasks, so a hot station costs nothing extra and the shuffle carries stations
+and their names, never pairs of stations. Lookups and conflict reports are
+computed on that small table.
 """
 
 from __future__ import annotations
@@ -35,34 +37,54 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def station_routes(rides: DataFrame) -> DataFrame:
-    """One row per distinct route-and-names tuple with the start time of its
-    earliest ride. The buffer is a single timestamp, so Spark runs a hash
-    aggregate with map-side combine (no sort of the ride table)."""
-    return rides.groupBy(*ROUTE_KEYS).agg(F.min("started_at").alias("first_started_at"))
+def start_station_ids(rides: DataFrame) -> DataFrame:
+    """Distinct start ids, the null id included."""
+    return rides.select("start_station_id").distinct()
 
 
-def start_station_ids(routes: DataFrame) -> DataFrame:
-    """Distinct start ids (every ride leaves its start id in ``routes``)."""
-    return routes.select("start_station_id").distinct()
+def matched_rides(rides: DataFrame, start_ids: DataFrame) -> DataFrame:
+    """Rides whose end id occurs as a start id (J1). ``start_ids`` is distinct;
+    hint it with ``broadcast_if_small`` once it is written."""
+    return semi_join_null_safe(rides, start_ids, "end_station_id", "start_station_id")
 
 
-def matched_routes(routes: DataFrame) -> DataFrame:
-    """Routes whose end id occurs as a start id (J1), with ``first_started_at``."""
-    return semi_join_null_safe(routes, start_station_ids(routes), "end_station_id", "start_station_id")
+def matching_station_ids(matched: DataFrame) -> DataFrame:
+    """J1 result: distinct (end id, start id, end name, start name)."""
+    return matched.select(*ROUTE_KEYS).distinct()
 
 
-def matching_station_ids(routes: DataFrame) -> DataFrame:
-    """J1 result: distinct (end id, start id, end name, start name)."""
-    return matched_routes(routes).select(*ROUTE_KEYS)
+def _station_sides(matched: DataFrame, *cols: str) -> DataFrame:
+    """Each of J1's rides twice, for its end and its start station: side,
+    station_id, station_name, ``cols``."""
+    each = [
+        F.struct(F.lit(side).alias("side"), F.col(f"{side}_station_id").alias("station_id"), F.col(f"{side}_station_name").alias("station_name"))
+        for side in ("end", "start")
+    ]
+    return matched.select(F.inline(F.array(*each)), *cols)
+
+
+def station_names(matched: DataFrame) -> DataFrame:
+    """One row per distinct (side, station_id, station_name) of J1's rides with
+    the start time of its earliest ride. The buffer is a single timestamp, so
+    Spark runs a hash aggregate with map-side combine."""
+    sides = _station_sides(matched, "started_at")
+    return sides.groupBy("side", "station_id", "station_name").agg(F.min("started_at").alias("first_started_at"))
+
+
+def side_of(names: DataFrame, side: str, *cols: str) -> DataFrame:
+    """One side of a (side, station_id, station_name, ...) table, with the side's column names."""
+    return names.filter(F.col("side") == side).select(
+        F.col("station_id").alias(f"{side}_station_id"), F.col("station_name").alias(f"{side}_station_name"), *cols
+    )
 
 
-def end_station_lookup(routes: DataFrame) -> DataFrame:
-    return matched_routes(routes).select("end_station_id", "end_station_name").distinct()
+def end_station_lookup(names: DataFrame) -> DataFrame:
+    """Distinct (end id, end name) of J1's rides, from ``station_names``."""
+    return side_of(names, "end")
 
 
-def start_station_lookup(routes: DataFrame) -> DataFrame:
-    return matched_routes(routes).select("start_station_id", "start_station_name").distinct()
+def start_station_lookup(names: DataFrame) -> DataFrame:
+    return side_of(names, "start")
 
 
 def grouped_filter(df: DataFrame, keys: list[str], min_rows: int = 2) -> DataFrame:
@@ -76,128 +98,92 @@ def lookup_conflicts(lookup: DataFrame, id_col: str) -> DataFrame:
     return grouped_filter(lookup, [id_col]).distinct()
 
 
-def end_station_lookup_conflicts(routes: DataFrame) -> DataFrame:
-    return lookup_conflicts(end_station_lookup(routes), "end_station_id")
+def end_station_lookup_conflicts(names: DataFrame) -> DataFrame:
+    return lookup_conflicts(end_station_lookup(names), "end_station_id")
 
 
-def start_station_lookup_conflicts(routes: DataFrame) -> DataFrame:
-    return lookup_conflicts(start_station_lookup(routes), "start_station_id")
+def start_station_lookup_conflicts(names: DataFrame) -> DataFrame:
+    return lookup_conflicts(start_station_lookup(names), "start_station_id")
 
 
 # ---- first name per id, ordered by (started_at, ride_id)
 #
-# Within one route all rides carry the same names, so a route's earliest
-# start time decides its place. One aggregation per id takes both the
-# smallest and the largest name among the routes at the earliest instant;
-# when they differ, routes with different names started together and only
-# the ride ids can order them. Those few tied routes are looked up in the
-# rides by a (broadcast) join on route and instant, and only if any exist.
+# All rides of one (side, id, name) carry the same name, so their earliest
+# start time decides the name's place. One aggregation per id takes both the
+# smallest and the largest name at the earliest instant; when they differ,
+# rides with different names started together and only the ride ids can order
+# them. Those few tied names are looked up in the rides by (broadcast) joins
+# on id, name and instant, and only if any exist.
 
 
-def _first_name_agg(m: DataFrame, keys: list[str], name_col: str) -> DataFrame:
+def first_names(names: DataFrame) -> DataFrame:
+    """Both lookups in one aggregation over ``station_names``: side, station_id,
+    station_name, t0 (the earliest instant), tied."""
     # smallest name at the earliest instant, and largest name at the earliest
     # instant (ordering by the time left until a fixed origin); they differ
-    # only on a tie. Routes without a dated ride come last.
+    # only on a tie. Names without a dated ride come last.
     t = F.col("first_started_at")
     before_origin = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' - first_started_at")
-    lo = F.min(F.struct(t.isNull().alias("undated"), t.alias("t"), F.col(name_col).alias("n")))
-    hi = F.max(F.struct(t.isNotNull().alias("dated"), before_origin.alias("t"), F.col(name_col).alias("n")))
-    agg = m.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"))
+    lo = F.min(F.struct(t.isNull().alias("undated"), t.alias("t"), F.col("station_name").alias("n")))
+    hi = F.max(F.struct(t.isNotNull().alias("dated"), before_origin.alias("t"), F.col("station_name").alias("n")))
+    agg = names.groupBy("side", "station_id").agg(lo.alias("__lo"), hi.alias("__hi"))
     return agg.select(
-        *keys,
-        F.col("__lo.n").alias(name_col),
+        "side",
+        "station_id",
+        F.col("__lo.n").alias("station_name"),
         F.col("__lo.t").alias("t0"),
         (~F.col("__lo.n").eqNullSafe(F.col("__hi.n"))).alias("tied"),
     )
 
 
-def station_first_names(routes: DataFrame) -> DataFrame:
-    """Both lookups in one aggregation: end and start sides of the matched
-    routes stacked as (side, station_id, station_name, first_started_at) and
-    grouped by (side, station_id). Columns: side, station_id, station_name,
-    t0, tied."""
-    m = matched_routes(routes)
-    stacked = m.select(
-        F.lit("end").alias("side"),
-        F.col("end_station_id").alias("station_id"),
-        F.col("end_station_name").alias("station_name"),
-        "first_started_at",
-    ).unionByName(
-        m.select(
-            F.lit("start").alias("side"),
-            F.col("start_station_id").alias("station_id"),
-            F.col("start_station_name").alias("station_name"),
-            "first_started_at",
-        )
-    )
-    return _first_name_agg(stacked, ["side", "station_id"], "station_name")
+TIE_KEYS = ["side", "station_id", "station_name", "first_started_at"]
 
 
-def side_names(names: DataFrame, side: str) -> DataFrame:
-    """One side of ``station_first_names`` with the side's column names."""
-    return names.filter(F.col("side") == side).select(
-        F.col("station_id").alias(f"{side}_station_id"),
-        F.col("station_name").alias(f"{side}_station_name"),
-        "t0",
-        "tied",
-    )
+def tied_names(names: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows of ``station_names`` of tied ids at their id's earliest instant."""
+    t = firsts.filter("tied").select(F.col("side").alias("__side"), F.col("station_id").alias("__id"), "t0")
+    cond = (names["side"] == t["__side"]) & names["station_id"].eqNullSafe(t["__id"]) & names["first_started_at"].eqNullSafe(t["t0"])
+    return names.join(t, cond, "left_semi").select(*TIE_KEYS)
 
 
-def tied_routes(routes: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
-    """Matched routes of tied ids that start at the id's earliest instant."""
-    m = matched_routes(routes)
-    t = names.filter("tied").select(F.col(id_col).alias("__id"), "t0")
-    cond = m[id_col].eqNullSafe(t["__id"]) & m["first_started_at"].eqNullSafe(t["t0"])
-    return m.join(t, cond, "left_semi").select(*ROUTE_KEYS, "first_started_at")
+def name_tiebreaks(matched: DataFrame, tied: DataFrame) -> DataFrame:
+    """Smallest ride id among the rides of each tied name at its earliest
+    instant. ``tied`` is small: hint it with ``broadcast_if_small``."""
+    sides = _station_sides(matched, F.col("started_at").alias("first_started_at"), "ride_id")
+    hits = sides.join(tied, _null_safe_on(sides, tied, TIE_KEYS), "left_semi")
+    return hits.groupBy(*TIE_KEYS).agg(F.min("ride_id").alias("first_ride_id"))
 
 
-def route_tiebreaks(rides: DataFrame, tied: DataFrame) -> DataFrame:
-    """Smallest ride id among the rides of each tied route at its earliest
-    instant. ``tied`` is small: hint it with ``broadcast_if_small``."""
-    cond = _null_safe_on(rides, tied, ROUTE_KEYS) & rides["started_at"].eqNullSafe(tied["first_started_at"])
-    hits = rides.join(tied, cond, "left_semi")
-    return hits.groupBy(*ROUTE_KEYS).agg(F.min("ride_id").alias("first_ride_id"))
-
-
-def resolve_ties(names: DataFrame, tied: DataFrame, tiebreaks: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Lookup (id, name): tied ids take the name of the route whose earliest
-    ride has the smallest ride id."""
-    best = (
-        tied.join(tiebreaks, _null_safe_on(tied, tiebreaks, ROUTE_KEYS), "inner")
-        .select(tied[id_col].alias("__id"), tied[name_col].alias("__n"), tiebreaks["first_ride_id"])
-        .groupBy("__id")
-        .agg(F.min_by("__n", "first_ride_id").alias("__n"))
-    )
-    j = names.join(best, names[id_col].eqNullSafe(best["__id"]), "left")
-    return j.select(id_col, F.when(F.col("tied"), F.col("__n")).otherwise(F.col(name_col)).alias(name_col))
-
-
-def station_routes_exact(rides: DataFrame) -> DataFrame:
-    """Route fold that also keeps the ride id of each route's first ride
-    (``min`` of a (started_at, ride_id) struct). Exact in one pass, but the
-    string in the buffer makes it a sort-based aggregate; used by the lazy,
-    single-plan path. The materialised path uses ``station_routes`` plus a
-    tie pass instead."""
-    fs = F.min(F.struct(F.col("started_at").isNull().alias("undated"), "started_at", "ride_id")).alias("__fs")
-    return rides.groupBy(*ROUTE_KEYS).agg(fs).select(
-        *ROUTE_KEYS, F.col("__fs.started_at").alias("first_started_at"), F.col("__fs.ride_id").alias("first_ride_id")
+def resolve_ties(firsts: DataFrame, tiebreaks: DataFrame) -> DataFrame:
+    """``first_names`` with the name of tied ids taken from the ride of the
+    smallest ride id (of equal ride ids, the smallest name)."""
+    best = tiebreaks.groupBy(F.col("side").alias("__side"), F.col("station_id").alias("__id")).agg(
+        F.min_by(F.struct("station_name"), F.struct("first_ride_id", "station_name")).alias("__n")
     )
+    j = firsts.join(best, (firsts["side"] == best["__side"]) & firsts["station_id"].eqNullSafe(best["__id"]), "left")
+    name = F.when(F.col("tied"), F.col("__n.station_name")).otherwise(F.col("station_name"))
+    return j.select("side", "station_id", name.alias("station_name"), "t0", "tied")
 
 
-def lookup_clean_exact(routes_exact: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Lookup from ``station_routes_exact``: name of the route whose first
-    ride comes first by (started_at, ride_id), undated rides last; a null
-    name is kept."""
-    order = F.struct(F.col("first_started_at").isNull().alias("undated"), "first_started_at", "first_ride_id")
-    return matched_routes(routes_exact).groupBy(id_col).agg(F.min_by(name_col, order).alias(name_col))
+def first_names_exact(matched: DataFrame) -> DataFrame:
+    """Both lookups as one lazy plan: the exact first ride of each (side, id,
+    name) by (started_at, ride_id), then the first name of each id. The ride id
+    in the buffer makes the first step a sort-based aggregate; the written path
+    uses ``station_names`` and a tie pass instead."""
+    order = F.struct(F.col("started_at").isNull().alias("undated"), "started_at", "ride_id")
+    sides = _station_sides(matched, order.alias("__first"))
+    names = sides.groupBy("side", "station_id", "station_name").agg(F.min("__first").alias("__first"))
+    first = F.min_by(F.struct("station_name"), F.struct("__first", "station_name"))
+    return names.groupBy("side", "station_id").agg(first.alias("__n")).select("side", "station_id", F.col("__n.station_name").alias("station_name"))
 
 
-def end_station_lookup_clean(routes_exact: DataFrame) -> DataFrame:
-    return lookup_clean_exact(routes_exact, "end_station_id", "end_station_name")
+def end_station_lookup_clean(firsts: DataFrame) -> DataFrame:
+    """One name per end id, from ``first_names`` (ties resolved) or ``first_names_exact``."""
+    return side_of(firsts, "end")
 
 
-def start_station_lookup_clean(routes_exact: DataFrame) -> DataFrame:
-    return lookup_clean_exact(routes_exact, "start_station_id", "start_station_name")
+def start_station_lookup_clean(firsts: DataFrame) -> DataFrame:
+    return side_of(firsts, "start")
 
 
 def fill_station_name(rides: DataFrame, lookup: DataFrame, id_col: str, name_col: str) -> DataFrame:

@@ -22,7 +22,7 @@ from cadence.operators import report as RP
 from cadence.operators import summaries as S
 from cadence.operators import features as FT
 from cadence.operators.features import FEATURE_COLUMNS
-from cadence.plans.prepare import PreparedRides, prepared, spread_if_few_partitions
+from cadence.plans.prepare import PreparedRides, input_version, prepared, spread_if_few_partitions
 from cadence.schema import RIDE_COLUMNS
 from cadence.sources import csv as CSV
 from cadence.sources.events import load_rides
@@ -67,8 +67,8 @@ def on_lengths(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).lengths)
 
 
-def on_routes(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).routes)
+def on_names(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark, sf_dir).names)
 
 
 def _p(spark: SparkSession, sf_dir: str) -> PreparedRides:
@@ -85,7 +85,8 @@ _CSV_CACHE: dict[tuple, str] = {}
 def _rides_csv(spark: SparkSession, sf_dir: str, monthly: bool) -> str:
     """Write the adapter rides once as CSV (one folder per start month when
     ``monthly``) under the shared folder; return the base path."""
-    key = (spark.sparkContext.applicationId, sf_dir, monthly)
+    base = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, base, input_version(spark, f"{base}/events.parquet"), monthly)
     if key not in _CSV_CACHE:
         path = table_path(spark, "rides_csv_monthly" if monthly else "rides_csv")
         rides = spread_if_few_partitions(load_rides(spark, sf_dir))
@@ -103,11 +104,7 @@ def q_read_rides_csv(spark, sf_dir):
 
 @query("combine_ride_files")
 def q_combine_ride_files(spark, sf_dir):
-    base = _rides_csv(spark, sf_dir, True)
-    # month folders come from the file listing (metadata only, no scan)
-    files = spark.read.schema(CSV.ride_read_schema()).option("header", True).csv(base).inputFiles()
-    months = sorted({f.split("month=")[1].split("/")[0] for f in files if "month=" in f})
-    return CSV.combine_ride_files([f"{base}/month={m}" for m in months], spark)
+    return CSV.combine_ride_files([f"{_rides_csv(spark, sf_dir, True)}/month=*"], spark)
 
 
 @query("ingest_ride_files")
@@ -214,7 +211,12 @@ def q_drop_too_short(spark, sf_dir):
 on_cleaned("short_rides", lambda c: K.short_rides(c).select(*_ALL))
 on_cleaned("casual_rides", lambda c: K.casual_rides(c).select(*_ALL))
 on_cleaned("having", lambda c: S.having(c, ["ride_id"], "number_of_rides", 1))
-on_routes("grouped_filter", lambda r: K.grouped_filter(K.matching_station_ids(r), ["end_station_id"]))
+
+
+@query("grouped_filter")
+def q_grouped_filter(spark, sf_dir):
+    return K.grouped_filter(_p(spark, sf_dir).matching, ["end_station_id"])
+
 
 
 @query("is_in_column")
@@ -248,7 +250,12 @@ _on_complete("add_trip_distance", ["ride_id", "start_lat", "start_lng", "end_lat
 
 # ------------------------------------------------------------ joins, lookups
 
-on_routes("matching_station_ids", K.matching_station_ids)
+
+
+@query("matching_station_ids")
+def q_matching_station_ids(spark, sf_dir):
+    return _p(spark, sf_dir).matching
+
 
 
 @query("fill_end_station_name")
@@ -261,10 +268,10 @@ def q_fill_start(spark, sf_dir):
     return _p(spark, sf_dir).filled()
 
 
-on_routes("end_station_lookup", K.end_station_lookup)
-on_routes("start_station_lookup", K.start_station_lookup)
-on_routes("end_station_lookup_conflicts", K.end_station_lookup_conflicts)
-on_routes("start_station_lookup_conflicts", K.start_station_lookup_conflicts)
+on_names("end_station_lookup", K.end_station_lookup)
+on_names("start_station_lookup", K.start_station_lookup)
+on_names("end_station_lookup_conflicts", K.end_station_lookup_conflicts)
+on_names("start_station_lookup_conflicts", K.start_station_lookup_conflicts)
 
 
 @query("end_station_lookup_clean")

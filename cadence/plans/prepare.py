@@ -2,12 +2,12 @@
 
 Stages (each a Spark job over the whole input):
 
-1. ``routes``: one map-side-combined aggregation of all rides to distinct
-   (end id, start id, end name, start name) tuples with their earliest ride.
-   Written to the shared folder.
-2. lookups: first name per end / start station id, derived from ``routes``
-   (small). Cached, counted, broadcast only below the row bound. Ride ids
-   are consulted only for routes tied at an id's earliest instant.
+1. ``start_ids``: the distinct start station ids, and ``names``: the rides whose
+   end id is one of them, reduced to (side, station id, name) with their earliest
+   start. Both combine inside the tasks and are written to the shared folder.
+2. lookups: first name per end / start station id, derived from ``names``
+   (small). Cached, counted, broadcast only below the bounds. Ride ids
+   are consulted only for names tied at an id's earliest instant.
 3. ``complete``: rides with names filled (broadcast hash joins, the ride side
    never shuffles), incomplete rows dropped, all features added. Written
    once as Parquet; later summaries read only the columns they need and push
@@ -40,7 +40,8 @@ _DERIVED = ("cube", "stations", "length_table", "length_quartiles", "station_uti
 @dataclass
 class PreparedRides:
     raw: DataFrame
-    routes: DataFrame
+    start_ids: DataFrame
+    names: DataFrame
     end_lookup: DataFrame
     start_lookup: DataFrame
     complete: DataFrame
@@ -62,24 +63,21 @@ class PreparedRides:
             out = K.fill_start_station_name(out, self.start_join if self.start_join is not None else self.start_lookup)
         return out
 
-    def start_ids(self) -> DataFrame:
-        """Distinct start ids, for membership tests against all rides."""
-        if self.extras.get("start_ids") is None:
-            ids = K.start_station_ids(self.routes)
-            if self.extras.get("materialized"):
-                ids = broadcast_if_small(ids.persist(StorageLevel.MEMORY_AND_DISK))
-            self.extras["start_ids"] = ids
-        return self.extras["start_ids"]
-
     def matched_rides(self) -> DataFrame:
         """J1 over all rides: rides whose end id occurs as a start id."""
-        return K.semi_join_null_safe(self.raw, self.start_ids(), "end_station_id", "start_station_id")
+        return K.matched_rides(self.raw, self.start_ids)
+
+    @property
+    def matching(self) -> DataFrame:
+        """``matching_station_ids``: the distinct station pairs of J1's rides with
+        their names. Only the queries that show them pay for this table."""
+        return self._kept("matching_station_ids", lambda: K.matching_station_ids(self.matched_rides()))
 
     def variant(self, fill_start: bool) -> "PreparedRides":
-        """The same input, route table and lookups with the start fill switched
+        """The same input, names and lookups with the start fill switched
         on or off."""
         other = PreparedRides(
-            self.raw, self.routes, self.end_lookup, self.start_lookup, self.raw, self.min_seconds, fill_start,
+            self.raw, self.start_ids, self.names, self.end_lookup, self.start_lookup, self.raw, self.min_seconds, fill_start,
             self.end_join, self.start_join if fill_start else None, {k: v for k, v in self.extras.items() if k not in _DERIVED},
         )
         if fill_start and other.start_join is None:
@@ -95,15 +93,14 @@ class PreparedRides:
         does not depend on it, only the cleaned view and its summary tables."""
         extras = {k: v for k, v in self.extras.items() if k not in _DERIVED}
         return PreparedRides(
-            self.raw, self.routes, self.end_lookup, self.start_lookup, self.complete, min_seconds, self.fill_start,
+            self.raw, self.start_ids, self.names, self.end_lookup, self.start_lookup, self.complete, min_seconds, self.fill_start,
             self.end_join, self.start_join, extras,
         )
 
     def release(self) -> None:
         """Drop the cached lookups (the written tables stay in the shared folder)."""
-        for df in (self.end_lookup, self.start_lookup, self.extras.get("start_ids"), self.extras.get("names")):
-            if df is not None:
-                df.unpersist()
+        for df in self.extras.get("cached", ()):
+            df.unpersist()
 
     def _summary_tables(self) -> None:
         # one grouping-sets scan of the cleaned rides gives both small tables;
@@ -168,46 +165,44 @@ def prepare_rides(
     """Run (``persist=True``) or just declare (``persist=False``) the cleaning
     plan for ``rides``.
 
-    With ``persist`` the route table and the complete rides are written to
-    ``spark.checkpoint.dir``; the station lookups (a few thousand rows derived
-    from the written routes, so a lost block is recomputed cheaply) are cached
-    and counted before they are broadcast.
+    With ``persist`` the start ids, the station names and the complete rides are
+    written to ``spark.checkpoint.dir``; the station lookups (a few thousand rows
+    derived from the written names, so a lost block is recomputed cheaply) are
+    cached and counted before they are broadcast.
     """
     if persist:
         rides = spread_if_few_partitions(rides)
-    if not persist:
-        routes = K.station_routes_exact(rides)
-        end_lk = K.end_station_lookup_clean(routes)
-        start_lk = K.start_station_lookup_clean(routes)
-        prep = PreparedRides(rides, routes, end_lk, start_lk, rides, min_seconds, fill_start)
-    else:
-        routes = materialize(K.station_routes(rides), "station_routes")
-        # both lookups from one aggregation over the matched routes, cached;
+        start_ids = broadcast_if_small(materialize(K.start_station_ids(rides), "start_station_ids"))
+        matched = K.matched_rides(rides, start_ids)
+        names = materialize(K.station_names(matched), "station_names")
+        firsts = K.first_names(names).persist(StorageLevel.MEMORY_AND_DISK)
         # one small job counts rows and ties per side
-        names = K.station_first_names(routes).persist(StorageLevel.MEMORY_AND_DISK)
         stats = {
             r["side"]: (r["n"], r["n_tied"])
-            for r in names.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_if("tied").alias("n_tied")).collect()
+            for r in firsts.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_if("tied").alias("n_tied")).collect()
         }
-        lookups = {}
-        for side in ("end", "start"):
-            id_col, name_col = f"{side}_station_id", f"{side}_station_name"
-            per_side = K.side_names(names, side)
-            n_rows, n_tied = stats.get(side, (0, 0))
-            if n_tied:
-                tied = K.tied_routes(routes, per_side, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-                breaks = materialize(K.route_tiebreaks(rides, broadcast_if_small(tied)), f"tiebreaks_{side}")
-                lk = K.resolve_ties(per_side, tied, breaks, id_col, name_col).persist(StorageLevel.MEMORY_AND_DISK)
-            else:
-                lk = per_side.select(id_col, name_col)
-            lookups[side] = (lk, n_rows)
-        prep = PreparedRides(rides, routes, lookups["end"][0], lookups["start"][0], rides, min_seconds, fill_start)
-        prep.extras["materialized"] = True
-        prep.extras["names"] = names
+        cached = [firsts]
+        if any(n_tied for _, n_tied in stats.values()):
+            tied = materialize(K.tied_names(names, firsts), "tied_names")
+            breaks = materialize(K.name_tiebreaks(matched, broadcast_if_small(tied)), "name_tiebreaks")
+            firsts = K.resolve_ties(firsts, breaks).persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(firsts)
+        prep = PreparedRides(
+            rides, start_ids, names, K.end_station_lookup_clean(firsts), K.start_station_lookup_clean(firsts), rides, min_seconds, fill_start
+        )
+        prep.extras |= {"materialized": True, "firsts": firsts, "cached": cached}
         bound = max_broadcast_rows(rides)
-        prep.end_join = F.broadcast(prep.end_lookup) if lookups["end"][1] <= bound else prep.end_lookup
+        prep.end_join = F.broadcast(prep.end_lookup) if stats.get("end", (0, 0))[0] <= bound else prep.end_lookup
         if fill_start:
-            prep.start_join = F.broadcast(prep.start_lookup) if lookups["start"][1] <= bound else prep.start_lookup
+            prep.start_join = F.broadcast(prep.start_lookup) if stats.get("start", (0, 0))[0] <= bound else prep.start_lookup
+    else:
+        start_ids = K.start_station_ids(rides)
+        matched = K.matched_rides(rides, start_ids)
+        firsts = K.first_names_exact(matched)
+        prep = PreparedRides(
+            rides, start_ids, K.station_names(matched), K.end_station_lookup_clean(firsts), K.start_station_lookup_clean(firsts),
+            rides, min_seconds, fill_start,
+        )
     complete = add_features(K.drop_incomplete_rides(prep.filled()))
     if persist:
         complete = materialize(complete, "complete_rides")

@@ -9,8 +9,10 @@ queries prune columns and push filters into the scan.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,26 @@ def storage_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_module(spark: SparkSession) -> None:
+    """Give the package to the Python workers once per application, as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="cadence-ship-"), "cadence_sources.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location for one materialised table."""
     app = spark.sparkContext.applicationId

@@ -77,15 +77,15 @@ def test_lookup_unique_after_cleaning(prep):
 
 
 def test_conflicts_list_ids_with_two_names(rides):
-    routes = K.station_routes(rides)
-    ids = {r.end_station_id for r in K.end_station_lookup_conflicts(routes).collect()}
+    names = K.station_names(K.matched_rides(rides, K.start_station_ids(rides)))
+    ids = {r.end_station_id for r in K.end_station_lookup_conflicts(names).collect()}
     assert ids == {None, "A", "B"}  # the null-id group counts too
 
 
 def test_fill_variant_reuses_lookups(rides):
     p = prepare_rides(rides)
     v = p.variant(fill_start=False)
-    assert v.routes is p.routes and v.end_lookup is p.end_lookup
+    assert v.names is p.names and v.end_lookup is p.end_lookup
     expected = sorted(r[0] for r in brute_clean(edge_rides(), fill_start=False))
     assert sorted(r.ride_id for r in v.cleaned.select("ride_id").collect()) == expected
     back = v.variant(fill_start=True)

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import types as T
 
 from cadence.operators import summaries as S
@@ -49,8 +50,23 @@ def test_summary_export_round_trip(spark):
     schema = T.StructType([T.StructField("day_of_week", T.StringType()), T.StructField("member_casual", T.StringType()), T.StructField("number_of_rides", T.LongType())])
     back = CSV.read_summary_csv(spark, os.path.join(d, "rides_by_day.csv"), schema)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, by_day.collect()))
-    files = [f for f in os.listdir(os.path.join(d, "rides_by_day.csv")) if f.endswith(".csv")]
-    assert len(files) == 1
+    with open(os.path.join(d, "rides_by_day.csv")) as f:  # a plain file
+        assert f.readline().strip() == "day_of_week,member_casual,number_of_rides"
+    assert [f for f in os.listdir(d) if not f.startswith(".")] == ["rides_by_day.csv"]
+    CSV.write_summary_csv(by_day.limit(1), os.path.join(d, "rides_by_day.csv"))  # replaced
+    assert CSV.read_summary_csv(spark, os.path.join(d, "rides_by_day.csv"), schema).count() == 1
+    CSV.write_summary_csv(by_day.limit(0), os.path.join(d, "none.csv"))
+    assert open(os.path.join(d, "none.csv")).read().strip() == "day_of_week,member_casual,number_of_rides"
+
+
+def test_a_large_frame_is_no_summary(spark, monkeypatch):
+    d = tempfile.mkdtemp(prefix="cadence-csv-")
+    monkeypatch.setattr(CSV, "MAX_SUMMARY_ROWS", 5)
+    with pytest.raises(ValueError, match="not a summary"):
+        CSV.write_summary_csv(spark.range(6), os.path.join(d, "n.csv"))
+    assert os.listdir(d) == []
+    CSV.write_summary_csv(spark.range(6), os.path.join(d, "n.csv"), single_file=False)
+    assert CSV.read_summary_csv(spark, os.path.join(d, "n.csv"), "id long").count() == 6
 
 
 def test_parquet_by_month_round_trip_and_pruning(spark):
@@ -91,14 +107,12 @@ def test_cli_main_prints_the_recap_in_order(spark, capsys):
     main(["--events", "/root/testdata/sf0.001", "--out", out])
     lines = capsys.readouterr().out.strip().splitlines()
     assert lines[0].startswith("Mean ride length: ") and lines[2].startswith("Mode day of the week: ")
-    assert sorted(os.listdir(out)) == ["average_ride_length_by_day.csv", "average_ride_length_by_member.csv", "rides_by_day.csv"]
+    assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == ["average_ride_length_by_day.csv", "average_ride_length_by_member.csv", "rides_by_day.csv"]
 
 
 def test_export_shapes_match_the_reference_files(spark):
     """Headers and row counts of the three exports (the reference's export
     sizes fit these headers with 2, 14 and 14 rows)."""
-    import glob
-
     from cadence.__main__ import run
 
     out = os.path.join(tempfile.mkdtemp(prefix="cadence-exp-"), "out")
@@ -109,7 +123,5 @@ def test_export_shapes_match_the_reference_files(spark):
         "rides_by_day.csv": ("day_of_week,member_casual,number_of_rides", 14),
     }
     for name, (header, rows) in expected.items():
-        parts = glob.glob(os.path.join(out, name, "part-*.csv"))
-        assert len(parts) == 1
-        lines = open(parts[0]).read().splitlines()
+        lines = open(os.path.join(out, name)).read().splitlines()
         assert lines[0] == header and len(lines) - 1 == rows

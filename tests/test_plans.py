@@ -16,9 +16,15 @@ def prep(spark):
     return prepared(spark, SF001)
 
 
-def test_route_fold_is_a_hash_aggregate(prep):
-    ops = operators(K.station_routes(prep.raw))
+def test_names_are_reduced_by_station_keys_inside_the_tasks(prep):
+    plan = K.station_names(prep.matched_rides())
+    ops = operators(plan)
     assert "HashAggregate" in ops and not any("SortAggregate" in o for o in ops)
+    assert any("BroadcastHashJoin LeftSemi" in o for o in ops)
+    text = plan_text(plan, "simple")
+    assert "partial_min(started_at" in text and "hashpartitioning(side" in text
+    # the table has a row for a station and a name, not for a pair of stations
+    assert prep.names.count() < prep.matching.count() / 2
 
 
 def test_fills_broadcast_the_lookups(prep):

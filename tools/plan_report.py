@@ -27,8 +27,8 @@ def main() -> None:
     p = prepared(spark, sf_dir)
     q = catalog.queries()
     sections = [
-        ("Stage 1: route fold over all rides", K.station_routes(p.raw)),
-        ("Stage 2: both station lookups in one aggregation (first name per id, tie flag)", K.station_first_names(p.routes)),
+        ("Stage 1: station names of the matched rides", K.station_names(p.matched_rides())),
+        ("Stage 2: both station lookups in one aggregation (first name per id, tie flag)", K.first_names(p.names)),
         ("Stage 3: fills, completeness filter, features (written as complete_rides)", add_features(K.drop_incomplete_rides(p.filled()))),
     ]
     from cadence.operators.cube import summary_tables
