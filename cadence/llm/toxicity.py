@@ -1,20 +1,24 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine over all terms.
 
-1. *Lexicon*: over the distinct labelled training texts, terms whose document
+1. *Sample*: ids and labels are joined first, as longs. At most ``MAX_LABELLED``
+   training rows per class, those of the smallest id hashes, are learnt from; their
+   ids are broadcast to the documents, so no text is shuffled.
+2. *Lexicon*: over the distinct texts of the sample, terms whose document
    frequency among toxic texts is ``LIFT`` times that among clean ones, with a
-   chi-square of ``CHI2`` at least; the ``MAX_TERMS`` strongest are kept. The
-   lexicon cuts nothing away: its terms weigh ``BOOST`` times their TF-IDF.
-2. *Examples*: at most ``MAX_EXAMPLES`` training texts per class, chosen by the
-   hash of their id, each with all its terms; these terms are the vocabulary.
-   Their document frequencies are taken over all documents.
-3. A document's norm is over all its terms. Terms outside the vocabulary meet no
-   example; in the norm they count as terms of a single document.
+   chi-square of ``CHI2`` at least. The lexicon cuts nothing away: its terms weigh
+   ``BOOST`` times their TF-IDF.
+3. *Examples*: the first ``MAX_EXAMPLES`` sampled texts per class of one fold, each
+   with all its terms; these and the lexicon are the vocabulary. Every document is
+   split into terms once and kept as its vocabulary terms with their counts;
+   document frequencies are taken over all documents. A document's norm is over
+   all its terms. Terms outside the vocabulary meet no example; in the norm they
+   count as terms of a single document.
 4. The index keeps the examples in blocks with the largest weight of each term
    per block. A query visits blocks by falling upper bound until none can reach
    the ``k``-th best cosine: the exact neighbours, ties by example id.
 5. Votes are weighted by closeness and by the sampling rate of the class; a
    second fold of the training rows turns votes into calibrated probabilities
-   by isotonic regression over at most 1,001 vote levels.
+   by isotonic regression over at most ``LEVELS`` + 1 vote levels.
 
 Neighbours are returned as evidence. Defined cases: null and empty texts and
 texts that share no term with an example have no neighbours and get the
@@ -26,9 +30,7 @@ hash is the example.
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -37,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cadence.llm.common import hold, pick, ship
-from cadence.llm.textnp import packed
 
 LIFT, CHI2, LEAST, BOOST = 4.0, 20.0, 3, 6.0
-MAX_TERMS, MAX_EXAMPLES, NEIGHBOURS, BLOCK, DENSE = 2_000, 2_000, 15, 64, 512
+#: Bounds per class of what is learnt from: labelled rows for the lexicon, examples in the index.
+MAX_LABELLED, MAX_EXAMPLES = 20_000, 2_000
+NEIGHBOURS, BLOCK, DENSE, LEVELS = 15, 64, 512, 1_000
 TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -127,14 +130,17 @@ class BlockMaxIndex:
         return sorted(zip(score[found].tolist(), found.tolist()), key=lambda e: (-round(e[0], 12), self.ids[e[1]]))[:k]
 
 
-def unit(tf: dict[int, int], weight: np.ndarray, others: Iterable[int] = (), rare: float = 0.0) -> dict[int, float]:
-    """Unit vector of the vocabulary terms; ``others`` are the counts of all further
-    terms, which have the weight ``rare`` and only lengthen the norm."""
+def damped(counts: Iterable[int]) -> np.ndarray:
+    return 1 + np.log(np.fromiter(counts, np.float64))
+
+
+def unit(tf: dict[int, int], weight: np.ndarray, others: float = 0.0) -> dict[int, float]:
+    """Unit vector of the vocabulary terms; ``others`` is what the squares of all
+    further terms' weights add to the norm."""
     if not tf:
         return {}
-    w = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf)))) * weight[np.fromiter(tf.keys(), np.int64, len(tf))]
-    o = (1 + np.log(np.array([*others], np.float64))) * rare
-    return dict(zip(tf.keys(), (w / np.sqrt((w * w).sum() + (o * o).sum())).tolist()))
+    w = damped(tf.values()) * weight[np.fromiter(tf.keys(), np.int64, len(tf))]
+    return dict(zip(tf.keys(), (w / np.sqrt((w * w).sum() + others)).tolist()))
 
 
 def isotonic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +154,85 @@ def isotonic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return x, np.concatenate([np.full(int(c), g / m) for g, m, c in pools])
 
 
+def in_terms(words):
+    """Documents as vocabulary terms (numbers, then counts) and the squares of the damped counts of all others."""
+
+    def run(batches):
+        lex = words.value
+        for b in batches:
+            known, rest = [], []
+            for x in b.column("text"):
+                tf = Counter(terms(x.as_py()))
+                mine = {lex[t]: c for t, c in tf.items() if t in lex}
+                known.append(np.array([*mine.keys(), *mine.values()], np.int32).tobytes())
+                o = damped(c for t, c in tf.items() if t not in lex)
+                rest.append(float((o * o).sum()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(known, pa.binary()), pa.array(rest, pa.float64())], ["doc_id", "known", "rest"])
+
+    return run
+
+
+def counted_terms(raw: bytes) -> dict[int, int]:
+    v = np.frombuffer(raw, np.int32).reshape(2, -1)
+    return dict(zip(v[0].tolist(), v[1].tolist()))
+
+
+def frequencies(size: int):
+    """Documents per vocabulary term; behind the last term, all documents."""
+
+    def run(batches):
+        df = np.zeros(size + 1, np.int64)
+        for b in batches:
+            for x in b.column("known"):
+                v = np.frombuffer(x.as_py(), np.int32)
+                df[v[: len(v) // 2]] += 1
+            df[-1] += b.num_rows
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(df[t], pa.int64())], ["t", "n"])
+
+    return run
+
+
+def vote(top: list[tuple[float, int]], share: dict[int, float], prior: float) -> float:
+    """Weight of the toxic among the neighbours ``(cosine, label)``; the base rate votes weakly."""
+    up, every = 0.2 * prior, 0.2
+    for s, y in top:
+        v = share[y] * s / (1.05 - min(s, 1.0))
+        up, every = up + v * y, every + v
+    return up / every
+
+
+def votes(model):
+    def run(batches):
+        idx, y_of, share, prior, weight, rare = model.value
+        seen: dict[tuple, tuple[float, list[int]]] = {}
+        for b in batches:
+            if len(seen) > 100_000:
+                seen.clear()
+            keys = list(zip(b.column("known").to_pylist(), b.column("rest").to_pylist()))
+            todo = [k for k in dict.fromkeys(keys) if k not in seen]
+            for at in range(0, len(todo), 128):
+                part = todo[at : at + 128]
+                asked = [unit(counted_terms(raw), weight, rest * rare * rare) for raw, rest in part]
+                for key, top in zip(part, idx.nearest_many(asked, NEIGHBOURS)):
+                    ids = [int(idx.ids[i]) for _, i in top]
+                    # the last digits of a product of matrices depend on its neighbours in the batch
+                    seen[key] = round(vote([(s, y_of[i]) for (s, _), i in zip(top, ids)], share, prior), 9), ids[:3]
+            raws, near = [seen[k][0] for k in keys], [seen[k][1] for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(raws, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "raw", "neighbours"]
+            )
+
+    return run
+
+
+def calibration(levels: list[int], toxic: list[float], every: list[float]) -> list[float]:
+    """Calibrated rate of each vote level ``0 .. LEVELS``, rising. The base rate as a
+    weak witness at both ends keeps the rates off 0 and 1 where rows are few."""
+    x, p = isotonic(np.array([0, *levels, LEVELS]), np.array([0.0, *toxic, 1.0]), np.array([1.0, *every, 1.0]))
+    return p[np.searchsorted(x, np.arange(LEVELS + 1), "right") - 1].tolist()
+
+
 def score_documents(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, held_out_fold: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
@@ -155,128 +240,107 @@ def score_documents(
     """``(doc_id, held_out, raw, score, neighbours)`` per row of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
-    d = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    d = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     fold = lambda c: (F.crc32(F.col(c).cast("string").cast("binary")) % folds).cast("int")
+    index_fold = next(f for f in range(folds) if f != held_out_fold)
     lab = pick(labels, id_col, label_col).toDF("lid", "y").filter("lid is not null and y is not null").groupBy("lid").agg(F.max("y").cast("int").alias("y"))
-    lab = lab.filter(fold("lid") != held_out_fold)
-
-    def pack(batches):
+    lab = lab.filter(fold("lid") != held_out_fold).select(F.col("lid").cast("long").alias("lid"), F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
+
+    # training rows: labelled ids outside the held-out fold that have a document
+    train = hold(lab.join(d.select("doc_id").distinct(), F.col("lid") == F.col("doc_id")).select("doc_id", "y"), "toxic-train")
+    order = F.xxhash64("doc_id")
+    sizes, shown = {}, {}
+    for r in train.groupBy("y", (fold("doc_id") == index_fold).alias("index")).agg(F.count("*").alias("n")).collect():
+        sizes[r["y"]] = sizes.get(r["y"], 0) + r["n"]
+        shown[r["y"]] = shown.get(r["y"], 0) + r["n"] * r["index"]
+    chosen = None
+    for y, n in sorted(sizes.items()):
+        # a cut of the hash range first, so that the exact smallest hashes are sought among few
+        near = train.filter((F.col("y") == y) & (F.pmod(order, F.lit(1 << 32)) <= int(min(1.0, 1.5 * MAX_LABELLED / n) * (1 << 32))))
+        some = near.orderBy(F.pmod(order, F.lit(1 << 32)), "doc_id").limit(MAX_LABELLED)
+        chosen = some if chosen is None else chosen.union(some)
+    chosen = hold(train.limit(0) if chosen is None else chosen, "toxic-chosen")
+
+    def with_terms(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            body, some = pa.array([packed(t) for t in texts], pa.binary()), pa.array([TERM.search(t.lower()) is not None for t in texts])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), body, some], ["doc_id", "h", "body", "some"])
+            some = [TERM.search(t.lower()) is not None for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "y", "h")), pa.array(some)], ["doc_id", "y", "h", "some"])
 
-    # training texts: labelled rows outside the held-out fold, each text once
-    mine = d.filter(F.coalesce(fold("doc_id") != held_out_fold, F.lit(False))).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    train = mine.mapInArrow(pack, "doc_id long, h long, body binary, some boolean").join(lab, F.col("doc_id") == F.col("lid"))
-    train = hold(train.select("doc_id", "h", "body", "some", "y"), "toxic-train")
+    texts = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), "text")
+    known = hold(texts.mapInArrow(with_terms, "doc_id long, y int, h long, some boolean").groupBy("doc_id", "y", "h", "some").agg(F.count("*").alias("rows")), "toxic-known")
 
     def count(batches):
+        seen, n = (Counter(), Counter()), [0.0, 0.0]
         for b in batches:
-            tox, clean, n = Counter(), Counter(), [0, 0]
-            for body, y in zip(b.column("body"), b.column("y").to_pylist()):
-                (tox if y else clean).update(set(terms(zlib.decompress(body.as_py()).decode())))
-                n[y > 0] += 1
-            tox[""], clean[""] = n[1], n[0]
-            names = list(tox.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([tox[t] for t in names], pa.int64()), pa.array([clean[t] for t in names], pa.int64())],
-                ["term", "tox", "clean"],
-            )
-
-    # a text that many rows repeat counts once: the other copies carry no body
-    first = train.groupBy("h", "y").agg(F.first("body").alias("body")).select("body", "y")
-    df = hold(first.mapInArrow(count, "term string, tox long, clean long").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
-              .filter(F.col("tox") >= LEAST), "toxic-terms")
+            for text, y, rows in zip(*(b.column(c).to_pylist() for c in ("text", "y", "rows"))):
+                for t in set(terms(text)):
+                    seen[y][t] += 1 / rows
+                n[y] += 1 / rows
+        seen[0][""], seen[1][""] = n
+        names = list(seen[0].keys() | seen[1].keys())
+        clean, toxic = (pa.array([float(s[t]) for t in names], pa.float64()) for s in seen)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), toxic, clean], ["term", "tox", "clean"])
+
+    # a text that many ids repeat counts once, and its repeated rows count as one
+    hashed = d.withColumn("h", F.xxhash64("text"))
+    once = known.groupBy("h", "y").agg(F.min_by(F.struct("doc_id", "rows"), "doc_id").alias("k")).select("h", "y", "k.doc_id", "k.rows")
+    total = lambda c: F.round(F.sum(c)).cast("long").alias(c)
+    df = hold(
+        hashed.join(F.broadcast(hold(once, "toxic-once")), ["doc_id", "h"]).select("text", "y", "rows")
+        .mapInArrow(count, "term string, tox double, clean double").groupBy("term").agg(total("tox"), total("clean"))
+        .filter((F.col("tox") >= LEAST) | (F.col("term") == "")),
+        "toxic-terms",
+    )
     whole = df.filter("term = ''").first()
     nt, nc = (whole["tox"], max(whole["clean"], 1)) if whole else (0, 1)
     a, b = F.col("tox").cast("double"), F.col("clean").cast("double")
     c, e = F.lit(float(nt)) - a, F.lit(float(nc)) - b
     chi2 = F.lit(float(nt + nc)) * F.pow(a * e - b * c, 2) / ((a + b) * (c + e) * F.lit(float(max(nt, 1))) * F.lit(float(nc)) + F.lit(1e-9))
-    strong = df.filter("term <> ''").withColumn("chi2", chi2).filter((a / max(nt, 1) >= LIFT * (b + 0.5) / nc) & (F.col("chi2") >= CHI2))
-    lexicon = {r["term"]: i for i, r in enumerate(strong.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect())}
+    strong = df.filter("term <> ''").filter((a / max(nt, 1) >= LIFT * (b + 0.5) / nc) & (chi2 >= CHI2))
+    lexicon = {r["term"] for r in strong.select("term").collect()}
 
-    index_fold = next(f for f in range(folds) if f != held_out_fold)
-    shown = train.filter((fold("doc_id") == index_fold) & F.col("some")).groupBy("doc_id", "y").agg(F.min("h").alias("h"))
-    sizes = {r["y"]: r["n"] for r in shown.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = []
+    def as_counts(batches):
+        for b in batches:
+            tfs = [Counter(terms(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("y"), pa.array([[*tf] for tf in tfs], pa.list_(pa.string())), pa.array([[*tf.values()] for tf in tfs], pa.list_(pa.int32()))],
+                ["doc_id", "y", "terms", "counts"],
+            )
+
+    candidates = known.filter((fold("doc_id") == index_fold) & F.col("some")).groupBy("doc_id", "y").agg(F.min("h").alias("h"))
+    examples: dict[int, tuple[int, Counter]] = {}
     for y in sorted(sizes):
-        ids = shown.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).select("doc_id", "h")
-        picked += train.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "y", "body").collect()
-    tfs = [Counter(terms(zlib.decompress(r["body"]).decode())) for r in picked]
-    at = {t: i for i, t in enumerate(sorted(lexicon.keys() | {t for tf in tfs for t in tf}))}
+        ids = candidates.filter(F.col("y") == y).orderBy(order, "doc_id").limit(MAX_EXAMPLES)
+        rows = hashed.join(F.broadcast(hold(ids, "toxic-examples")), ["doc_id", "h"]).select("doc_id", "y", "text")
+        for r in rows.mapInArrow(as_counts, "doc_id long, y int, terms array<string>, counts array<int>").toLocalIterator():
+            examples[r["doc_id"]] = (y, Counter(dict(zip(r["terms"], r["counts"]))))
+    at = {t: i for i, t in enumerate(sorted(lexicon | {t for _, tf in examples.values() for t in tf}))}
     words = spark.sparkContext.broadcast(at)
+    split = hold(d.mapInArrow(in_terms(words), "doc_id long, known binary, rest double"), "toxic-split")
 
-    def frequencies(batches):
-        lex, n = words.value, 0
-        df = np.zeros(len(lex) + 1, np.int64)
-        for b in batches:
-            for x in b.column("text"):
-                df[[lex[t] for t in set(terms(x.as_py())) if t in lex]] += 1
-            df[-1] += b.num_rows
-        t = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(df[t], pa.int64())], ["t", "n"])
-
-    # the place behind the last term counts the documents
     df_all = np.zeros(len(at) + 1, np.int64)
-    for r in d.select("text").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        df_all[r.column("t").to_numpy()] = r.column("n").to_numpy()
+    for b in split.select("known").mapInArrow(frequencies(len(at)), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        df_all[b.column("t").to_numpy()] = b.column("n").to_numpy()
     idf = np.log((df_all[-1] + 1) / (df_all[:-1] + 1)) + 1
     idf[[at[t] for t in lexicon]] *= BOOST
     rare = float(np.log((df_all[-1] + 1) / 2) + 1)
-    taken = Counter(r["y"] for r in picked)
-    index = BlockMaxIndex([r["doc_id"] for r in picked], [unit({at[t]: c for t, c in tf.items()}, idf) for tf in tfs])
-    label = {r["doc_id"]: r["y"] for r in picked}
-    rate = {y: sizes[y] / taken[y] for y in taken}
-    base = nt / max(nt + nc, 1)
-    model = spark.sparkContext.broadcast((index, label, rate, base, idf))
-
-    def votes(batches):
-        idx, y_of, share, prior, weight = model.value
-        lex = words.value
-        seen: dict[bytes, tuple[float, list[int]]] = {}
-        for b in batches:
-            if len(seen) > 100_000:
-                seen.clear()
-            keys, new = [], {}
-            for x in b.column("text"):
-                text = x.as_py()
-                keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
-                if keys[-1] not in seen and keys[-1] not in new:
-                    tf = Counter(terms(text))
-                    mine = {lex[t]: c for t, c in tf.items() if t in lex}
-                    new[keys[-1]] = unit(mine, weight, [c for t, c in tf.items() if t not in lex], rare)
-            todo = list(new)
-            for at_ in range(0, len(todo), 128):
-                part = todo[at_ : at_ + 128]
-                for key, top in zip(part, idx.nearest_many([new[x] for x in part], NEIGHBOURS)):
-                    up, all_ = 0.2 * prior, 0.2
-                    for s, i in top:
-                        y = y_of[int(idx.ids[i])]
-                        v = share[y] * s / (1.05 - min(s, 1.0))
-                        up, all_ = up + v * y, all_ + v
-                    seen[key] = (up / all_, [int(idx.ids[i]) for _, i in top[:3]])
-            raws, near = [seen[x][0] for x in keys], [seen[x][1] for x in keys]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(raws, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "raw", "neighbours"]
-            )
-
-    table = d.select(F.col("doc_id").cast("long"), "text")
-    voted = hold(table.mapInArrow(votes, "doc_id long, raw double, neighbours array<long>"), "toxic-votes")
-    check = voted.join(lab, F.col("doc_id") == F.col("lid")).filter(fold("doc_id") != index_fold)
-    hist = check.groupBy(F.round("raw", 3).alias("x")).agg(F.sum("y").alias("g"), F.count("*").alias("n")).orderBy("x").collect()
-    # the base rate as a weak witness at both ends keeps the rates off 0 and 1 where rows are few
-    x = np.array([0.0, *[r["x"] for r in hist], 1.0])
-    g = np.array([0.0, *[float(r["g"]) for r in hist], 1.0])
-    n = np.array([1.0, *[float(r["n"]) for r in hist], 1.0])
-    x, p = isotonic(x, g, n)
-    spots = F.array(*[F.struct(F.lit(float(u)).alias("x"), F.lit(float(v)).alias("p")) for u, v in zip(x, p)])
-    level = F.element_at(F.filter(spots, lambda s: s["x"] <= F.round("raw", 3)), -1)["p"]
+    ids = sorted(examples)
+    index = BlockMaxIndex(ids, [unit({at[t]: c for t, c in examples[i][1].items()}, idf) for i in ids])
+    taken = Counter(y for y, _ in examples.values())
+    rate = {y: shown[y] / taken[y] for y in taken}
+    base = sizes.get(1, 0) / max(sum(sizes.values()), 1)
+    model = spark.sparkContext.broadcast((index, {i: examples[i][0] for i in ids}, rate, base, idf, rare))
+
+    voted = hold(split.mapInArrow(votes(model), "doc_id long, raw double, neighbours array<long>"), "toxic-votes")
+    level = F.round(F.col("raw") * LEVELS).cast("int")
+    check = voted.select("doc_id", level.alias("x")).join(train.filter(fold("doc_id") != index_fold), "doc_id")
+    hist = check.groupBy("x").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).orderBy("x").collect()
+    p = calibration([r["x"] for r in hist], [float(r["toxic"]) for r in hist], [float(r["n"]) for r in hist])
     return voted.select(
         "doc_id",
         F.coalesce(fold("doc_id") == held_out_fold, F.lit(False)).alias("held_out"),
         "raw",
         # equal calibrated levels keep the order of the votes
-        F.least(F.greatest(level * 0.999 + F.col("raw") * 0.001, F.lit(0.0)), F.lit(1.0)).alias("score"),
+        F.least(F.greatest(F.get(F.lit(p), level) * 0.999 + F.col("raw") * 0.001, F.lit(0.0)), F.lit(1.0)).alias("score"),
         "neighbours",
     )
