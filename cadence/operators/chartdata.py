@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.functions.text import percent_label
+from cadence.functions.text import percent_decimals, percent_label
 from cadence.operators.cube import count_of
 from cadence.operators.joins import broadcast_if_small
 from cadence.operators.lengths import exact_quantiles, lengths_of
@@ -119,7 +119,8 @@ def stack_positions(df: DataFrame, x: list[str], category: str, value: str) -> D
 def ride_share_positions(share: DataFrame) -> DataFrame:
     """Pie-chart positions for ``ride_share_by_member_type``, in rides and as a
     fraction of all rides (fractions = integer positions / total, so they do
-    not depend on summation order)."""
+    not depend on summation order). Labels have as many decimals as tell the
+    shares apart."""
     pos = stack_positions(share, [], "member_casual", "total_rides")
     total = F.sum("total_rides").over(Window.partitionBy())
     return pos.select(
@@ -129,7 +130,7 @@ def ride_share_positions(share: DataFrame) -> DataFrame:
         "ymid",
         (F.col("ymax") / total).alias("ymax_share"),
         (F.col("ymid") / total).alias("ymid_share"),
-        percent_label("proportion").alias("label"),
+        percent_label("proportion", percent_decimals(F.collect_set("proportion").over(Window.partitionBy()))).alias("label"),
     )
 
 
@@ -141,10 +142,12 @@ def distance_vs_length(rides: DataFrame) -> DataFrame:
 def distance_length_bins(rides: DataFrame, distance_step: float = 0.05, minutes_step: float = 5.0) -> DataFrame:
     """Scatter plot at scale: counts on a 2-D grid of (distance, minutes)
     cells per rider type; each cell is named by its lower edges."""
-    d = F.floor(F.col("trip_distance") / F.lit(distance_step)) * F.lit(distance_step)
-    m = F.floor(F.col("ride_length_min") / F.lit(minutes_step)) * F.lit(minutes_step)
-    return rides.groupBy(d.cast("double").alias("distance_bin"), m.cast("double").alias("minutes_bin"), "member_casual").agg(
-        F.count(F.lit(1)).alias("count")
+    # cells are counted by their whole numbers; edges are computed for the few cells
+    cells = rides.groupBy(
+        F.floor(F.col("trip_distance") / F.lit(distance_step)).alias("d"), F.floor(F.col("ride_length_min") / F.lit(minutes_step)).alias("m"), "member_casual"
+    ).agg(F.count(F.lit(1)).alias("count"))
+    return cells.select(
+        (F.col("d") * F.lit(float(distance_step))).alias("distance_bin"), (F.col("m") * F.lit(float(minutes_step))).alias("minutes_bin"), "member_casual", "count"
     )
 
 

@@ -82,3 +82,10 @@ def add_features(df: DataFrame) -> DataFrame:
 def with_column(df: DataFrame, name: str, expr) -> DataFrame:
     """Add or replace one column (``F.expr`` text or a Column)."""
     return df.withColumn(name, F.expr(expr) if isinstance(expr, str) else expr)
+
+
+def drop_column(df: DataFrame, column: str) -> DataFrame:
+    """``df`` without ``column``; a name it does not have is an error, unlike with ``drop``."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column} to drop; there are {df.columns}")
+    return df.select(*[c for c in df.columns if c != column])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cadence.functions.columns import day_label
 from cadence.functions.text import r_format_digits, report_line
-from cadence.operators.cube import count_of, is_cube, max_length, mean_length
+from cadence.operators.cube import count_of, is_cube, length_unit, max_length, mean_length
+from cadence.operators.elapsed import UNITS
 from cadence.schema import RIDE_COLUMNS
 
 
@@ -76,7 +77,10 @@ def day_label_from_index(cleaned: DataFrame) -> DataFrame:
 
 def summary_statistics(cleaned: DataFrame, digits: int = 2) -> DataFrame:
     """Three-row (metric, value) table: mean and max length as text with at
-    least ``digits`` significant digits, and the mode weekday."""
+    least ``digits`` significant digits and their unit (see ``elapsed``), and the
+    mode weekday."""
+    unit = length_unit(cleaned)
+    shown = lambda c: F.concat(r_format_digits(F.col(c) / F.lit(float(UNITS[unit])), digits), F.lit(f" {unit}"))
     # one pass: mean, max and the weekday mode (on rides the deterministic
     # mode takes the lowest index among ties = earliest day, Sunday first)
     row = _length_stats(cleaned).select(
@@ -85,8 +89,8 @@ def summary_statistics(cleaned: DataFrame, digits: int = 2) -> DataFrame:
     return row.select(
         F.inline(
             F.array(
-                F.struct(F.lit(1).alias("i"), F.lit("Mean Ride Length").alias("metric"), r_format_digits("m", digits).alias("value")),
-                F.struct(F.lit(2).alias("i"), F.lit("Max Ride Length").alias("metric"), r_format_digits("x", digits).alias("value")),
+                F.struct(F.lit(1).alias("i"), F.lit("Mean Ride Length").alias("metric"), shown("m").alias("value")),
+                F.struct(F.lit(2).alias("i"), F.lit("Max Ride Length").alias("metric"), shown("x").alias("value")),
                 F.struct(F.lit(3).alias("i"), F.lit("Mode Day of the Week").alias("metric"), F.col("mode_day_of_week").alias("value")),
             )
         )

@@ -2,23 +2,22 @@
 
 Ranks are always taken on aggregated counts (one row per station), never on
 raw rides. Every function taking ``rides`` also accepts the pre-aggregated
-``cube.station_table`` (both station sides counted in one scan). Spark plans ``rank() <= k`` / ``row_number() <= k`` filters with a
-partial ``WindowGroupLimit`` before the shuffle, so each task forwards at most
-k rows (plus ties) per group.
+``cube.station_table`` (both station sides counted in one scan). Ties are kept by a
+cut value (see ``top_with_ties``); ``row_number() <= k`` filters get a partial
+``WindowGroupLimit`` before the shuffle, so each task forwards at most k rows per
+group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators.cube import is_station_table
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def sort_by(df: DataFrame, *specs: str | Column) -> DataFrame:
     """Sort with nulls last in both directions. Plain names sort ascending;
     pass ``F.desc('x')`` (or ``'-x'``) for descending."""
@@ -71,9 +70,20 @@ def popular_end_stations_by_member(rides: DataFrame) -> DataFrame:
 
 def top_with_ties(df: DataFrame, n: int, by: str, partition: list[str] | None = None) -> DataFrame:
     """Rows whose ``by`` value is among the ``n`` largest, ties kept (so the
-    result can exceed ``n`` rows), globally or per ``partition`` group."""
-    w = Window.partitionBy(*(partition or [])).orderBy(F.col(by).desc())
-    return df.withColumn("__rank", F.rank().over(w)).filter(F.col("__rank") <= n).drop("__rank")
+    result can exceed ``n`` rows), globally or per ``partition`` group.
+
+    The ``n``-th largest value is found first, from ``n`` rows a task (and group);
+    rows are kept by comparing with it, where they are. However many rows tie, none
+    are sorted or gathered for their rank.
+    """
+    if not partition:
+        least = df.select(F.col(by).alias("__cut")).orderBy(F.desc("__cut")).limit(n).agg(F.min("__cut").alias("__cut"))
+        return df.filter(F.col(by) >= least.scalar())
+    keys = [f"__k{i}" for i in range(len(partition))]
+    first = head_per_group(df.select(*[F.col(p).alias(k) for p, k in zip(partition, keys)], F.col(by).alias("__cut")), n, keys, [F.desc("__cut")])
+    cuts = first.groupBy(*keys).agg(F.min("__cut").alias("__cut"))
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(k)) for p, k in zip(partition, keys)])
+    return df.join(cuts, same & (F.col(by) >= F.col("__cut")), "left_semi")
 
 
 def head_per_group(df: DataFrame, n: int, partition: list[str], order: list[Column]) -> DataFrame:

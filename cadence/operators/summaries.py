@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators.clean import casual_rides, short_rides
-from cadence.operators.cube import count_of, is_cube, mean_length, short_count
+from cadence.operators.cube import count_of, is_cube, mean_distance, mean_length, short_count
 from cadence.operators.lengths import exact_quantiles, lengths_of, mean_of_lengths
 from cadence.schema import DAY_NAMES, MONTH_ABBREVIATIONS
 
@@ -220,10 +220,9 @@ def ride_repetition(rides: DataFrame, min_rides_exclusive: int = 1) -> DataFrame
     return having(rides, ["ride_id", "member_casual"], "number_of_rides", min_rides_exclusive)
 
 
-def average_trip_distance(rides: DataFrame, digits: int = 6) -> DataFrame:
-    """Mean straight-line distance per rider type, rounded to ``digits`` (the
-    float sum depends on summation order in the last bits)."""
-    return summarize(rides, ["member_casual"], [F.round(F.avg("trip_distance"), digits).alias("average_trip_distance")])
+def average_trip_distance(rides: DataFrame) -> DataFrame:
+    """Mean straight-line distance per rider type (rides or ``ride_cube``)."""
+    return summarize(rides, ["member_casual"], [mean_distance(rides).alias("average_trip_distance")])
 
 
 def station_utilization(rides: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:

@@ -175,8 +175,7 @@ def q_select_columns(spark, sf_dir):
 
 @query("drop_column")
 def q_drop_column(spark, sf_dir):
-    # the fill joins add a helper name column and drop it again
-    return _p(spark, sf_dir).filled_end()
+    return FT.drop_column(_p(spark, sf_dir).complete.select(*_ALL), "ride_length_min")
 
 
 on_cleaned("with_column", lambda c: FT.with_column(c.drop("ride_length_min"), "ride_length_min", "ride_length / 60D").select(*_ALL))
@@ -339,13 +338,13 @@ for _name in [
     "rides_by_month",
     "monthly_ride_count",
     "bike_usage_by_month_type",
+    "average_trip_distance",
 ]:
     on_cube(_name, getattr(S, _name))
 
 for _name in [
     "ride_count_by_location",
     "frequent_casual_riders",
-    "average_trip_distance",
     "ride_repetition",
 ]:
     on_cleaned(_name, getattr(S, _name))

@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
     )
     # ---- projections, filters, predicates
     q["select_columns"] = _q("SELECT end_station_id, start_station_id, end_station_name, start_station_name FROM matched")
-    q["drop_column"] = _q(f"SELECT {_RIDE_COLS} FROM filled_end")
+    q["drop_column"] = _q(f"SELECT {_RIDE_COLS}, {_FEATURE_COLS.replace('ride_length_min, ', '')} FROM complete")
     q["with_column"] = _q(f"SELECT {_RIDE_COLS}, {_FEATURE_COLS} FROM cleaned")
     q["drop_incomplete_rides"] = _q(f"SELECT {_RIDE_COLS} FROM complete_raw")
     q["cleaned_rides_recorded_session"] = _q(
@@ -265,10 +265,18 @@ def oracle_sql() -> dict[str, str]:
     )
     q["summary_statistics"] = _q(
         f"""
-        SELECT 'Mean Ride Length' AS metric, CAST(CAST(round_even(avg(ride_length), 0) AS BIGINT) AS VARCHAR) AS value FROM cleaned
-        UNION ALL SELECT 'Max Ride Length', CAST(CAST(round_even(max(ride_length), 0) AS BIGINT) AS VARCHAR) FROM cleaned
+        SELECT 'Mean Ride Length' AS metric, CAST(CAST(round_even(avg(ride_length) / s, 0) AS BIGINT) AS VARCHAR) || ' ' || u AS value
+        FROM cleaned, unit GROUP BY s, u
+        UNION ALL SELECT 'Max Ride Length', CAST(CAST(round_even(max(ride_length) / s, 0) AS BIGINT) AS VARCHAR) || ' ' || u
+        FROM cleaned, unit GROUP BY s, u
         UNION ALL SELECT 'Mode Day of the Week', (SELECT day_of_week FROM ({mode}))
+        """,
+        # the smallest length of the complete rides decides the unit of the column
         """
+        unit AS (SELECT CASE WHEN least >= 86400 THEN 86400 WHEN least >= 3600 THEN 3600 WHEN least >= 60 THEN 60 ELSE 1 END AS s,
+                        CASE WHEN least >= 86400 THEN 'days' WHEN least >= 3600 THEN 'hours' WHEN least >= 60 THEN 'mins' ELSE 'secs' END AS u
+                 FROM (SELECT min(abs(ride_length)) AS least FROM complete))
+        """,
     )
     # ---- grouped summaries
     q["ride_share_by_member_type"] = _q(
@@ -314,7 +322,8 @@ def oracle_sql() -> dict[str, str]:
         "SELECT ride_id, count(*) AS number_of_rides FROM cleaned WHERE member_casual = 'casual' GROUP BY ride_id HAVING count(*) > 5"
     )
     q["average_trip_distance"] = _q(
-        "SELECT member_casual, round(avg(trip_distance), 6) AS average_trip_distance FROM cleaned GROUP BY member_casual"
+        "SELECT member_casual, CAST(CAST(sum(CAST(floor(trip_distance * steps + 0.5) AS BIGINT)) AS BIGINT) AS DOUBLE) / (count(trip_distance) * steps) "
+        "AS average_trip_distance FROM cleaned, (SELECT CAST(1099511627776 AS DOUBLE) AS steps) GROUP BY member_casual, steps"
     )
     q["ride_repetition"] = _q(
         "SELECT ride_id, member_casual, count(*) AS number_of_rides FROM cleaned GROUP BY ride_id, member_casual HAVING count(*) > 1"
@@ -408,13 +417,23 @@ def oracle_sql() -> dict[str, str]:
     q["percent_label"] = _q(
         """
         SELECT member_casual, total_rides, CAST(ymax AS BIGINT) AS ymax, ymid, ymax / total AS ymax_share, ymid / total AS ymid_share,
-               CAST(CAST(round(total_rides / total * 100.0, 0) AS BIGINT) AS VARCHAR) || '%' AS label
-        FROM (SELECT *, ymax - total_rides / 2.0 AS ymid FROM (
+               printf('%.' || CAST(CASE WHEN k IS NULL THEN 0 WHEN zeros THEN greatest(k - 1, 0) ELSE greatest(k, 0) END AS INTEGER) || 'f',
+                      total_rides / total * 100.0::DOUBLE) || '%' AS label
+        FROM stacked, decimals
+        """,
+        """
+        stacked AS (
+          SELECT *, ymax - total_rides / 2.0 AS ymid FROM (
               SELECT *, sum(total_rides) OVER (ORDER BY member_casual DESC NULLS FIRST
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ymax,
                      sum(total_rides) OVER () AS total
-              FROM (SELECT member_casual, count(*) AS total_rides FROM cleaned GROUP BY member_casual)))
-        """
+              FROM (SELECT member_casual, count(*) AS total_rides FROM cleaned GROUP BY member_casual))
+        ),
+        percents AS (SELECT DISTINCT total_rides / total * 100.0::DOUBLE AS x FROM stacked),
+        gaps AS (SELECT min(x - before) AS gap FROM (SELECT x, lag(x) OVER (ORDER BY x) AS before FROM percents)),
+        exponent AS (SELECT CASE WHEN gap >= 1.5e-8 THEN 1 - floor(log10(gap)) END AS k FROM gaps),
+        decimals AS (SELECT k, bool_and(round_even(x * pow(10, k), 0) % 10 = 0) AS zeros FROM percents, exponent GROUP BY k)
+        """,
     )
     q["distance_vs_length"] = _q("SELECT trip_distance, ride_length_min, member_casual FROM cleaned")
     q["distance_length_bins"] = _q(

@@ -19,12 +19,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators import clean as K
 from cadence.operators.chartdata import quartiles
 from cadence.operators.cube import cube_of, ride_cube, station_table, stations_of, summary_tables
+from cadence.operators.elapsed import unit_for, with_unit
 from cadence.operators.features import add_features
 from cadence.operators.joins import broadcast_if_small, max_broadcast_rows
 from cadence.operators.lengths import length_table
@@ -205,7 +206,10 @@ def prepare_rides(
         )
     complete = add_features(K.drop_incomplete_rides(prep.filled()))
     if persist:
-        complete = materialize(complete, "complete_rides")
+        # the smallest length decides the unit lengths are shown in; it is found while the rides are written
+        least = Observation()
+        complete = materialize(complete.observe(least, F.min(F.abs("ride_length")).alias("least")), "complete_rides")
+        complete = with_unit(complete, "ride_length", unit_for(least.get["least"]))
     prep.complete = complete
     return prep
 

@@ -70,7 +70,7 @@ def test_mode_tie_goes_to_earlier_day(spark):
     df = add_features(edge_frame(spark, rows))
     assert Q.mode_day_of_week(df).first()[0] == "Sunday"
     stats = {r.metric: r.value for r in Q.summary_statistics(df).collect()}
-    assert stats == {"Mean Ride Length": "100", "Max Ride Length": "100", "Mode Day of the Week": "Sunday"}
+    assert stats == {"Mean Ride Length": "100 secs", "Max Ride Length": "100 secs", "Mode Day of the Week": "Sunday"}
 
 
 def test_invariants_on_generated_rides(spark):
