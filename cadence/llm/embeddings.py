@@ -7,7 +7,9 @@ keeps within the budget of at least one block. Per block a grid over its first
 coordinates is range-joined: a vector is stored in its own cell and looks into
 the cells that the ball of its budget reaches. The union of the candidates of
 all blocks is verified on the given vectors in double precision; a pair is
-counted in its first block within budget only.
+counted in its first block within budget only. A vector looks only into cells
+behind its own, since the other vector of a pair does the same, and travels in
+single precision where that holds it exactly.
 
 Equal vectors of one label are one class, joined once and expanded by counts.
 Cells with many vectors are dealt out as a grid of chunks, so no task holds
@@ -15,8 +17,8 @@ more than a bounded part of a cell. A task gives link counts and a spanning
 forest of its links, never all pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components
-and vectors without a label have no links and are their own component; vectors
-of different lengths never link; repeated rows are one vector; a null id is
+and vectors without a label have no links and are their own component; labels of
+any type are compared as they print; vectors of different lengths never link; repeated rows are one vector; a null id is
 ordered last; an empty table gives an empty result.
 """
 
@@ -29,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadence.llm.common import NULL_ID, connected_components, hold, pick, ship
+from cadence.llm.common import NULL_ID, connected_components, hold, pick, ship, small_side
 
 GRID = 3
 #: Cell width in radii of a block's budget.
@@ -65,28 +67,30 @@ def budgets(dim: int, cosine: float) -> list[float]:
 
 
 def cell_ids(y: np.ndarray, cosine: float, look: bool):
-    """``(row, block, cell)``: own cells, or with ``look`` all cells in reach."""
+    """``(row, block, cell)``: own cells, or with ``look`` all cells in reach behind the own one."""
     dim = y.shape[1]
     rows, bs, cells = [], [], []
     for b, ((lo, hi), budget) in enumerate(zip(blocks(dim), budgets(dim, cosine))):
         r = np.sqrt(budget)
         z = y[:, lo : min(hi, lo + GRID)]
         at = np.arange(len(y))
-        name = np.zeros(len(y), np.int64)
+        name, own = np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
         for g in range(z.shape[1]):
+            own = own * 4096 + np.floor(z[:, g] / (CELL * r)).astype(np.int64) + 2048
             low = np.floor((z[at, g] - (r if look else 0)) / (CELL * r)).astype(np.int64)
             high = np.floor((z[at, g] + (r if look else 0)) / (CELL * r)).astype(np.int64)
             more = high > low  # a ball is narrower than a cell: two cells at most
             at = np.concatenate([at, at[more]])
             step = np.concatenate([low, high[more]])
             name = np.concatenate([name, name[more]]) * 4096 + step + 2048
-        rows.append(at)
-        bs.append(np.full(len(at), b, np.int32))
-        cells.append(name)
+        keep = name > own[at] if look else np.ones(len(at), bool)
+        rows.append(at[keep])
+        bs.append(np.full(keep.sum(), b, np.int32))
+        cells.append(name[keep])
     return np.concatenate(rows), np.concatenate(bs), np.concatenate(cells)
 
 
-PLACED = "label long, dim int, block int, cell long, probe boolean, cid long, n long, vec binary"
+PLACED = "label string, dim int, block int, cell long, probe boolean, cid long, n long, vec binary"
 
 
 def place(cosine: float, light: bool):
@@ -94,31 +98,33 @@ def place(cosine: float, light: bool):
 
     def run(batches):
         for b in batches:
-            col = b.column("vec")
-            values = [np.asarray(v, np.float64) for v in col.to_pylist()]
+            values = [np.asarray(v, np.float64) for v in b.column("vec").to_pylist()]
             dims = np.array([len(v) for v in values], np.int64)
-            cid, n, label = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "n", "label"))
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.stack([values[i] for i in at])
                 y = rotated(x)
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                raw = [(f if (f == v).all() else v).tobytes() for f, v in zip(short, x)]
                 for probe in (False,) if light else (False, True):
                     r, blk, cell = cell_ids(y, cosine, probe)
-                    who = at[r]
-                    raw = [v.tobytes() for v in x]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(label[who]),
-                            pa.array(np.full(len(r), dim, np.int32)),
-                            pa.array(blk),
-                            pa.array(cell),
-                            pa.array(np.full(len(r), probe)),
-                            pa.array(cid[who]),
-                            pa.array(n[who]),
-                            pa.array([b""] * len(r) if light else [raw[i] for i in r], pa.binary()),
-                        ],
-                        ["label", "dim", "block", "cell", "probe", "cid", "n", "vec"],
-                    )
+                    for i in range(0, len(r), 20_000):
+                        ri = r[i : i + 20_000]
+                        who = pa.array(at[ri])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                b.column("label").take(who),
+                                pa.array(np.full(len(ri), dim, np.int32)),
+                                pa.array(blk[i : i + 20_000]),
+                                pa.array(cell[i : i + 20_000]),
+                                pa.array(np.full(len(ri), probe)),
+                                b.column("cid").take(who),
+                                b.column("n").take(who),
+                                pa.array([b""] * len(ri) if light else [raw[k] for k in ri], pa.binary()),
+                            ],
+                            ["label", "dim", "block", "cell", "probe", "cid", "n", "vec"],
+                        )
 
     return run
 
@@ -134,7 +140,7 @@ def link_cells(cosine: float):
         names = g[["cell", "sp", "sq"]].to_numpy(np.int64)
         order = np.lexsort((names[:, 2], names[:, 1], names[:, 0]))
         cut = np.flatnonzero(np.r_[True, (np.diff(names[order], axis=0) != 0).any(axis=1)])
-        found = [one(int(key[2]), g.iloc[order[a:b]]) for a, b in zip(cut, np.append(cut[1:], len(order)))]
+        found = [one(int(key[1]), int(key[2]), g.iloc[order[a:b]]) for a, b in zip(cut, np.append(cut[1:], len(order)))]
         return pd.concat([EMPTY, *(f for f in found if len(f))], ignore_index=True)
 
     return run
@@ -143,18 +149,18 @@ def link_cells(cosine: float):
 def link_cell(cosine: float):
     """Links of one cell, or of a pair of its chunks."""
 
-    def run(b: int, g: pd.DataFrame) -> pd.DataFrame:
+    def run(dim: int, b: int, g: pd.DataFrame) -> pd.DataFrame:
         empty = EMPTY
-        probe = g["probe"].to_numpy(bool)
-        if probe.all() or not probe.any():
+        # what a row does here (0 is stored, 1 asks, 2 both), and whether it comes from another cell
+        role, probe = g["role"].to_numpy(np.int64), g["probe"].to_numpy(bool)
+        stored, asks = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        if not len(stored) or not len(asks) or len(g) < 2:
             return empty
-        x = np.stack([np.frombuffer(v, np.float64) for v in g["vec"]])
+        x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in g["vec"]]).astype(np.float64)
         y = rotated(x)
         cid, n = g["cid"].to_numpy(np.int64), g["n"].to_numpy(np.int64)
-        dim = x.shape[1]
         cut, most = blocks(dim), budgets(dim, cosine)
         lo, hi = cut[b]
-        stored, asks = np.flatnonzero(~probe), np.flatnonzero(probe)
         norm = np.sqrt((x * x).sum(axis=1))
         left, right = [], []
         sy = y[stored, lo:hi]
@@ -162,7 +168,8 @@ def link_cell(cosine: float):
             q = asks[i : i + 512]
             qy = y[q, lo:hi]
             d2 = (qy * qy).sum(axis=1)[:, None] + (sy * sy).sum(axis=1)[None, :] - 2 * qy @ sy.T
-            a, s = np.nonzero((d2 <= most[b] + 1e-6) & (cid[q][:, None] < cid[stored][None, :]))
+            # of two vectors of one cell both ask: the smaller one counts
+            a, s = np.nonzero((d2 <= most[b] + 1e-6) & (probe[q][:, None] | (cid[q][:, None] < cid[stored][None, :])))
             a, s = q[a], stored[s]
             for j in range(0, len(a), 1 << 16):
                 a1, s1 = a[j : j + (1 << 16)], s[j : j + (1 << 16)]
@@ -206,7 +213,7 @@ def near_vectors(
     ship(spark)
     v = pick(vectors, id_col, vec_col, label_col).toDF("id", "vec", "label")
     v = v.select(
-        F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("vid"), F.col("vec").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label")
+        F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("vid"), F.col("vec").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label")
     )
     finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda c: c != 0)
@@ -222,17 +229,18 @@ def near_vectors(
         .select(*cells, F.ceil(F.col("c") / F.lit(CHUNK)).cast("int").alias("s"))
     )
     placed = classes.mapInArrow(place(cosine, False), PLACED)
-    dealt = placed.join(crowded, cells, "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    # crowded cells are few (rows / CHUNK a block at most), so the placed rows mostly travel once, to their cells
+    dealt = placed.join(small_side(hold(crowded, "vec-crowded")), cells, "left").withColumn("s", F.coalesce("s", F.lit(1)))
     mine = F.pmod(F.xxhash64("cid"), F.col("s")).cast("int")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    dealt = dealt.withColumn("sp", F.when(F.col("probe"), F.col("other")).otherwise(mine)).withColumn(
-        "sq", F.when(F.col("probe"), mine).otherwise(F.col("other"))
-    )
+    roles = F.when(F.col("probe"), F.array(F.lit(1))).when(F.col("s") == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    dealt = dealt.withColumn("role", F.explode(roles)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    asking = F.col("role") == 1
+    dealt = dealt.withColumn("sp", F.when(asking, F.col("other")).otherwise(mine)).withColumn("sq", F.when(asking, mine).otherwise(F.col("other")))
     # small cells share a task group; a group stays at some thousand rows as the input grows
     handfuls = max(1, classes.count() // CHUNK)
     dealt = dealt.withColumn("handful", F.pmod(F.xxhash64("cell", "sp", "sq"), F.lit(handfuls)))
     local = hold(
-        dealt.select(*cells, "handful", "sp", "sq", "probe", "cid", "n", "vec")
+        dealt.select(*cells, "handful", "sp", "sq", "role", "probe", "cid", "n", "vec")
         .groupBy("label", "dim", "block", "handful")
         .applyInPandas(link_cells(cosine), "cid long, root long, links long"),
         "vec-links",
