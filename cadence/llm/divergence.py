@@ -38,8 +38,8 @@ from cadence.llm.textnp import BASES, U, mix, text_bytes, word_hashes, words
 SCALE = 1_000_000_000
 #: Bytes of text that a counting task looks at together, and terms it holds at most before it hands them on.
 CHUNK, HELD = 8 << 20, 1_500_000
-#: Places (terms x sources) of a block of the pair sums.
-PLACES = 2_000_000
+#: Places (terms x sources) of a block of the pair sums, at least so many times its pairs.
+PLACES, OVER_PAIRS = 200_000, 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -211,7 +211,8 @@ class Audit:
 
     def pairs(self) -> DataFrame:
         """``(lang, source, item, value, rank)``: every other source of the language."""
-        places = F.ceil(F.count("*") * F.max("v") / F.lit(float(PLACES))).cast("int")
+        n = F.count("*")
+        places = F.ceil(n * F.max("v") / F.greatest(F.lit(float(PLACES)), n * n * F.lit(float(OVER_PAIRS)))).cast("int")
         blocks = small_side(hold(self.groups.groupBy("lang").agg(F.greatest(F.lit(1), places).alias("blocks")), "audit-blocks"))
         no_long = F.lit(0).cast("long")
         head = (

@@ -137,6 +137,8 @@ class LineIndex:
     filters: DataFrame
     shards: int
     min_chars: int = 10
+    #: Nothing was inserted yet.
+    blank: bool = False
 
     @staticmethod
     def empty(spark: SparkSession, shards: int, min_chars: int = 10) -> "LineIndex":
@@ -146,12 +148,17 @@ class LineIndex:
             spark.createDataFrame([], "shard int, cells binary"),
             shards,
             min_chars,
+            True,
         )
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> "LineIndex":
-        """The index after adding documents that it does not hold yet."""
+        """The index after adding documents; those that it holds already (same id,
+        same text) change nothing."""
+        new = keyed(docs, id_col, text_col)
+        if not self.blank:
+            new = new.join(self.refs.select("did", "dh").distinct(), ["did", "dh"], "left_anti")
         fresh = hold(
-            doc_lines(keyed(docs, id_col, text_col), self.min_chars)
+            doc_lines(new, self.min_chars)
             .groupBy("key", "did", "dh")
             .agg(F.collect_set("at").alias("ats")),
             "line-refs",
@@ -194,7 +201,7 @@ class LineIndex:
         if not full.isEmpty():
             # some filters are full: at most one row a shard names them
             filters = hold(filters.union(self._rebuilt(counts, full)), "line-filters")
-        return replace(self, refs=self.refs.union(fresh), counts=counts, filters=filters)
+        return replace(self, refs=self.refs.union(fresh), counts=counts, filters=filters, blank=False)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> "LineIndex":
         """The index as if the documents with these ids had never been inserted."""

@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from hashlib import blake2b
 
 import ahocorasick
 import pyarrow as pa
@@ -336,7 +337,19 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_READY: dict[int, Encoder] = {}
+_READY: dict[str, Encoder] = {}
+
+
+def ready(digest: str, tables) -> Encoder:
+    """The worker's encoder of a model, kept with its word cache from task to task.
+
+    Tasks get functions defined inside others by value, with empty copies of what
+    these name; this one they import, so its dictionary is the worker's own.
+    """
+    if digest not in _READY:
+        _READY.clear()
+        _READY[digest] = Encoder(tables.value)
+    return _READY[digest]
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,13 +357,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     ship(spark)
     tables = spark.sparkContext.broadcast(load(model_path))
+    with open(model_path, "rb") as f:
+        digest = blake2b(f.read()).hexdigest()
 
     def run(batches):
-        key = tables.id if hasattr(tables, "id") else 0
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Encoder(tables.value)
-        enc = _READY[key]
+        enc = ready(digest, tables)
         for b in batches:
             texts, ident = b.column("text"), b.column("doc_id")
             i, n = 0, b.num_rows

@@ -1,15 +1,17 @@
 """Substring dedup by Rabin-Karp windows of words.
 
-Every window of ``size`` consecutive words of a document gets a rolling 64-bit
-hash. Inside a task a repeated window keeps its earliest place only (a window
+Every window of ``size`` consecutive words of a document gets two rolling 64-bit
+hashes. Inside a task a repeated window keeps its earliest place only (a window
 that a third of all documents hold costs one entry a chunk); what is left is
-packed by the leading byte(s) of the hash and compared per bucket. The earliest
-place of a hash stays, all other windows go; their words, merged into maximal
-intervals, are removed.
+packed by the leading bits of the second hash and compared per bucket. The
+earliest place of a window stays, all other windows go; their words, merged into
+maximal intervals, are removed.
 
-Buckets grow in number with the shuffle width, so a bucket stays within a
-task's memory at any size. Two windows are taken as equal if their 64 bits are:
-for N windows about N**2 / 2**65 pairs agree by chance.
+Buckets (and document groups) follow the counted bytes of the input, one for
+``BUCKET_BYTES`` of text, so a bucket stays within a task's memory at any size. Two
+windows are taken as equal if the whole first hash, the bucket's ``b`` bits and
+eight further bits of the second hash are: among N windows about
+``N**2 / 2**(73 + b)`` pairs agree by chance (100 TB, N = 1e13 and b = 23: 0.0013).
 
 Defined cases: a null, empty or blank text has no words; fewer words than a
 window leave the text whole; repeated rows (same id and text) are one document
@@ -27,18 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cadence.llm.common import ship, single_key, width
-from cadence.llm.textnp import BASES, U, chunks, merged, packed, rolling, text_bytes, word_hashes, words
+from cadence.llm.textnp import BASES, U, chunks, merged, mix, packed, rolling, text_bytes, word_hashes, words
 
 CHUNK = 6 << 20
+BUCKET_BYTES = 16 << 20
 PACKED = "bucket int, n int, hashes binary, places binary, keys binary, counts binary"
 
 
-def window_hashes(off: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window inside one document, and the windows per document."""
+def window_hashes(off: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of every window inside one document, and the windows per document."""
     s, e, first = words(off, data)
-    h = rolling(word_hashes(data, s, e), size, BASES[0])
+    w = word_hashes(data, s, e)
     per = np.maximum(first[1:] - first[:-1] - size + 1, 0)
-    return h[places(first[:-1], per)], per
+    at = places(first[:-1], per)
+    return rolling(w, size, BASES[0])[at], rolling(mix(w), size, BASES[1])[at], per
 
 
 def places(begin: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -47,9 +51,23 @@ def places(begin: np.ndarray, per: np.ndarray) -> np.ndarray:
     return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - total + per, per)
 
 
-def bucket_bytes(partitions: int) -> int:
-    """Leading hash bytes that name a bucket: at least as many buckets as tasks."""
-    return 1 if partitions <= 256 else 2 if partitions <= 1 << 16 else 3
+def bucket_bits(text_bytes_: int, partitions: int) -> int:
+    """Leading bits of the second hash that name a bucket: a bucket for ``BUCKET_BYTES``
+    of text, at least as many as tasks, and 256."""
+    return max(8, (max(partitions, -(-text_bytes_ // BUCKET_BYTES)) - 1).bit_length())
+
+
+def grouped(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by ``(h, check)``, places as they come, and where a new pair begins."""
+    order = np.argsort(h, kind="stable")
+    hs, cs = h[order], check[order]
+    new = np.ones(len(h), bool)
+    new[1:] = hs[1:] != hs[:-1]
+    if (~new[1:] & (cs[1:] != cs[:-1])).any():
+        order = np.lexsort((check, h))
+        hs, cs = h[order], check[order]
+        new[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
+    return order, new
 
 
 def ascending(x: np.ndarray) -> bytes:
@@ -70,38 +88,39 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def scan(size: int, lead: int):
+def scan(size: int, bits: int):
     """Chunks of documents to packed rows: windows by bucket, and (``n`` negative)
     places already known to be later ones."""
-    buckets = 1 << (8 * lead)
+    buckets = 1 << bits
 
     def run(batches):
         for key, _, off, data in chunks(batches, CHUNK):
-            h, per = window_hashes(off, data, size)
+            h, g, per = window_hashes(off, data, size)
             if not len(h):
                 continue
             # documents that repeat a row before them are left to it
             doc = np.repeat(np.arange(len(key)), per)
             at = places(np.zeros(len(per), np.int64), per)
-            order = np.argsort(h, kind="stable")
-            hs = h[order]
-            new = np.ones(len(hs), bool)
-            new[1:] = hs[1:] != hs[:-1]
-            head = order[np.maximum.accumulate(np.where(new, np.arange(len(hs)), 0))]
+            order, new = grouped(h, g)
+            head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
             late = order[(key[doc[head]] != key[doc[order]]) | (at[head] != at[order])]
             if len(late):
                 late.sort()
                 k = key[doc[late]].astype("<i8")
                 yield _batch([(int(k[0]) % buckets, -len(late), b"", at[late].astype("<u4").tobytes(), k.tobytes(), b"")])
             keep = order[new]
-            edges = np.searchsorted(h[keep] >> U(64 - 8 * lead), np.arange(buckets + 1, dtype=U))
+            bucket = (g[keep] >> U(64 - bits)).astype(np.uint32 if bits > 16 else np.uint16)
+            by = np.argsort(bucket, kind="stable")
+            keep, bucket = keep[by], bucket[by]
+            full_at = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + 1))
+            ends = np.append(full_at[1:], len(bucket))
             full = np.flatnonzero(per)
             rank = np.zeros(len(key), np.int64)
             rank[full] = np.arange(len(full))
             rows = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                x = np.sort(keep[edges[b] : edges[b + 1]])
-                body = np.ascontiguousarray(h[x].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - lead]).tobytes()
+            for b, i, j in zip(bucket[full_at].tolist(), full_at.tolist(), ends.tolist()):
+                x = np.sort(keep[i:j])
+                body = h[x].astype("<u8").tobytes() + (g[x] >> U(56 - bits)).astype(np.uint8).tobytes()
                 d = doc[x]
                 held = np.flatnonzero(np.diff(d, prepend=-1))  # first window of each document in this bucket
                 counts = np.diff(held, append=len(x)).astype("<u4")
@@ -126,43 +145,39 @@ def from_ascending_keys(raw: bytes) -> np.ndarray:
     return np.concatenate([[first], first + from_ascending(raw[16:], int(n) - 1)])
 
 
-def unpack(b: int, lead: int, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: hash, key and place of its windows; key and place of known later ones."""
-    hs, ks, ats, lk, la = [], [], [], [], []
+def unpack(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Of one bucket: hash, check bits, key and place of its windows; key and place of known later ones."""
+    hs, cs, ks, ats, lk, la = [], [], [], [], [], []
     for n, hashes, place, keys, counts in zip(g["n"], g["hashes"], g["places"], g["keys"], g["counts"]):
         if n < 0:
             lk.append(np.frombuffer(keys, "<i8"))
             la.append(np.frombuffer(place, "<u4"))
             continue
-        raw = np.zeros((n, 8), np.uint8)
-        raw[:, : 8 - lead] = np.frombuffer(hashes, np.uint8).reshape(n, 8 - lead)
-        hs.append(raw.view("<u8").ravel())
+        hs.append(np.frombuffer(hashes, "<u8", n))
+        cs.append(np.frombuffer(hashes, np.uint8, offset=8 * n))
         k = from_ascending_keys(keys)
         c = np.frombuffer(counts, np.uint8, len(k)).astype(np.int64)
         c[c == 255] = np.frombuffer(counts, "<u4", offset=len(k))
         ks.append(np.repeat(k, c))
         ats.append(np.frombuffer(place, "<u2" if len(place) == 2 * n else "<u4").astype(np.uint32))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return cat(hs, U), cat(ks, np.int64), cat(ats, np.uint32), cat(lk, np.int64), cat(la, np.uint32)
+    return cat(hs, U), cat(cs, np.uint8), cat(ks, np.int64), cat(ats, np.uint32), cat(lk, np.int64), cat(la, np.uint32)
 
 
-def later_windows(lead: int, parts: int):
+def later_windows(parts: int):
     """Bucket rows to the places of windows that also start earlier, packed by document group."""
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        h, k, at, late_k, late_at = unpack(int(key[0]), lead, g)
+    def run(_, g: pd.DataFrame) -> pd.DataFrame:
+        h, c, k, at, late_k, late_at = unpack(g)
         if len(h):
-            o = np.argsort(h, kind="stable")
-            hs = h[o]
-            same = hs[1:] == hs[:-1]
-            dup = np.zeros(len(h), bool)
-            dup[1:] |= same
-            dup[:-1] |= same
+            o, new = grouped(h, c)
+            dup = ~new
+            dup[:-1] |= ~new[1:]
             o = o[dup]
-            o = o[np.lexsort((at[o], k[o], h[o]))]
-            hs, kk, aa = h[o], k[o], at[o]
+            o = o[np.lexsort((at[o], k[o], c[o], h[o]))]
+            hs, cc, kk, aa = h[o], c[o], k[o], at[o]
             new = np.ones(len(o), bool)
-            new[1:] = hs[1:] != hs[:-1]
+            new[1:] = (hs[1:] != hs[:-1]) | (cc[1:] != cc[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
             later = (kk != kk[head]) | (aa != aa[head])
             late_k, late_at = np.concatenate([late_k, kk[later]]), np.concatenate([late_at, aa[later]])
@@ -204,10 +219,12 @@ def removed_runs(docs: DataFrame, size: int = 20) -> DataFrame:
     """``(rkey, runs)``: per document that loses words the maximal word intervals."""
     spark = docs.sparkSession
     ship(spark)
-    parts = width(spark)
-    lead = bucket_bytes(parts)
-    rows = docs.mapInArrow(scan(size, lead), PACKED)
-    late = rows.groupBy("bucket").applyInPandas(later_windows(lead, parts), "part int, keys binary, places binary")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bucket_bits(total, width(spark))
+    # a document loses most of its words at worst: groups as many as buckets hold them
+    parts = max(width(spark), -(-total // BUCKET_BYTES))
+    rows = docs.mapInArrow(scan(size, bits), PACKED)
+    late = rows.groupBy("bucket").applyInPandas(later_windows(parts), "part int, keys binary, places binary")
     return late.groupBy("part").applyInPandas(document_runs(size), "rkey long, runs binary")
 
 

@@ -74,6 +74,7 @@ def test_many_blocks_and_flushes_give_the_same(spark, monkeypatch):
     rows = made()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     monkeypatch.setattr(divergence, "PLACES", 6)
+    monkeypatch.setattr(divergence, "OVER_PAIRS", 0)
     monkeypatch.setattr(divergence, "small_side", lambda t: t)
     assert got(audit_sources(docs)) == brute(rows)
 
