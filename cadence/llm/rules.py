@@ -5,7 +5,10 @@ Everything is DataFrame functions over one row; nothing is shuffled.
 
 Defined cases: a null or blank text has no words and is rejected by the base
 rule (fewer than 20 words); repeated rows are judged alike; lines without a
-word are neutral: never counted as removed, dropped only at the ends.
+word are neutral: never counted as removed, and kept where they are.
+
+The phrases of the boilerplate rule are English; texts in other languages meet
+the punctuation and navigation rules only.
 """
 
 from __future__ import annotations
@@ -118,9 +121,8 @@ def base_failed() -> Column:
 
 def judge(docs: DataFrame, text: Column, max_lost_percent: int = 40) -> DataFrame:
     """``with_base`` plus the verdict: ``qr_base_failed``, ``qr_lost_chars`` and
-    ``qr_kept``. A document goes if the base rule fails, if nearly all its lines
-    repeat, or if its removed lines hold more than ``max_lost_percent`` of its
-    characters."""
+    ``qr_kept``. A document goes if the base rule fails or if its removed lines
+    hold more than ``max_lost_percent`` of its characters."""
     d = with_base(docs, text)
     d = d.withColumn("qr_lost_lines", F.filter("qr_lines", bad_line))
     d = d.withColumn("qr_lost_chars", chars(F.col("qr_lost_lines"))).withColumn("qr_all_chars", chars(F.col("qr_lines")))

@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadence.llm.common import hold, ship, single_key, width
+from cadence.llm.common import hold, ship, single_key, small_side, width
 from cadence.llm.textnp import BASES, U, chunks, merged, mix
 from cadence.llm.windows import pack_texts, places
 
@@ -299,13 +299,15 @@ def dedup_suffixes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
         unique = flat.dropDuplicates(["key"])
     every = unique.mapInArrow(entries(size), ENTRIES)
     twice = every.groupBy("ah").agg(F.count("*").alias("c"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).filter("c > 1")
-    found = hold(every.join(twice.select("ah", (F.col("c1") != F.col("c2")).alias("mixed")), "ah"), "suffix-anchors")
+    # written first: a join between two plain exchanges lets Spark split the entries of a hot anchor over many tasks
+    twice = hold(twice.select("ah", (F.col("c1") != F.col("c2")).alias("mixed")), "suffix-twice")
+    found = hold(every.join(twice, "ah"), "suffix-anchors")
     mixed = found.filter("mixed")
     classes = hold(mixed.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min(F.struct("key", "pos")).alias("first")), "suffix-classes")
-    hot = classes.groupBy("ah").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("ah", F.lit(True).alias("hot"))
+    hot = hold(classes.groupBy("ah").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("ah", F.lit(True).alias("hot")), "suffix-hot")
     judged = (
         mixed.join(classes, ["ah", "ch"])
-        .join(hot, "ah", "left")
+        .join(small_side(hot), "ah", "left")
         .select(
             "key",
             "pos",
