@@ -1,6 +1,13 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing of
 sources, SentencePiece encoding. Each stage works on all that its predecessor
-kept; all but the last return the columns of ``documents``."""
+kept; all but the last return the columns of ``documents``.
+
+Defined cases: a null, empty or blank text has fewer words than the quality rules
+ask for, so its document goes in the first stage; repeated rows are judged and
+shortened alike and are one document from the near-dedup on; rows with a null id
+stay rows with a null id; a null source is a source of its own; an empty table
+gives an empty result; further columns travel along up to the last stage.
+"""
 
 from __future__ import annotations
 
