@@ -31,7 +31,7 @@ from cadence.operators.joins import broadcast_if_small, max_broadcast_rows
 from cadence.operators.lengths import length_table
 from cadence.operators.summaries import station_utilization
 from cadence.sources.events import load_rides
-from cadence.sources.store import materialize
+from cadence.sources.store import delete_table, materialize
 
 
 # tables derived from the cleaned rides, dropped when those change
@@ -99,17 +99,25 @@ class PreparedRides:
         )
 
     def release(self) -> None:
-        """Drop the cached lookups (the written tables stay in the shared folder)."""
+        """Drop the cached lookups and delete the tables written for this input, its
+        variants' included. The prepared rides cannot be used afterwards; ``prepared``
+        builds them anew."""
         for df in self.extras.get("cached", ()):
             df.unpersist()
+        written = self.extras.get("written", [])
+        for key in [k for k, p in _CACHE.items() if p.extras.get("written") is written]:
+            del _CACHE[key]
+        while written:
+            delete_table(self.raw.sparkSession, written.pop())
 
     def _summary_tables(self) -> None:
         # one grouping-sets scan of the cleaned rides gives both small tables;
         # written (materialised state) or left lazy
         if self.extras.get("materialized"):
-            tables = materialize(summary_tables(self.cleaned), "summary_tables")
-            self.extras["cube"] = materialize(cube_of(tables), "ride_cube")
-            self.extras["stations"] = materialize(stations_of(tables), "station_table")
+            keep = lambda df, name: materialize(df, name, written=self.extras["written"])
+            tables = keep(summary_tables(self.cleaned), "summary_tables")
+            self.extras["cube"] = keep(cube_of(tables), "ride_cube")
+            self.extras["stations"] = keep(stations_of(tables), "station_table")
         else:
             self.extras["cube"] = ride_cube(self.cleaned)
             self.extras["stations"] = station_table(self.cleaned)
@@ -132,7 +140,7 @@ class PreparedRides:
     def _kept(self, name: str, build) -> DataFrame:
         if self.extras.get(name) is None:
             df = build()
-            self.extras[name] = materialize(df, name) if self.extras.get("materialized") else df
+            self.extras[name] = materialize(df, name, written=self.extras["written"]) if self.extras.get("materialized") else df
         return self.extras[name]
 
     @property
@@ -173,9 +181,10 @@ def prepare_rides(
     """
     if persist:
         rides = spread_if_few_partitions(rides)
-        start_ids = broadcast_if_small(materialize(K.start_station_ids(rides), "start_station_ids"))
+        written: list[str] = []
+        start_ids = broadcast_if_small(materialize(K.start_station_ids(rides), "start_station_ids", written=written))
         matched = K.matched_rides(rides, start_ids)
-        names = materialize(K.station_names(matched), "station_names")
+        names = materialize(K.station_names(matched), "station_names", written=written)
         firsts = K.first_names(names).persist(StorageLevel.MEMORY_AND_DISK)
         # one small job counts rows and ties per side
         stats = {
@@ -184,14 +193,14 @@ def prepare_rides(
         }
         cached = [firsts]
         if any(n_tied for _, n_tied in stats.values()):
-            tied = materialize(K.tied_names(names, firsts), "tied_names")
-            breaks = materialize(K.name_tiebreaks(matched, broadcast_if_small(tied)), "name_tiebreaks")
+            tied = materialize(K.tied_names(names, firsts), "tied_names", written=written)
+            breaks = materialize(K.name_tiebreaks(matched, broadcast_if_small(tied)), "name_tiebreaks", written=written)
             firsts = K.resolve_ties(firsts, breaks).persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(firsts)
         prep = PreparedRides(
             rides, start_ids, names, K.end_station_lookup_clean(firsts), K.start_station_lookup_clean(firsts), rides, min_seconds, fill_start
         )
-        prep.extras |= {"materialized": True, "firsts": firsts, "cached": cached}
+        prep.extras |= {"materialized": True, "firsts": firsts, "cached": cached, "written": written}
         bound = max_broadcast_rows(rides)
         prep.end_join = F.broadcast(prep.end_lookup) if stats.get("end", (0, 0))[0] <= bound else prep.end_lookup
         if fill_start:
@@ -208,7 +217,7 @@ def prepare_rides(
     if persist:
         # the smallest length decides the unit lengths are shown in; it is found while the rides are written
         least = Observation()
-        complete = materialize(complete.observe(least, F.min(F.abs("ride_length")).alias("least")), "complete_rides")
+        complete = materialize(complete.observe(least, F.min(F.abs("ride_length")).alias("least")), "complete_rides", written=written)
         complete = with_unit(complete, "ride_length", unit_for(least.get["least"]))
     prep.complete = complete
     return prep

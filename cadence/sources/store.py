@@ -65,11 +65,22 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{storage_dir(spark)}/cadence-tables/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that this application wrote; other paths are refused."""
+    own = f"{storage_dir(spark)}/cadence-tables/{spark.sparkContext.applicationId}/"
+    if not path.startswith(own) or ".." in path:
+        raise ValueError(f"{path} is not a table below {own}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, written: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return the re-read
-    table (same schema, lineage cut)."""
+    table (same schema, lineage cut). The path is added to ``written``."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    if written is not None:
+        written.append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

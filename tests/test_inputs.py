@@ -263,3 +263,23 @@ def test_a_replaced_input_is_seen(spark, tmp_path):
     shutil.copyfile(f"{SF01}/events.parquet", target)
     assert prepared(spark, base).cleaned.count() > 5 * small
     assert {catalog.queries()[q](spark, base).count() for q in written} == {spark.read.parquet(target).count()} != before
+
+
+def test_release_deletes_what_was_written(spark, tmp_path):
+    from cadence.sources.store import delete_table, storage_dir
+
+    base = str(tmp_path / "in")
+    os.mkdir(base)
+    shutil.copyfile(f"{SF001}/events.parquet", f"{base}/events.parquet")
+    p = prepared(spark, base)
+    n = p.cleaned.count()
+    p.cube.count(), p.variant(fill_start=False).cleaned.count(), p.quartiles.count(), p.matching.count()
+    written = list(p.extras["written"])
+    assert len(written) >= 7 and all(os.path.isdir(w) for w in written)
+    p.release()
+    assert not any(os.path.exists(w) for w in written) and not p.extras["written"]
+    assert prepared(spark, base) is not p and prepared(spark, base).cleaned.count() == n
+    for path in (base, f"{storage_dir(spark)}/cadence-tables", f"{storage_dir(spark)}/cadence-tables/{spark.sparkContext.applicationId}/../x"):
+        with pytest.raises(ValueError, match="is not a table"):
+            delete_table(spark, path)
+    assert os.path.exists(f"{base}/events.parquet")
