@@ -27,8 +27,6 @@ from pyspark.sql import DataFrame, functions as F
 from cadence.llm.common import hold, pick, ship
 
 SAMPLE, DIMS, KEEP = 6_000, 1 << 12, 0.5
-#: Assumed of every labeller: it votes against at most this share of good texts.
-FALSE_ALARM = 0.01
 #: Byte classes of word shapes: A, a (with all of UTF-8's other bytes), 0, the rest as they are.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 SQUEEZE = [(re.compile(rb"aa+"), b"a"), (re.compile(rb"AA+"), b"A"), (re.compile(rb"00+"), b"0")]
@@ -94,7 +92,6 @@ def em(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[np.n
         for k, p in enumerate((post, 1 - post)):
             weight = (counts * p)[:, None] * has
             rates[k] = ((weight * v).sum(axis=0) + (2.0, 1.0)[k]) / (weight.sum(axis=0) + 3.0)
-        rates[0] = np.maximum(rates[0], 1 - FALSE_ALARM)
         prior = float(np.clip((counts * post).sum() / counts.sum(), 1e-3, 1 - 1e-3))
         r = np.clip(rates, 1e-3, 1 - 1e-3)
         ll = [(has * (v * np.log(r[k]) + (1 - v) * np.log(1 - r[k]))).sum(axis=1) for k in (0, 1)]

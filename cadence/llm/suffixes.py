@@ -40,6 +40,8 @@ from cadence.llm.windows import pack_texts, places
 
 K = 32
 HOT = 20_000
+#: Text bytes behind each range of suffixes.
+RANGE_BYTES = 64 << 20
 LOW = U(0xFFFFFFFF)
 ENTRIES = "key long, pos int, n int, o int, ah long, ch long"
 
@@ -245,10 +247,9 @@ def exploded(size: int):
     return run
 
 
-def fine_runs(reps: DataFrame, size: int, any_hot: bool) -> DataFrame:
-    """``(rkey, runs)`` of representatives that repeat in part."""
-    spark = reps.sparkSession
-    cold = reps.filter("not hot").repartitionByRange(width(spark), F.substring("suffix", 1, K))
+def fine_runs(reps: DataFrame, size: int, any_hot: bool, ranges: int) -> DataFrame:
+    """``(rkey, runs)`` of representatives that repeat in part, sorted in ``ranges`` buckets."""
+    cold = reps.filter("not hot").repartitionByRange(ranges, F.substring("suffix", 1, K))
     found = cold.mapInPandas(sort_bucket(size), "rkey long, runs binary")
     if not any_hot:
         return found
@@ -326,7 +327,10 @@ def dedup_suffixes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
     reps = table.filter("fine").select("key", "body", "marks")
     if unique is not flat:
         reps = reps.dropDuplicates(["key"])
-    fine = fine_runs(reps.mapInArrow(contexts(size), CONTEXTS), size, not hot.isEmpty())
+    # a place of a text gives one short row at most, and few places do: ranges by the bytes stay small at any size
+    total = flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(width(spark), -(-total // RANGE_BYTES))
+    fine = fine_runs(reps.mapInArrow(contexts(size), CONTEXTS), size, not hot.isEmpty(), ranges)
     fine = fine.groupBy("rkey").agg(F.collect_list("runs").alias("runs"))
     later = table.filter("fine").join(fine, F.col("key") == F.col("rkey"), "left").select("key", "body", "marks", "runs")
     rest = table.filter("not fine").select("key", "body", "marks", F.lit(None).cast("array<binary>").alias("runs"))
