@@ -67,7 +67,6 @@ def test_mixing_edges(spark, edge, none):
     assert len(d) == len(EDGES)
     assert all(r["mix_copies"] in (0, 1, 2) and r["mix_target"] <= 2 * r["mix_source_size"] for r in d)
     assert {r["c0_"]: r["mix_size"] for r in d}[1] == 0
-    assert sum({(r["c3_"], r["mix_target"]) for r in d}.__iter__().__next__()[1:]) >= 0
     total = sum(r["mix_size"] for r in d)
     assert sum({r["c3_"]: r["mix_target"] for r in d}.values()) == pytest.approx(1.5 * total)
     out = mixing.mix_sources(edge)
@@ -76,6 +75,17 @@ def test_mixing_edges(spark, edge, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_takes_about_the_target_of_every_source(spark):
+    d = queries.op1_source_mixing(spark, SF01).join(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    for source in {r["source"] for r in d}:
+        mine = [r for r in d if r["source"] == source]
+        assert len({r["target"] for r in mine}) == 1 and sum(r["size"] for r in mine) == mine[0]["source_size"]
+        # one coin a document: four standard deviations at most
+        spread = 0.5 * sum(r["size"] ** 2 for r in mine) ** 0.5
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4 * spread
+        assert all(r["taken"] <= 2 * r["size"] for r in mine)
+
+
 def links_brute(fps, radius=3):
     root = {f: f for f in fps}
 
