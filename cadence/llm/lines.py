@@ -13,7 +13,9 @@ filter may know are looked up in ``counts``, all others are new; every key of
 ``counts`` has a mark of its own, also one whose mark was there before. Deleting
 documents takes their ``refs`` away, recounts the keys they held and removes
 the keys nobody holds any more from the filter, so a deletion undoes an
-insertion exactly. A filter that would overflow is rebuilt twice as large from
+insertion exactly. Both append segments: an insertion writes its own references,
+its own keys and the filters of their shards, a deletion the ids, the recounted keys
+and the filters of the lost ones; more than ``SEGMENTS`` segments are merged. A filter that would overflow is rebuilt twice as large from
 the exact keys of its shard; it never answers "new" for a known key. Shards follow
 the number of distinct keys: an insertion that would bring more than
 ``KEYS_PER_SHARD`` keys to a shard first deals the known keys to more shards.
@@ -26,6 +28,7 @@ document stays; repeated rows are one document; a null id is ordered last.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +40,8 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOTS = 4
 KEYS_PER_SHARD = 200_000
+#: Segments of a table before they are merged into one.
+SEGMENTS = 8
 
 
 class CuckooFilter:
@@ -128,34 +133,67 @@ def _name(key: Column) -> Column:
     return F.xxhash64(key)
 
 
+def _latest(parts: tuple[DataFrame, ...], key: str) -> DataFrame:
+    """The row of the last segment for each key; keys do not repeat inside a segment."""
+    if len(parts) == 1:
+        return parts[0]
+    rest = [c for c in parts[0].columns if c != key]
+    each = [p.select(key, F.struct(F.lit(i).alias("at_"), *rest).alias("r")) for i, p in enumerate(parts)]
+    return reduce(DataFrame.union, each).groupBy(key).agg(F.max("r").alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """Written state: exact tables and one filter row per shard."""
-
-    refs: DataFrame
-    counts: DataFrame
-    filters: DataFrame
+    """Written state. Its tables only grow: a change appends a segment with the rows
+    it touches, and rows of a later segment stand for the earlier ones of their key."""
+
+    #: ``(change, segment)`` each: new references, ids of deleted documents
+    ref_parts: tuple[tuple[int, DataFrame], ...]
+    gone_parts: tuple[tuple[int, DataFrame], ...]
+    count_parts: tuple[DataFrame, ...]
+    filter_parts: tuple[DataFrame, ...]
     shards: int
     min_chars: int = 10
-    #: Nothing was inserted yet.
-    blank: bool = False
+    #: Insertions and deletions so far.
+    changes: int = 0
 
     @staticmethod
     def empty(spark: SparkSession, shards: int, min_chars: int = 10) -> "LineIndex":
         return LineIndex(
-            spark.createDataFrame([], "key binary, did long, dh long, ats array<int>"),
-            spark.createDataFrame([], "key binary, n_docs long, first struct<did:long,dh:long>"),
-            spark.createDataFrame([], "shard int, cells binary"),
+            ((0, spark.createDataFrame([], "key binary, did long, dh long, ats array<int>")),),
+            (),
+            (spark.createDataFrame([], "key binary, n_docs long, first struct<did:long,dh:long>"),),
+            (spark.createDataFrame([], "shard int, cells binary"),),
             shards,
             min_chars,
-            True,
         )
 
+    @property
+    def refs(self) -> DataFrame:
+        """One row per document and key, without the deleted documents."""
+        live = []
+        for at, part in self.ref_parts:
+            for later, gone in self.gone_parts:
+                if later > at:
+                    part = part.join(gone, "did", "left_anti")
+            live.append(part.select("key", "did", "dh", "ats"))
+        return reduce(DataFrame.union, live)
+
+    @property
+    def counts(self) -> DataFrame:
+        """One row per key that some document holds."""
+        return _latest(self.count_parts, "key").filter("n_docs > 0")
+
+    @property
+    def filters(self) -> DataFrame:
+        """One filter per shard."""
+        return _latest(self.filter_parts, "shard")
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> "LineIndex":
         """The index after adding documents; those that it holds already (same id,
         same text) change nothing."""
         new = keyed(docs, id_col, text_col)
-        if not self.blank:
+        if self.changes:
             new = new.join(self.refs.select("did", "dh").distinct(), ["did", "dh"], "left_anti")
         fresh = hold(
             doc_lines(new, self.min_chars)
@@ -165,8 +203,8 @@ class LineIndex:
         )
         batch = fresh.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(F.struct("did", "dh")).alias("first"))
         batch = hold(batch, "line-batch")
-        # both tables are written: their counts are read from the files' footers
-        shards = -(-(batch.count() + self.counts.count()) // KEYS_PER_SHARD)
+        # written tables: their counts are read from the files' footers
+        shards = -(-(batch.count() + sum(p.count() for p in self.count_parts)) // KEYS_PER_SHARD)
         if shards > self.shards:
             return self._resharded(max(shards, 2 * self.shards))._insert(fresh, batch)
         return self._insert(fresh, batch)
@@ -174,55 +212,90 @@ class LineIndex:
     def _resharded(self, shards: int) -> "LineIndex":
         """The same index with its keys in more shards."""
         wider = replace(self, shards=shards)
-        return replace(wider, filters=hold(wider._rebuilt(self.counts), "line-filters"))
+        if not self.changes:
+            return wider
+        return replace(wider, filter_parts=(hold(wider._rebuilt(self.counts), "line-filters"),))
 
     def _insert(self, fresh: DataFrame, batch: DataFrame) -> "LineIndex":
         grown = hold(self._probe(batch.select(_name(F.col("key")).alias("name"))), "line-filters")
         filters = grown.filter("length(cells) > 0").select("shard", "cells")
         full = grown.filter("cells is not null and length(cells) = 0").select("shard")
         known = grown.filter("cells is null").select("name")
-        # only keys that the filter may know meet the exact table
-        maybe = batch.join(known, _name(F.col("key")) == known.name, "left_semi").select("key")
-        old = self.counts.join(maybe, "key", "left_semi")
-        rest = self.counts.join(maybe, "key", "left_anti")
-        merged = (
-            batch.select("key", "n_docs", "first")
-            .union(old)
-            .groupBy("key")
-            .agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first"))
-        )
-        counts = hold(merged.union(rest), "line-counts")
+        counts = batch.select("key", "n_docs", "first")
         if not known.isEmpty():
+            # only keys that the filter may know meet the exact table
+            maybe = batch.join(known, _name(F.col("key")) == known.name, "left_semi").select("key")
+            old = hold(self.counts.join(maybe, "key", "left_semi"), "line-known")
+            merged = counts.union(old).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first"))
+            counts = hold(merged, "line-counts")
             # keys that the filter only seemed to know get marks of their own
-            wrong = maybe.join(self.counts, "key", "left_anti").select(_name(F.col("key")).alias("name"))
+            wrong = maybe.join(old, "key", "left_anti").select(_name(F.col("key")).alias("name"))
             mended = hold(self._marked(filters, wrong), "line-filters")
             full = full.union(mended.filter("length(cells) = 0").select("shard"))
             filters = mended.filter("length(cells) > 0")
+        after = self._appended(counts=counts, refs=fresh)
         if not full.isEmpty():
             # some filters are full: at most one row a shard names them
-            filters = hold(filters.union(self._rebuilt(counts, full)), "line-filters")
-        return replace(self, refs=self.refs.union(fresh), counts=counts, filters=filters, blank=False)
+            filters = hold(filters.union(self._rebuilt(after.counts, full)), "line-filters")
+        return after._appended(filters=filters)._merged()
+
+    def _appended(self, refs: DataFrame | None = None, gone: DataFrame | None = None, counts: DataFrame | None = None, filters: DataFrame | None = None) -> "LineIndex":
+        """The index with further segments; counts come with every change, filters after them."""
+        now = self.changes + (counts is not None)
+
+        def more(parts: tuple, part) -> tuple:
+            if part is None:
+                return parts
+            # the empty tables of a new index give way
+            return (part,) if now == 1 else parts + (part,)
+
+        return replace(
+            self,
+            changes=now,
+            ref_parts=more(self.ref_parts, None if refs is None else (now, refs)),
+            gone_parts=more(self.gone_parts, None if gone is None else (now, gone)),
+            count_parts=more(self.count_parts, counts),
+            filter_parts=more(self.filter_parts, filters),
+        )
+
+    def _merged(self) -> "LineIndex":
+        """Tables of more than ``SEGMENTS`` segments become one segment each."""
+        out = self
+        if len(self.count_parts) > SEGMENTS:
+            out = replace(out, count_parts=(hold(self.counts, "line-counts"),))
+        if len(self.filter_parts) > SEGMENTS:
+            out = replace(out, filter_parts=(hold(self.filters, "line-filters"),))
+        if len(self.ref_parts) + len(self.gone_parts) > SEGMENTS:
+            out = replace(out, ref_parts=((self.changes, hold(self.refs, "line-refs")),), gone_parts=())
+        return out
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> "LineIndex":
         """The index as if the documents with these ids had never been inserted."""
-        gone = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did")).distinct()
-        refs = hold(self.refs.join(gone, "did", "left_anti").select("key", "did", "dh", "ats"), "line-refs")
-        touched = self.refs.join(gone, "did", "left_semi").select("key").distinct()
-        again = refs.join(touched, "key", "left_semi").groupBy("key").agg(
+        gone = hold(ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did")).distinct(), "line-gone")
+        refs = self.refs
+        touched = hold(refs.join(gone, "did", "left_semi").select("key").distinct(), "line-touched")
+        again = refs.join(gone, "did", "left_anti").join(touched, "key", "left_semi").groupBy("key").agg(
             F.count("*").alias("n_docs"), F.min(F.struct("did", "dh")).alias("first")
         )
-        counts = hold(self.counts.join(touched, "key", "left_anti").union(again), "line-counts")
-        lost = touched.join(counts, "key", "left_anti").select(_name(F.col("key")).alias("name"))
+        counts = touched.join(again, "key", "left").select("key", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), "first")
+        counts = hold(counts, "line-counts")
+        lost = counts.filter("n_docs = 0").select(_name(F.col("key")).alias("name"))
 
         def shrink(key, cells: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-            if not len(cells):
+            if not len(cells) or not len(names):
                 return pd.DataFrame({"shard": [], "cells": []}).astype({"shard": "int32"})
             f = CuckooFilter(1, bytes(cells["cells"].iloc[0]))
             f.remove(names["name"].to_numpy(np.int64).view(np.uint64))
             return pd.DataFrame({"shard": np.array([key[0]], np.int32), "cells": [f.bytes()]})
 
-        filters = self.filters.groupBy("shard").cogroup(self._sharded(lost).groupBy("shard")).applyInPandas(shrink, "shard int, cells binary")
-        return replace(self, refs=refs, counts=counts, filters=hold(filters, "line-filters"))
+        filters = self._touched(lost).groupBy("shard").cogroup(self._sharded(lost).groupBy("shard")).applyInPandas(shrink, "shard int, cells binary")
+        return self._appended(gone=gone, counts=counts, filters=hold(filters, "line-filters"))._merged()
+
+    def _touched(self, names: DataFrame) -> DataFrame:
+        """The filters of the shards that the names belong to."""
+        if not self.changes:
+            return self.filters
+        return self.filters.join(self._sharded(names).select("shard").distinct(), "shard", "left_semi")
 
     def _probe(self, names: DataFrame) -> DataFrame:
         """Per shard the grown filter (``cells``) and the names it may have held before."""
@@ -244,7 +317,7 @@ class LineIndex:
                 }
             )
 
-        return self.filters.groupBy("shard").cogroup(self._sharded(names).groupBy("shard")).applyInPandas(
+        return self._touched(names).groupBy("shard").cogroup(self._sharded(names).groupBy("shard")).applyInPandas(
             grow, "shard int, name long, cells binary"
         )
 
