@@ -17,8 +17,11 @@ bytes that they span. Then
    block of prefixes common over ``o`` bytes and the block of suffixes common
    over ``size - o`` bytes.
 
-Anchors with more than ``HOT`` different surroundings are not gathered: their
-strings are exploded and counted by a 128-bit hash with partial aggregation.
+Anchors with more than ``HOT`` different surroundings are not gathered. Each of their
+strings is a suffix of its own there, cut to ``size`` bytes: splitters sampled over whole
+strings (ties by place) deal them out, a range sorts its strings by the same quicksort and
+marks equal neighbours, and the strings at the ends of all ranges are compared across
+boundaries, so a string that fills several ranges is seen as well.
 
 Defined cases: a null or empty text has no bytes; texts shorter than ``size``
 stay whole; matches never cross documents; repeated rows (same id and text) are
@@ -42,6 +45,8 @@ K = 32
 HOT = 20_000
 #: Text bytes behind each range of suffixes.
 RANGE_BYTES = 64 << 20
+#: Strings of hot anchors in a range.
+RANGE_STRINGS = 100_000
 LOW = U(0xFFFFFFFF)
 ENTRIES = "key long, pos int, n int, o int, ah long, ch long"
 
@@ -234,28 +239,77 @@ def sort_bucket(size: int):
     return run
 
 
-def exploded(size: int):
-    """Strings of hot anchors: 128-bit hash and place of each."""
+def strings(size: int):
+    """Suffixes and prefixes of hot anchors to one row per string."""
+
+    def run(batches):
+        for b in batches:
+            for key, pos, n, suffix, prefix in zip(*(b.column(c).to_pylist() for c in ("key", "pos", "n", "suffix", "prefix"))):
+                data = np.frombuffer(prefix[::-1] + suffix, np.uint8)
+                body = np.lib.stride_tricks.sliding_window_view(data, size)[:n].tobytes()
+                at = pa.py_buffer(np.arange(0, n * size + 1, size, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.Array.from_buffers(pa.binary(), n, [None, at, pa.py_buffer(body)]),
+                        pa.array(np.full(n, key, np.int64)),
+                        pa.array(pos + np.arange(n), pa.int64()),
+                    ],
+                    ["string", "key", "start"],
+                )
+
+    return run
 
-    def run(frames):
-        for g in frames:
-            for key, pos, n, suffix, prefix in zip(g["key"], g["pos"], g["n"], g["suffix"], g["prefix"]):
-                data = np.frombuffer(bytes(prefix)[::-1] + bytes(suffix), np.uint8)
-                a, b = (Prefix(data, x).every(size)[:n].view(np.int64) for x in BASES)
-                yield pd.DataFrame({"h1": a, "h2": b, "key": key, "start": pos + np.arange(n)})
+
+def sort_range(size: int):
+    """One range of strings: those with an equal neighbour (``edge`` null), and its
+    first and last one (``edge``; ``lone`` if no neighbour of the range is equal)."""
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        body = t["string"].to_pylist()
+        order, lcp = multikey_sort(body, size)
+        same = np.append(lcp[1:] >= size, False)
+        dup = same | np.r_[False, same[:-1]]
+        ends = np.unique([0, len(order) - 1])
+        at = np.concatenate([order[dup], order[ends]])
+        m = int(dup.sum())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(t["key"].to_numpy()[at]),
+                pa.array(t["start"].to_numpy()[at]),
+                pa.array([None] * m + [body[i] for i in order[ends]], pa.binary()),
+                pa.array(np.concatenate([np.zeros(m, bool), ~dup[ends]])),
+            ],
+            ["key", "start", "edge", "lone"],
+        )
 
     return run
 
 
+def hot_hits(reps: DataFrame, size: int, least: int) -> DataFrame:
+    """``(key, start)`` of the strings of ``reps`` that occur twice."""
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    each = reps.mapInArrow(strings(size), "string binary, key long, start long")
+    dealt = each.repartitionByRange(max(least, -(-total // RANGE_STRINGS)), "string", "key", "start")
+    found = hold(dealt.mapInArrow(sort_range(size), "key long, start long, edge binary, lone boolean"), "suffix-ranges")
+    # two rows a range: equal ends lie on both sides of a boundary
+    edges = found.filter("edge is not null")
+    across = edges.groupBy("edge").agg(F.count("*").alias("c")).filter("c > 1").select("edge")
+    lone = edges.filter("lone").join(across, "edge", "left_semi")
+    return found.filter("edge is null").select("key", "start").union(lone.select("key", "start"))
+
+
 def fine_runs(reps: DataFrame, size: int, any_hot: bool, ranges: int) -> DataFrame:
     """``(rkey, runs)`` of representatives that repeat in part, sorted in ``ranges`` buckets."""
     cold = reps.filter("not hot").repartitionByRange(ranges, F.substring("suffix", 1, K))
     found = cold.mapInPandas(sort_bucket(size), "rkey long, runs binary")
     if not any_hot:
         return found
-    each = reps.filter("hot").mapInPandas(exploded(size), "h1 long, h2 long, key long, start long")
-    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1")
-    hits = each.join(twice, ["h1", "h2"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    hot = hold(reps.filter("hot").select("key", "pos", "n", "suffix", "prefix"), "suffix-hot-reps")
+    hits = hot_hits(hot, size, ranges).groupBy("key").agg(F.collect_set("start").alias("starts"))
 
     def to_runs(frames):
         for g in frames:

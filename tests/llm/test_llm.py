@@ -263,6 +263,34 @@ def test_suffixes_brute(spark, monkeypatch, hot):
     assert got == suffix_brute(docs)
 
 
+def test_suffix_ranges_compare_across_boundaries(spark, monkeypatch):
+    # a range for every few strings: equal strings fill whole ranges and meet at their ends
+    monkeypatch.setattr(suffixes, "HOT", 0)
+    monkeypatch.setattr(suffixes, "RANGE_STRINGS", 40)
+    rng = np.random.default_rng(4)
+    core = "".join(rng.choice(list("ab"), 260))
+    texts = [core[:230] + str(i) * 30 + core[:210] for i in range(6)] + ["z" * 300 + str(i) for i in range(4)] + [core, core + "!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup_suffixes(df).collect()}
+    assert got == suffix_brute({i: t.encode() for i, t in enumerate(texts)})
+
+
+@pytest.mark.parametrize("least", [1, 7, 60])
+def test_hot_strings_whatever_the_ranges(spark, least):
+    rows_ = [(k, 10 * k, 3, b"abcdefg" + bytes([97 + k % 3]) + b"z", b"xy"[: k % 3]) for k in range(30)] + [(99, 0, 1, b"only here", b"")]
+    size = 7
+    seen = collections.Counter()
+    at = collections.defaultdict(list)
+    for key, pos, n, suffix, prefix in rows_:
+        whole = prefix[::-1] + suffix
+        for i in range(n):
+            seen[whole[i : i + size]] += 1
+            at[whole[i : i + size]].append((key, pos + i))
+    df = spark.createDataFrame(rows_, "key long, pos int, n int, suffix binary, prefix binary")
+    got = sorted(tuple(r) for r in suffixes.hot_hits(df, size, least).collect())
+    assert got == sorted(p for s, c in seen.items() if c > 1 for p in at[s])
+
+
 def test_suffixes_edges(spark, edge, none):
     # texts that repeat inside themselves, runs of one byte, zero bytes, copies that differ at the ends
     rng = np.random.default_rng(9)
