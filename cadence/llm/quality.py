@@ -119,6 +119,19 @@ def fit_linear(rows: list[tuple[list[int], list[float], float]], steps: int = 30
     return w
 
 
+def smallest_hashes(table: DataFrame, most: int, rows: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of their ids. Rows with large hashes are
+    left out first, for every task sends as many rows as are asked for."""
+    h, share = F.xxhash64("doc_id"), 2 * most / max(rows, 1)
+    near = table
+    while share < 1:
+        near = table.filter(h < F.lit(int(share * (1 << 64)) - (1 << 63)))
+        if near.count() >= most:
+            break
+        near, share = table, 4 * share  # many rows with one id
+    return near.orderBy(h, "doc_id").limit(most)
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, votes, weak_label, score, kept)`` per row of ``docs``."""
     spark = docs.sparkSession
@@ -145,7 +158,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = [r["votes"] for r in found]
     post, _, _ = em(names, np.array([float(r["n"]) for r in found]))
     soft = dict(zip(names, post.tolist()))
-    sample = table.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    sample = smallest_hashes(table, SAMPLE, sum(r["n"] for r in found)).collect()
     w = fit_linear([(r["at"], r["value"], soft[r["votes"]]) for r in sample])
     model = spark.sparkContext.broadcast((w, soft))
 

@@ -78,3 +78,13 @@ def test_linear_fit_against_plain_gradient():
         if np.abs(g).max() < 1e-4:
             break
     assert loss(w) < loss(plain) + 1e-3
+
+
+def test_smallest_hashes_are_those_of_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cadence.llm import quality
+
+    for df in (spark.range(5000).select(F.col("id").alias("doc_id")), spark.range(5000).select((F.col("id") % 3).alias("doc_id")), spark.range(7).select(F.col("id").alias("doc_id"))):
+        want = [r[0] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()]
+        assert [r[0] for r in quality.smallest_hashes(df, 100, df.count()).collect()] == want
