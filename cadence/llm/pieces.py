@@ -15,6 +15,10 @@ encoded exactly:
 Runs of word marks share one score in such models and are merged left to right
 by the agenda itself. Characters outside the vocabulary become byte pieces.
 
+What a worker remembers (ids of words, compatible pairs, runs) is bounded by bytes
+or entries, however many and however long the words are; forgotten words are
+encoded again.
+
 Defined cases: a null or empty text has no ids and decodes to the empty text; a
 word mark in a text counts as a space, as in the library; repeated rows are
 encoded alike; texts of any length are encoded whole.
@@ -26,6 +30,7 @@ import heapq
 import re
 import struct
 from hashlib import blake2b
+from sys import getsizeof
 
 import ahocorasick
 import pyarrow as pa
@@ -35,8 +40,10 @@ from cadence.llm.common import pick, ship
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Words in the newer of a Python worker's two caches; when full it becomes the older one.
-CACHED = 400_000
+#: Bytes of the newer of a Python worker's two word caches; when full it becomes the older one.
+CACHE_BYTES = 24 << 20
+#: Remembered answers of which tokens may stand side by side, and the longest remembered run of marks.
+PAIRS, LONGEST_RUN = 300_000, 1_000
 MAX_BYTES = 2 << 20
 
 
@@ -103,7 +110,7 @@ class Encoder:
         self.chars = {p for p in self.vocab if len(p) == 1}
         in_pieces = {c for p in self.vocab for c in p}
         cut = r"\n" if "\n" not in in_pieces else ""
-        word, stop = f"[^{MARK}{cut}]", f"|{cut}" if cut else ""
+        word, stop = f"[^ {cut}]", f"|{cut}" if cut else ""
         # letters are cut from other signs where no piece holds both, so "word," is "word" and ",";
         # letter-like signs that a piece holds beside others count as others
         letter, glue = re.compile(r"[^\W\d_]"), set()
@@ -112,8 +119,8 @@ class Encoder:
             if alpha and any(c != MARK and not letter.match(c) for c in p):
                 glue |= set(alpha)
         x = "".join(map(re.escape, sorted(glue)))
-        body = rf"{MARK}?(?:[^\W\d_{x}]+|(?:(?![{MARK}{cut}])[\W\d_{x}])+)" if len(glue) <= 64 else f"{MARK}?{word}+"
-        self.cutter = re.compile(f"{body}{stop}|{MARK}+(?={MARK}{word})|{MARK}+")
+        body = rf" ?(?:[^\W\d_{x}]+|(?:(?![ {cut}])[\W\d_{x}])+)" if len(glue) <= 64 else f" ?{word}+"
+        self.cutter = re.compile(f"{body}{stop}| +(?= {word})| +")
         # how each piece comes about: its last merge; pieces that merging cannot reach are left out
         self.parts: dict[int, tuple[int, int]] = {}
         self.usable: dict[str, int] = {}
@@ -138,23 +145,30 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         self.runs: dict[int, list[int]] = {}
         self.lone = self.vocab.get(MARK)
-        self.odd: dict[str, str] = {}  # cached words that do not decode to themselves
+        self.odd: dict[str, str] = {}  # words that do not decode to themselves
+        self.odd_bytes = 0
         outer = self
 
         class Ids(dict):
             older: dict = {}
+            room = CACHE_BYTES
 
             def __missing__(self, word: str) -> str:
-                if len(self) >= CACHED:
-                    self.older = dict(self)
-                    self.clear()
-                out = self.older.get(word)
+                out = self.older.pop(word, None)
                 if out is None:
-                    ids = outer.word(word)
+                    ids = outer.word(word.replace(" ", MARK))
                     plain = outer.plain(ids)
-                    if plain != word.replace(MARK, " "):
+                    if plain != word and word not in outer.odd:
                         outer.odd[word] = plain
+                        outer.odd_bytes += getsizeof(word) + getsizeof(plain) + 64
                     out = ",".join(map(str, ids))
+                size = getsizeof(word) + getsizeof(out) + 64  # with its place in the dictionary
+                if size > CACHE_BYTES >> 6:
+                    return out
+                self.room -= size
+                if self.room < 0:
+                    self.older, self.room = dict(self), CACHE_BYTES - size
+                    self.clear()
                 self[word] = out
                 return out
 
@@ -190,7 +204,7 @@ class Encoder:
         return [self.vocab.get(t, -1) for t in tok if t is not None], last
 
     def _compatible(self, key: int) -> bool:
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         good = self.pairs[key] = self._remerge(key >> 32, key & 0xFFFFFFFF)
         return good
@@ -248,9 +262,9 @@ class Encoder:
 
     def run(self, n: int) -> list[int]:
         """Tokens of ``n`` word marks in a row."""
+        if n > LONGEST_RUN:
+            return self._agenda(MARK * n)[0]
         if n not in self.runs:
-            if len(self.runs) > 10_000:
-                self.runs.clear()
             self.runs[n] = self._agenda(MARK * n)[0]
         return self.runs[n]
 
@@ -274,24 +288,22 @@ class Encoder:
         """Decimal ids joined by commas, and the text that they decode to."""
         if not text:
             return "", ""
-        cut = self.cutter.findall(MARK + text.replace(" ", MARK))
-        if "  " in text or MARK in text or text[0] == " ":
+        if self.odd_bytes > CACHE_BYTES:  # between texts: a text needs all its odd words at once
+            self.odd, self.odd_bytes, self.ids_of = {}, 0, type(self.ids_of)()
+        text = text.replace(MARK, " ")
+        cut = self.cutter.findall(" " + text)
+        if "  " in text or text[0] == " ":
             cut = self._joined(cut)
         ids = ",".join(map(self.ids_of.__getitem__, cut))
-        if self.odd:
-            if len(self.odd) > CACHED:
-                self.odd = {w: x for w, x in self.odd.items() if w in self.ids_of or w in self.ids_of.older}
-            plain = "".join([self.odd.get(w) or w for w in cut]).replace(MARK, " ")
-        else:
-            plain = "".join(cut).replace(MARK, " ")
+        plain = "".join([self.odd.get(w, w) for w in cut] if self.odd else cut)
         return ids, plain[1:] if plain[:1] == " " else plain
 
     def _joined(self, cut: list[str]) -> list[str]:
         """A word whose mark stays alone gives it to the run of marks before it."""
         out: list[str] = []
         for w in cut:
-            if out and set(out[-1]) == {MARK} and w[0] == MARK and len(w) > 1 and self.word(w)[0] == self.lone:
-                out[-1] += MARK
+            if out and set(out[-1]) == {" "} and w[0] == " " and len(w) > 1 and self.word(w.replace(" ", MARK))[0] == self.lone:
+                out[-1] += " "
                 w = w[1:]
             out.append(w)
         return out
